@@ -11,7 +11,7 @@ LN2 = math.log(2.0)
 
 
 def objective_weight(base: Column | float, step: Column, total: Column | int, kind: str,
-                     floor: float = 0.25, start: float = 0.2) -> Column:
+                     floor: float = 0.15, start: float = 0.2) -> Column:
     """Weight of an auxiliary objective at a step: `reverse_anneal` falls along a cosine from base to
     base*floor, `mtp_ramp` is 0 until `start` and then rises linearly, anything else is constant."""
     base = F.lit(base) if isinstance(base, (int, float)) else base

@@ -51,7 +51,7 @@ def bytes_text(ids: Column) -> Column:
     """Inverse of `byte_ids`; ids of 256 and above are dropped, broken UTF-8 becomes U+FFFD."""
     plain = F.filter(ids, lambda i: (i >= 0) & (i < 256))
     digits = F.array_join(F.transform(plain, lambda i: F.lpad(F.hex(i.cast("long")), 2, "0")), "")
-    return F.decode(F.unhex(digits), "utf-8")
+    return F.make_valid_utf8(F.unhex(digits).cast("string"))
 
 
 def word_ids(words: Column, vocab_size: int, n_special: int = len(LAB_SPECIAL_TOKENS)) -> Column:
