@@ -74,7 +74,7 @@ def tool_spans(ids: Column, start: int, end: int) -> Column:
     """ARRAY<STRING> of comma-joined ids between each start marker and the next end marker."""
     text = F.concat(F.lit(","), F.replace(ids_text(ids), F.lit(","), F.lit(",,")), F.lit(","))
     found = F.regexp_extract_all(text, F.lit(f",{start},((?:,(?!{start},)\\d+,)*?),{end},"), F.lit(1))
-    return F.transform(found, lambda s: F.replace(F.trim(F.lit(","), s), F.lit(",,"), F.lit(",")))
+    return F.transform(found, lambda s: F.replace(F.trim(s, F.lit(",")), F.lit(",,"), F.lit(",")))
 
 
 def sampled_mask(ids: Column, output_start: int, output_end: int) -> Column:
