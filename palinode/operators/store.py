@@ -91,7 +91,7 @@ def repackage_plan(docs: DataFrame, id_col: str, n_chars: str, chars_per_shard:
         if grown.count() == starts.count():
             break
         starts = grown
-        far = jump.withColumnsRenamed({"g": "nxt", "nxt": "far"})
+        far = jump.select(F.col("g").alias("nxt"), F.col("nxt").alias("far"))
         jump = cut_lineage(jump.join(far, "nxt").select("g", F.col("far").alias("nxt")))
     marks = placed.join(starts.withColumnRenamed("g", "grp").withColumn("opens", F.lit(1)), "grp", "left")
     first = F.pmod("position", F.lit(docs_multiple)) == 0
