@@ -26,25 +26,27 @@ def render_mc(question: Column, letters: Column, choices: Column) -> Column:
                     F.lit("\nRespond only with the letter of the correct answer."))
 
 
-def _shots(shots: Column, render) -> Column:
+def _shots(shots: Column | None, render) -> Column:
+    if shots is None:
+        return F.lit("")
     return F.array_join(F.transform(shots, lambda s: F.concat(render(s), F.lit("\n\n"))), "")
 
 
-def mc_prompts(query: Column, choices: Column, shots: Column, delim: str) -> Column:
+def mc_prompts(query: Column, choices: Column, shots: Column | None, delim: str) -> Column:
     """One prompt per choice. `shots` is ARRAY<STRUCT<query, choices, gold>>."""
     d = F.lit(delim)
     head = F.concat(_shots(shots, lambda s: F.concat(s["query"], d, F.get(s["choices"], s["gold"]))), query, d)
     return F.transform(choices, lambda c: F.concat(head, c))
 
 
-def schema_prompts(options: Column, continuation: Column, shots: Column, delim: str) -> Column:
+def schema_prompts(options: Column, continuation: Column, shots: Column | None, delim: str) -> Column:
     """One prompt per context. `shots` is ARRAY<STRUCT<context_options, continuation, gold>>."""
     d = F.lit(delim)
     head = _shots(shots, lambda s: F.concat(F.get(s["context_options"], s["gold"]), d, s["continuation"]))
     return F.transform(options, lambda o: F.concat(head, o, d, continuation))
 
 
-def lm_prompts(context: Column, continuation: Column, shots: Column, delim: str) -> Column:
+def lm_prompts(context: Column, continuation: Column, shots: Column | None, delim: str) -> Column:
     """[without, with] the continuation. `shots` is ARRAY<STRUCT<context, continuation>>."""
     d = F.lit(delim)
     head = F.concat(_shots(shots, lambda s: F.concat(strip(s["context"]), d, s["continuation"])),

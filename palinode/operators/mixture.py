@@ -68,13 +68,14 @@ def fewshot(items: DataFrame, k: int, task: str = "task", item: str = "item_id",
 
 
 def prompts(items: DataFrame, task_type: str, delim: str = " ") -> Column:
-    """Prompt array of an item row that carries `shots` and the columns of its task type."""
+    """Prompt array of an item row with the columns of its task type and, for few-shot, `shots`."""
+    shots = F.col("shots") if "shots" in items.columns else None
     if task_type == "multiple_choice":
-        return mc_prompts(F.col("query"), F.col("choices"), F.col("shots"), delim)
+        return mc_prompts(F.col("query"), F.col("choices"), shots, delim)
     if task_type == "schema":
-        return schema_prompts(F.col("context_options"), F.col("continuation"), F.col("shots"), delim)
+        return schema_prompts(F.col("context_options"), F.col("continuation"), shots, delim)
     if task_type == "language_modeling":
-        return lm_prompts(F.col("context"), F.col("continuation"), F.col("shots"), delim)
+        return lm_prompts(F.col("context"), F.col("continuation"), shots, delim)
     raise ValueError(f"unsupported task type: {task_type}")
 
 

@@ -8,6 +8,7 @@ import operator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from palinode.functions.sequences import ids_text
 
@@ -39,7 +40,7 @@ def arithmetic(expr: str) -> float | None:
         return None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _arithmetic(exprs: pd.Series) -> pd.Series:
     known = {e: arithmetic(e) for e in exprs.dropna().unique()}
     return exprs.map(known).astype("float64")

@@ -52,10 +52,9 @@ def benchmark_spans(items: DataFrame, task_type: str, shots: int, delim: str = "
                     payload: tuple[str, ...] = (), **kw) -> DataFrame:
     """Items to scored sequences: cap, few-shot, prompts, tokens, spans."""
     kept = cap_per_task(items, "task", "item_id", max_per_task)
+    ready = kept
     if shots:
         ready = kept.join(mixture.fewshot(kept, shots, payload=payload), ["task", "item_id"])
-    else:
-        ready = kept.withColumn("shots", F.array())
     prompted = ready.withColumn("prompts", mixture.prompts(ready, task_type, delim))
     return mixture.spans(prompted, task_type, ["task", "item_id"], **kw)
 
