@@ -129,7 +129,7 @@ def train_bpe(counts: DataFrame, vocab_size: int, min_freq: int = 1, specials: S
     if n_merges < 0:
         raise ValueError("vocabulary must hold 256 bytes and the special tokens")
     words = counts.select(
-        F.decode(F.col("pretoken").cast("binary"), F.lit("ISO-8859-1")).alias("w"), F.col("freq").cast("long").alias("freq"))
+        F.decode(F.col("pretoken").cast("binary"), "ISO-8859-1").alias("w"), F.col("freq").cast("long").alias("freq"))
     words = cut_lineage(words.where(F.length("w") >= 2))
     merges: list[tuple[int, int]] = []
     pending = 0
