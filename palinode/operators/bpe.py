@@ -130,7 +130,9 @@ def train_bpe(counts: DataFrame, vocab_size: int, min_freq: int = 1, specials: S
         raise ValueError("vocabulary must hold 256 bytes and the special tokens")
     words = counts.select(
         F.decode(F.col("pretoken").cast("binary"), "ISO-8859-1").alias("w"), F.col("freq").cast("long").alias("freq"))
-    words = cut_lineage(words.where(F.length("w") >= 2))
+    # distinct words spread evenly whatever their frequency; a fixed number keeps rounds parallel
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    words = cut_lineage(words.where(F.length("w") >= 2).repartition(parts, "w"))
     merges: list[tuple[int, int]] = []
     pending = 0
     while len(merges) < n_merges:

@@ -58,7 +58,8 @@ def pack_chop(docs: DataFrame, order: str, length: int, eos: int, ids: str = "id
 # ---- stream packers --------------------------------------------------------------------------------
 
 class _Row:
-    """The row being filled."""
+    """The row being filled. A document is (ids, mask, size): ids may already be cut to a row's length,
+    size is always its true length, which is what packers decide by."""
 
     def __init__(self, cap: int) -> None:
         self.cap, self.parts, self.used = cap, [], 0
@@ -66,8 +67,8 @@ class _Row:
     def room(self) -> int:
         return self.cap - self.used
 
-    def put(self, doc: tuple[np.ndarray, np.ndarray], take: int | None = None) -> None:
-        ids, mask = doc if take is None else (doc[0][:take], doc[1][:take])
+    def put(self, doc: tuple[np.ndarray, np.ndarray, int], take: int | None = None) -> None:
+        ids, mask = doc[:2] if take is None else (doc[0][:take], doc[1][:take])
         self.parts.append((ids, mask))
         self.used += len(ids)
 
@@ -92,7 +93,7 @@ class _BestFit:
 
     def _admit(self) -> None:
         for doc in self.arriving:
-            size = len(doc[0])
+            size = doc[2]
             if size not in self.by_len:
                 self.by_len[size] = deque()
                 insort(self.lengths, size)
@@ -151,7 +152,7 @@ class _Greedy:
         return done
 
     def add(self, doc: tuple) -> Iterator[tuple]:
-        size = len(doc[0])
+        size = doc[2]
         if self.pad is not None and self.row.used and size > self.row.room():
             yield self._close()
         self.row.put(doc, min(size, self.row.room()))
@@ -176,8 +177,8 @@ class _FirstFitDecreasing:
 
     def finish(self) -> Iterator[tuple]:
         rows: list[_Row] = []
-        for doc in sorted(self.docs, key=lambda d: -len(d[0])):
-            size = min(len(doc[0]), self.cap)
+        for doc in sorted(self.docs, key=lambda d: -d[2]):
+            size = min(doc[2], self.cap)
             row = next((r for r in rows if r.room() >= size), None)
             if row is None:
                 row = _Row(self.cap)
@@ -188,11 +189,13 @@ class _FirstFitDecreasing:
             yield row.close(self.pad)
 
 
-def _run(docs: DataFrame, make, stream: str, order: str, ids: str, mask: str | None,
+def _run(docs: DataFrame, make, cap: int, stream: str, order: str, ids: str, mask: str | None,
          chunk: int = 256) -> DataFrame:
-    """Sort each stream into one task's input and feed it to a packer batch by batch."""
-    picked = docs.select(F.col(stream).alias("stream_id"), F.col(order).alias("__order"), F.col(ids).alias("ids"),
-                         *([F.col(mask).alias("mask")] if mask else []))
+    """Sort each stream into one task's input and feed it to a packer batch by batch. Tokens no row could
+    take (past `cap`) stay behind before the shuffle."""
+    picked = docs.where(F.size(ids) > 0).select(
+        F.col(stream).alias("stream_id"), F.col(order).alias("__order"), F.slice(ids, 1, cap).alias("ids"),
+        F.size(ids).alias("size"), *([F.slice(mask, 1, cap).alias("mask")] if mask else []))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, packer, row_id, out = None, None, 0, []
@@ -211,12 +214,12 @@ def _run(docs: DataFrame, make, stream: str, order: str, ids: str, mask: str | N
 
         for batch in batches:
             masks = batch["mask"] if mask else [None] * len(batch)
-            for sid, doc, m in zip(batch["stream_id"], batch["ids"], masks):
+            for sid, doc, size, m in zip(batch["stream_id"], batch["ids"], batch["size"], masks):
                 if sid != current:
                     if packer is not None:
                         emit(packer.finish())
                     current, packer, row_id = sid, make(), 0
-                emit(packer.add((doc, np.ones(len(doc), np.int32) if m is None else m)))
+                emit(packer.add((doc, np.ones(len(doc), np.int32) if m is None else m, int(size))))
                 if len(out) >= chunk:
                     yield flush()
         if packer is not None:
@@ -234,7 +237,7 @@ def pack_bestfit_crop(docs: DataFrame, seq_len: int, order: str, stream: str = "
     """Full rows of seq_len + 1 tokens from BOS-led documents. `reverse` flips each row behind its BOS.
     The unfinished row at the end of a stream is left out unless `keep_tail`."""
     cap = seq_len + 1
-    packed = _run(docs.where(F.size(ids) > 0), lambda: _BestFit(cap, buffer, refill, None), stream, order, ids, None)
+    packed = _run(docs, lambda: _BestFit(cap, buffer, refill, None), cap, stream, order, ids, None)
     if not keep_tail:
         packed = packed.where("complete")
     if reverse:
@@ -247,8 +250,8 @@ def pack_bestfit_pad(convs: DataFrame, seq_len: int, order: str, bos: int, strea
     """Rows of seq_len + 1 from rendered conversations, padded with BOS where nothing fits; nothing is
     discarded. Conversations longer than a row never fit: see `pack_rejects`."""
     cap = seq_len + 1
-    fits = convs.where((F.size(ids) > 0) & (F.size(ids) <= cap))
-    return _run(fits, lambda: _BestFit(cap, buffer, 1, bos), stream, order, ids, mask)
+    fits = convs.where(F.size(ids) <= cap)
+    return _run(fits, lambda: _BestFit(cap, buffer, 1, bos), cap, stream, order, ids, mask)
 
 
 def pack_rejects(convs: DataFrame, seq_len: int, ids: str = "ids") -> DataFrame:
@@ -257,19 +260,19 @@ def pack_rejects(convs: DataFrame, seq_len: int, ids: str = "ids") -> DataFrame:
 
 def pack_greedy_crop(docs: DataFrame, seq_len: int, order: str, stream: str = "stream_id", ids: str = "ids") -> DataFrame:
     cap = seq_len + 1
-    return _run(docs.where(F.size(ids) > 0), lambda: _Greedy(cap, None), stream, order, ids, None)
+    return _run(docs, lambda: _Greedy(cap, None), cap, stream, order, ids, None)
 
 
 def pack_greedy_pad(docs: DataFrame, seq_len: int, order: str, pad: int, stream: str = "stream_id",
                     ids: str = "ids") -> DataFrame:
     cap = seq_len + 1
-    return _run(docs.where(F.size(ids) > 0), lambda: _Greedy(cap, pad), stream, order, ids, None)
+    return _run(docs, lambda: _Greedy(cap, pad), cap, stream, order, ids, None)
 
 
 def pack_ffd(docs: DataFrame, seq_len: int, order: str, pad: int, stream: str = "stream_id", ids: str = "ids",
              buffer: int = 1000) -> DataFrame:
     cap = seq_len + 1
-    return _run(docs.where(F.size(ids) > 0), lambda: _FirstFitDecreasing(cap, buffer, pad), stream, order, ids, None)
+    return _run(docs, lambda: _FirstFitDecreasing(cap, buffer, pad), cap, stream, order, ids, None)
 
 
 def train_rows(packed: DataFrame) -> DataFrame:

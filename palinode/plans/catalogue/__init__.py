@@ -1,3 +1,3 @@
 """The registered queries, by area. Importing this package fills the registry."""
 
-from palinode.plans.catalogue import chat, corpus, lm, runs, scoring, tokens, vocab  # noqa: F401
+from palinode.plans.catalogue import chat, corpus, files, lm, runs, scoring, tokens, vocab  # noqa: F401

@@ -15,7 +15,8 @@ from palinode.functions.text import LOG_FIELDS, LOG_FILTER, log_field, strip
 from palinode.operators.packing import _BestFit
 
 _MESSAGES = "array<struct<role:string,content:string>>"
-_STATE = ("arriving array<array<int>>, buffered array<array<int>>, row array<array<int>>, next_row long")
+_DOC = "struct<ids:array<int>,size:int>"
+_STATE = f"arriving array<{_DOC}>, buffered array<{_DOC}>, row array<array<int>>, next_row long"
 _ROWS = "stream_id int, row_id long, tokens array<int>, n_docs int"
 
 
@@ -28,31 +29,39 @@ def document_stream(spark: SparkSession, path: str, schema: str, files_per_trigg
 def pack_stream(docs: DataFrame, seq_len: int, stream: str = "stream_id", order: str = "doc_id", ids: str = "ids",
                 buffer: int = 1000, refill: int = 128) -> DataFrame:
     """Best-fit-crop rows over an unbounded token stream. State per stream is the look-ahead buffer (less
-    than buffer + refill documents) and the open row; documents are cut to a row's length before they
-    are kept, which loses nothing a row could use."""
+    than buffer + refill documents) and the open row. Documents are kept cut to a row's length together with
+    their true size, which loses nothing a row could use. A micro-batch of a stream is as large as
+    `maxFilesPerTrigger` lets in."""
     cap = seq_len + 1
 
+    def doc(ids, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+        return np.asarray(ids, np.int32), np.ones(len(ids), np.int32), int(size)
+
+    def saved(docs: list[tuple]) -> list[tuple]:
+        return [(d[0].tolist(), d[2]) for d in docs]
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         packer, next_row = _BestFit(cap, buffer, refill, None), 0
         if state.exists:
             arriving, buffered, row, next_row = state.get
-            packer.arriving = [(np.asarray(d, np.int32), np.ones(len(d), np.int32)) for d in buffered]
+            packer.arriving = [doc(*d) for d in buffered]
             packer._admit()
-            packer.arriving = [(np.asarray(d, np.int32), np.ones(len(d), np.int32)) for d in arriving]
+            packer.arriving = [doc(*d) for d in arriving]
             for part in row:
-                packer.row.put((np.asarray(part, np.int32), np.ones(len(part), np.int32)))
+                packer.row.put(doc(part, len(part)))
         out = []
         frame = pd.concat(list(batches)).sort_values("__order")
-        for doc in frame["ids"]:
-            for tokens, _, n_docs, _, _ in packer.add((doc[:cap], np.ones(min(len(doc), cap), np.int32))):
+        for ids, size in zip(frame["ids"], frame["size"]):
+            for tokens, _, n_docs, _, _ in packer.add(doc(ids, size)):
                 out.append((key[0], next_row, tokens, n_docs))
                 next_row += 1
-        held = [d[0].tolist() for size in packer.lengths for d in packer.by_len[size]]
-        state.update(([d[0].tolist() for d in packer.arriving], held, [p[0].tolist() for p in packer.row.parts], next_row))
+        held = [d for size in packer.lengths for d in packer.by_len[size]]
+        state.update((saved(packer.arriving), saved(held), [p[0].tolist() for p in packer.row.parts], next_row))
         yield pd.DataFrame(out, columns=["stream_id", "row_id", "tokens", "n_docs"])
 
     picked = docs.where(F.size(ids) > 0).select(
-        F.col(stream).cast("int").alias("stream_id"), F.col(order).alias("__order"), F.slice(ids, 1, cap).alias("ids"))
+        F.col(stream).cast("int").alias("stream_id"), F.col(order).alias("__order"), F.slice(ids, 1, cap).alias("ids"),
+        F.size(ids).alias("size"))
     return picked.groupBy("stream_id").applyInPandasWithState(step, _ROWS, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
