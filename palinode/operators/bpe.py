@@ -75,7 +75,7 @@ def load_vocab(spark: SparkSession, path: str) -> Vocabulary:
     shift = len(specials) if first == 0 else 0
     merges = [(r["left"] - shift, r["right"] - shift) for r in
               spark.read.parquet(f"{path}/merges").orderBy("rank").collect()]
-    return Vocabulary(merges, specials, specials_first=first == 0)
+    return Vocabulary(merges, tuple(specials), specials_first=first == 0)
 
 
 def pretoken_counts(df: DataFrame, text: str = "text", split=pretokens) -> DataFrame:
