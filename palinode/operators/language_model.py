@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from palinode.functions.tokens import word_tokens
 from palinode.operators.metrics import bits_per_byte
+from palinode.session import cut_lineage
 
 EDGE = ""  # marks both ends of a document; no token is empty
 
@@ -66,8 +67,10 @@ def score_pairs(held_out: DataFrame, train: DataFrame, keys: Sequence[str] = (),
 def bpb_by_direction(docs: DataFrame, keys: Sequence[str], is_val: Column, text: str = "text",
                      alpha: float = 10.0) -> DataFrame:
     """(keys, direction, nats, bytes, bpb): is text easier to predict forwards or backwards?"""
-    train = bigram_counts(docs.where(~is_val), (), text)
-    held_out = bigram_counts(docs.where(is_val), keys, text)
+    # the text is read and counted once; both splits come out of the written counts
+    counted = cut_lineage(bigram_counts(docs.withColumn("__val", is_val), [*keys, "__val"], text))
+    train = counted.where(~F.col("__val")).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    held_out = counted.where("__val").drop("__val")
     scored = score_pairs(held_out, train, keys, alpha)
     return bits_per_byte(scored, [*keys, "direction"], weight=F.col("n"))
 
@@ -75,15 +78,17 @@ def bpb_by_direction(docs: DataFrame, keys: Sequence[str], is_val: Column, text:
 def leadins(docs: DataFrame, anchors: DataFrame, anchor_id: str, n: int = 2, ahead: int = 1,
             text: str = "text") -> DataFrame:
     """(anchor_id, leadin, n): what the corpus puts in front of an anchor's last n words: the `ahead`
-    words before each occurrence, counted. Windows are counted before the join, so a frequent ending
-    costs one row per distinct lead-in."""
+    words before each occurrence, counted. Counts are partial before the shuffle, so a frequent ending
+    costs one row per distinct lead-in and task."""
     span = n + ahead
     words = docs.select(word_tokens(F.col(text)).alias("w")).where(F.size("w") >= span)
     windows = F.transform(F.sequence(F.lit(0), F.size("w") - span), lambda i: F.struct(
         F.array_join(F.slice("w", i + 1, F.lit(ahead)), " ").alias("leadin"),
         F.array_join(F.slice("w", i + 1 + ahead, F.lit(n)), " ").alias("ending")))
-    counted = words.select(F.inline(windows)).groupBy("ending", "leadin").agg(F.count("*").alias("n"))
     aw = word_tokens(F.col(text))
     wanted = anchors.select(anchor_id, aw.alias("w")).where(F.size("w") >= n).select(
         anchor_id, F.array_join(F.slice("w", F.size("w") - n + 1, F.lit(n)), " ").alias("ending"))
+    # only windows in front of some anchor are counted; few anchors make this a map-side filter
+    asked = words.select(F.inline(windows)).join(wanted.select("ending").distinct(), "ending", "left_semi")
+    counted = asked.groupBy("ending", "leadin").agg(F.count("*").alias("n"))
     return wanted.join(counted, "ending").select(anchor_id, "ending", "leadin", "n")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palinode.functions.sequences import mask_targets, reverse_rows, shift, tail
@@ -33,16 +33,15 @@ def token_offsets(docs: DataFrame, order: str, ids: str = "ids", sep: int = 1, *
 def to_blocks(placed: DataFrame, length: int, ids: str = "ids", offset: str = "offset") -> DataFrame:
     """(block_id, tokens) of `length` from documents with stream offsets. A document is sliced once per
     block it touches; a block gathers at most `length` tokens. The unfilled last block comes out short."""
-    size = F.size(ids)
-    spans = placed.where(size > 0).select(
-        F.col(ids).alias("__ids"), F.col(offset).alias("__off"),
-        F.explode(F.sequence(F.expr(f"{offset} div {length}"), F.expr(f"({offset} + size({ids}) - 1) div {length}")))
-        .alias("block_id"))
-    lo = F.col("block_id") * length
-    start = F.greatest(lo - F.col("__off"), F.lit(0)).cast("int")
-    stop = F.least(lo + length - F.col("__off"), F.size("__ids").cast("long")).cast("int")
-    cut = spans.select("block_id", (F.col("__off") + start).alias("p"),
-                       F.slice("__ids", start + 1, stop - start).alias("t"))
+    def piece(block: Column) -> Column:
+        start = F.greatest(block * length - F.col(offset), F.lit(0)).cast("int")
+        stop = F.least(block * length + length - F.col(offset), F.size(ids).cast("long")).cast("int")
+        return F.struct(block.alias("block_id"), (F.col(offset) + start).alias("p"),
+                        F.slice(ids, start + 1, stop - start).alias("t"))
+
+    # sliced inside the row: the document is copied once, not once per block
+    touched = F.sequence(F.expr(f"{offset} div {length}"), F.expr(f"({offset} + size({ids}) - 1) div {length}"))
+    cut = placed.where(F.size(ids) > 0).select(F.inline(F.transform(touched, piece)))
     grouped = cut.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("p", "t"))).alias("g"))
     return grouped.select("block_id", F.flatten(F.col("g.t")).alias("tokens"))
 

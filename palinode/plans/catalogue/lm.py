@@ -34,7 +34,7 @@ sc AS (SELECT hv.lang, hv.direction, hv.ctx, hv.tgt, hv.n, strlen(hv.tgt) AS byt
 SELECT lang, direction, round(sum(loss * n), 4) AS nats, sum(bytes * n)::BIGINT AS bytes,
        round(sum(loss * n) / (ln(2) * sum(bytes * n)), 8) AS bpb FROM sc GROUP BY ALL""")
 def bpb_forward_reverse(spark, d):
-    out = direction_bpb(table(spark, d, "documents"), ["lang"])
+    out = direction_bpb(table(spark, d, "documents", "doc_id"), ["lang"])
     return out.withColumns({"nats": F.round("nats", 4), "bpb": F.round("bpb", 8)})
 
 
@@ -42,7 +42,7 @@ def bpb_forward_reverse(spark, d):
 SELECT direction, ctx, count(*)::BIGINT AS n_targets, sum(n)::BIGINT AS n FROM (
   SELECT direction, ctx, tgt, sum(n) AS n FROM dir GROUP BY ALL) GROUP BY ALL""")
 def reverse_lm_counts(spark, d):
-    counts = LM.directed(LM.bigram_counts(table(spark, d, "documents")))
+    counts = LM.directed(LM.bigram_counts(table(spark, d, "documents", "doc_id")))
     return counts.groupBy("direction", "ctx").agg(F.count("*").alias("n_targets"), F.sum("n").alias("n"))
 
 
@@ -50,7 +50,7 @@ def reverse_lm_counts(spark, d):
 p AS (SELECT unnest(list_zip([''] || w, w || [''])) AS z FROM w WHERE len(w) > 0)
 SELECT z[1] AS a, z[2] AS b, count(*)::BIGINT AS n FROM p GROUP BY ALL""")
 def next_prev_pairs(spark, d):
-    return LM.bigram_counts(table(spark, d, "documents"))
+    return LM.bigram_counts(table(spark, d, "documents", "doc_id"))
 
 
 @query(f"""WITH a AS (SELECT item_id, array_to_string(w[-2:], ' ') AS ending FROM (SELECT item_id, {sql_words()} AS w FROM benchmark) WHERE len(w) >= 2),
@@ -59,7 +59,7 @@ c AS (SELECT ending, leadin, count(*) AS n FROM g GROUP BY ALL),
 r AS (SELECT item_id, ending, leadin, n, rank() OVER (PARTITION BY item_id ORDER BY n DESC) AS rk FROM a JOIN c USING (ending))
 SELECT item_id, ending, leadin, n::BIGINT AS n FROM r WHERE rk <= 5""")
 def leadin_topk(spark, d):
-    found = LM.leadins(table(spark, d, "documents"), table(spark, d, "benchmark"), "item_id")
+    found = LM.leadins(table(spark, d, "documents", "doc_id"), table(spark, d, "benchmark"), "item_id")
     return ranking.top_k_ties(found, ["item_id"], "n", 5)
 
 

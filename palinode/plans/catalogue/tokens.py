@@ -10,14 +10,15 @@ from palinode.functions.tokens import (
 from palinode.operators import bpe, metrics, mixture, packing, selection, store
 from palinode.plans import experiments
 from palinode.plans.registry import digest, query, u32, uniform, word_ids as sql_word_ids, words as sql_words
-from palinode.session import table
+from palinode.session import cut_lineage, table
 
 VOCAB, EOS, BLOCK = 4096, LAB_SPECIALS["<eos>"], 129
 
 
 def documents_with_ids(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.select("doc_id", word_ids(word_tokens(F.col("text")), VOCAB).alias("ids"))
+    """Token ids of every document, written once: offsets and blocks read them several times."""
+    docs = table(spark, d, "documents", "doc_id")
+    return cut_lineage(docs.select("doc_id", word_ids(word_tokens(F.col("text")), VOCAB).alias("ids")))
 
 
 def blocks(spark, d):
@@ -42,7 +43,7 @@ def _digest(ids):
 @query(f"""
 SELECT w AS pretoken, count(*)::BIGINT AS freq FROM (SELECT unnest({sql_words()}) AS w FROM documents) GROUP BY w""")
 def pretoken_counts(spark, d):
-    return bpe.pretoken_counts(table(spark, d, "documents"), split=word_tokens)
+    return bpe.pretoken_counts(table(spark, d, "documents", "doc_id"), split=word_tokens)
 
 
 @query("""
@@ -67,7 +68,7 @@ WITH w AS (SELECT DISTINCT unnest({sql_words()}) AS w FROM documents)
 SELECT min(strlen(w))::BIGINT AS min, max(strlen(w))::BIGINT AS max, round(avg(strlen(w)), 6) AS mean,
        round(stddev_samp(strlen(w)), 6) AS std FROM w""")
 def token_bytes_stats(spark, d):
-    vocab = bpe.pretoken_counts(table(spark, d, "documents"), split=word_tokens).select(
+    vocab = bpe.pretoken_counts(table(spark, d, "documents", "doc_id"), split=word_tokens).select(
         F.lit(False).alias("is_special"), n_bytes(F.col("pretoken")).alias("n_bytes"))
     s = bpe.token_byte_stats(vocab)
     return s.select(F.col("min").cast("long").alias("min"), F.col("max").cast("long").alias("max"),
@@ -269,7 +270,7 @@ def experiment_views(spark, d):
 def _pack_docs(spark, d, world=4):
     from palinode.operators.ordered import dense_index
 
-    docs = dense_index(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
+    docs = dense_index(table(spark, d, "documents", "doc_id").select("doc_id", "text"), ["doc_id"])
     ids = selection.assign_stream(docs, world, group=64).withColumn(
         "ids", F.array_prepend(word_ids(word_tokens(F.col("text")), VOCAB), LAB_SPECIALS["<bos>"])).drop("text")
     return ids

@@ -18,7 +18,7 @@ def vocabulary(spark, d, n_merges: int = 48) -> bpe.Vocabulary:
     """Vocabulary of the documents table, trained once per table and session."""
     key = f"{spark.sparkContext.applicationId}:{d}:{n_merges}"
     if key not in _TRAINED:
-        counts = bpe.pretoken_counts(table(spark, d, "documents"))
+        counts = bpe.pretoken_counts(table(spark, d, "documents", "doc_id"))
         _TRAINED[key] = bpe.train_bpe(counts, 256 + n_merges + 9)
     return _TRAINED[key]
 
@@ -30,31 +30,31 @@ def train_bpe(spark, d):
 
 @query()
 def split_pretoken_counts(spark, d):
-    return bpe.pretoken_counts(table(spark, d, "documents"))
+    return bpe.pretoken_counts(table(spark, d, "documents", "doc_id"))
 
 
 @query("""SELECT doc_id, md5(text) AS digest FROM documents""")
 def pretoken_round_trip(spark, d):
     """The split loses nothing: its pieces join back to the text."""
-    return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(pretokens(F.col("text")), "")).alias("digest"))
+    return table(spark, d, "documents", "doc_id").select("doc_id", F.md5(F.array_join(pretokens(F.col("text")), "")).alias("digest"))
 
 
 @query("""SELECT doc_id, md5(text) AS digest FROM documents""")
 def encode_decode_round_trip(spark, d):
     vocab = vocabulary(spark, d)
-    ids = bpe.encode(table(spark, d, "documents").select("doc_id", "text"), vocab).select("doc_id", "ids")
+    ids = bpe.encode(table(spark, d, "documents", "doc_id").select("doc_id", "text"), vocab).select("doc_id", "ids")
     return bpe.decode(ids, vocab).select("doc_id", F.md5("text").alias("digest"))
 
 
 @query()
 def encode_bpe(spark, d):
-    ids = bpe.encode(table(spark, d, "documents").select("doc_id", "text"), vocabulary(spark, d), prepend="<|bos|>")
+    ids = bpe.encode(table(spark, d, "documents", "doc_id").select("doc_id", "text"), vocabulary(spark, d), prepend="<|bos|>")
     return ids.select("doc_id", F.size("ids").alias("n"), F.md5(ids_text(F.col("ids"))).alias("digest"))
 
 
 @query()
 def bpe_compression(spark, d):
-    ids = bpe.encode(table(spark, d, "documents").select("lang", "text"), vocabulary(spark, d))
+    ids = bpe.encode(table(spark, d, "documents", "doc_id").select("lang", "text"), vocabulary(spark, d))
     return bpe.compression(ids, ["lang"])
 
 
@@ -62,7 +62,7 @@ def bpe_compression(spark, d):
 def bpe_counts_bytes(spark, d):
     """Bytes of the corpus from encoded distinct pre-tokens: every token counts its length."""
     vocab = vocabulary(spark, d)
-    counts = bpe.encode_counts(bpe.pretoken_counts(table(spark, d, "documents")), vocab)
+    counts = bpe.encode_counts(bpe.pretoken_counts(table(spark, d, "documents", "doc_id")), vocab)
     toks = counts.select("freq", F.explode("ids").alias("tok")).groupBy("tok").agg(F.sum("freq").alias("n"))
     sizes = bpe.token_bytes(vocab.table(spark)).select(F.col("token_id").alias("tok"), "n_bytes")
     return toks.join(sizes, "tok").agg(F.sum(F.col("n") * F.col("n_bytes")).alias("bytes"))
@@ -78,11 +78,11 @@ def token_bytes_table(spark, d):
 
 @query()
 def corpus_training_rows(spark, d):
-    rows = corpus_rows(table(spark, d, "documents"), vocabulary(spark, d), 512, 4, reverse=True, group=64, buffer=100, refill=16)
+    rows = corpus_rows(table(spark, d, "documents", "doc_id"), vocabulary(spark, d), 512, 4, reverse=True, group=64, buffer=100, refill=16)
     return rows.select("stream_id", "row_id", F.md5(ids_text(F.col("inputs"))).alias("inputs"), F.md5(ids_text(F.col("targets"))).alias("targets"))
 
 
 @query()
 def chat_training_rows(spark, d):
-    rows = chat_rows(table(spark, d, "conversations"), vocabulary(spark, d), 2048, 2, buffer=20)
+    rows = chat_rows(table(spark, d, "conversations", "conv_id"), vocabulary(spark, d), 2048, 2, buffer=20)
     return rows.select("stream_id", "row_id", F.md5(ids_text(F.col("inputs"))).alias("inputs"), F.md5(ids_text(F.col("targets"))).alias("targets"))
