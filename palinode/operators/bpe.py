@@ -256,6 +256,13 @@ def token_bytes(vocab_table: DataFrame, mode: str = "true") -> DataFrame:
     return vocab_table.withColumn("n_bytes", F.when(F.col("is_special"), F.lit(0)).otherwise(size))
 
 
+def is_special(df: DataFrame, vocab_table: DataFrame, token: str = "token_id") -> DataFrame:
+    """Adds whether each token is one of the special tokens: a handful of ids, joined by semi-check."""
+    specials = vocab_table.where("is_special").select(F.col("token_id").alias("__sid"), F.lit(True).alias("__s"))
+    joined = df.join(specials, F.col(token) == F.col("__sid"), "left")
+    return joined.withColumn("special", F.coalesce("__s", F.lit(False))).drop("__sid", "__s")
+
+
 def token_byte_stats(table: DataFrame) -> DataFrame:
     kept = table.where(~F.col("is_special"))
     return kept.agg(F.min("n_bytes").alias("min"), F.max("n_bytes").alias("max"), F.avg("n_bytes").alias("mean"),

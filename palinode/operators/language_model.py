@@ -28,32 +28,32 @@ def bigram_counts(docs: DataFrame, keys: Sequence[str] = (), text: str = "text",
     return words.select(*keys, F.inline(pairs)).groupBy(*keys, "a", "b").agg(F.count("*").alias("n"))
 
 
-def directed(bigrams: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, direction, ctx, tgt, n): each pair once per direction; an edge is a context, never a target."""
+def directed(bigrams: DataFrame, keep: Sequence[str] = ("n",)) -> DataFrame:
+    """(keep, direction, ctx, tgt): each pair once per direction; an edge is a context, never a target."""
     both = F.array(
         F.struct(F.lit("forward").alias("direction"), F.col("a").alias("ctx"), F.col("b").alias("tgt")),
         F.struct(F.lit("reverse").alias("direction"), F.col("b").alias("ctx"), F.col("a").alias("tgt")))
-    return bigrams.select(*keys, "n", F.inline(both)).where(F.col("tgt") != EDGE)
+    return bigrams.select(*keep, F.inline(both)).where(F.col("tgt") != EDGE)
 
 
-def model_tables(train: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(pairs, contexts, words, totals) from the training bigrams."""
-    pairs = directed(train)
-    contexts = pairs.groupBy("direction", "ctx").agg(F.sum("n").alias("n_ctx"))
+def model_tables(train: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(contexts, words, totals) from the training bigrams."""
+    contexts = directed(train).groupBy("direction", "ctx").agg(F.sum("n").alias("n_ctx"))
     words = train.where(F.col("b") != EDGE).groupBy(F.col("b").alias("tgt")).agg(F.sum("n").alias("n_tgt"))
     totals = words.agg(F.sum("n_tgt").alias("n_all"), F.count("*").alias("n_types"))
-    return pairs, contexts, words, totals
+    return contexts, words, totals
 
 
 def score_pairs(held_out: DataFrame, train: DataFrame, keys: Sequence[str] = (), alpha: float = 10.0) -> DataFrame:
     """Held-out (keys, direction, ctx, tgt, n) with `loss` = -ln p and `n_bytes` of the target.
 
-    p(t|c) = (n(c,t) + alpha * p0(t)) / (n(c) + alpha), p0(t) = (n(t) + 1) / (N + V + 1).
+    p(t|c) = (n(c,t) + alpha * p0(t)) / (n(c) + alpha), p0(t) = (n(t) + 1) / (N + V + 1). The pair counts
+    are joined once, before pairs are turned into directions.
     """
-    pairs, contexts, words, totals = model_tables(train)
-    asked = directed(held_out, keys)
-    joined = asked.join(pairs.withColumnRenamed("n", "n_pair"), ["direction", "ctx", "tgt"], "left").join(
-        contexts, ["direction", "ctx"], "left").join(words, "tgt", "left").crossJoin(F.broadcast(totals))  # one row
+    contexts, words, totals = model_tables(train)
+    seen = held_out.join(train.withColumnRenamed("n", "n_pair"), ["a", "b"], "left")
+    joined = directed(seen, [*keys, "n", "n_pair"]).join(contexts, ["direction", "ctx"], "left").join(
+        words, "tgt", "left").crossJoin(F.broadcast(totals))  # totals is one row
 
     def count(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palinode.functions.seeded import seed_key, seed_pick
 from palinode.operators.ordered import dense_index, prefix_sum, scan
-from palinode.operators.packing import to_blocks, token_offsets
+from palinode.operators.packing import pack_chop, to_blocks, token_offsets
 from palinode.session import cut_lineage
 
 
@@ -40,6 +40,20 @@ def val_region(num_tokens: int, block_len: int, val_blocks: int) -> dict[str, in
     }
 
 
+def val_blocks(docs: DataFrame, order: str, eos: int, seq_len: int, n: int, path: str, vocab_size: int,
+               ids: str = "ids", rebuild: bool = False) -> DataFrame:
+    """The first n full blocks of seq_len + 1 tokens, kept in a folder named by what they depend on and
+    read back when it is already complete."""
+    spark = docs.sparkSession
+    folder = f"{path}/val_blocks_vocab{vocab_size}_seq{seq_len}_n{n}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    exists = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+    if rebuild or not exists:
+        blocks = pack_chop(docs, order, seq_len + 1, eos, ids).where(F.col("block_id") < n)
+        blocks.write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def sample_windows(store: DataFrame, draws: DataFrame, draw_id: str, lo: int | Column, hi: int | Column,
                    length: int, block_len: int, seed: int = 0) -> DataFrame:
     """(draw_id, start, tokens): one window of `length` tokens per draw at a seeded start in [lo, hi).

@@ -470,3 +470,30 @@ def truncate_completion(spark, d):
     body = toolcalls.truncate_completion(F.col("ids"), start, (_TOOLS["assistant_end"], _TOOLS["bos"]))
     head = toolcalls.truncate_completion(F.col("ids"), start, (_TOOLS["python_start"],))
     return s.select("conv_id", F.size(body).cast("long").alias("n"), F.size(head).cast("long").alias("first_len"))
+
+
+def _bee_results(spark, d):
+    """Spelling problems over orders with two recorded responses each: the first is right for even keys."""
+    bee = T.spelling_bee(_ids(spark, d), _vocabulary(spark, d))
+    convs = T.generated_conversations(bee)
+    said = F.col("count").cast("string")
+    responses = bee.select(F.col("idx").alias("conv_id"), F.posexplode(F.array(
+        F.when(F.pmod("idx", F.lit(2)) == 0, F.concat(F.lit("so #### "), said)).otherwise(F.lit("#### 99")),
+        F.when(F.pmod("idx", F.lit(5)) == 0, F.concat(F.lit("#### "), said)).otherwise(F.lit("unsure")))).alias("sample", "response"))
+    return convs, responses
+
+
+@query("""SELECT 'SpellingBee' AS task, round(avg((o_orderkey % 2 = 0 OR o_orderkey % 5 = 0)::INT), 9) AS accuracy, count(*)::BIGINT AS n,
+  sum((o_orderkey % 2 = 0 OR o_orderkey % 5 = 0)::INT)::BIGINT AS passed FROM orders""")
+def task_evaluation(spark, d):
+    from palinode.operators.evaluation import evaluate_all
+
+    return evaluate_all({"SpellingBee": _bee_results(spark, d)}).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query("""SELECT o_orderkey AS conv_id, s::INT AS sample, CASE WHEN (s = 0 AND o_orderkey % 2 = 0) OR (s = 1 AND o_orderkey % 5 = 0) THEN 1.0 ELSE 0.0 END::DOUBLE AS reward
+FROM orders, unnest([0, 1]) AS u(s)""")
+def task_reward(spark, d):
+    from palinode.operators.evaluation import reward
+
+    return reward("SpellingBee", *_bee_results(spark, d)).select("conv_id", "sample", "reward")

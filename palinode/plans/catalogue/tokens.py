@@ -10,7 +10,7 @@ from palinode.functions.tokens import (
 from palinode.operators import bpe, metrics, mixture, packing, selection, store
 from palinode.plans import experiments
 from palinode.plans.registry import digest, query, u32, uniform, word_ids as sql_word_ids, words as sql_words
-from palinode.session import cut_lineage, table
+from palinode.session import cut_lineage, scratch_dir, table
 
 VOCAB, EOS, BLOCK = 4096, LAB_SPECIALS["<eos>"], 129
 
@@ -124,6 +124,22 @@ def chop_blocks(spark, d):
     return blocks(spark, d).select("block_id", F.size("tokens").cast("long").alias("n"), _digest(F.col("tokens")).alias("digest"))
 
 
+@query(f"""{SQL_BLOCKS} SELECT block_id, {digest('tokens')} AS digest FROM blocks WHERE block_id < 32""")
+def val_block_cache(spark, d):
+    path = scratch_dir(spark, "val")
+    ids = documents_with_ids(spark, d)
+    for _ in range(2):  # the second call reads what the first one wrote
+        kept = store.val_blocks(ids, "doc_id", EOS, BLOCK - 1, 32, path, VOCAB)
+    return kept.select("block_id", _digest(F.col("tokens")).alias("digest"))
+
+
+@query(f"""{SQL_BLOCKS} SELECT tok = {EOS} AS special, count(*)::BIGINT AS n FROM (SELECT unnest(tokens) AS tok FROM blocks) GROUP BY 1""")
+def special_membership(spark, d):
+    vocab = spark.createDataFrame([(i, True) for i in LAB_SPECIALS.values()], "token_id int, is_special boolean")
+    toks = blocks(spark, d).select(F.explode("tokens").alias("token_id")).groupBy("token_id").agg(F.count("*").alias("n"))
+    return bpe.is_special(toks, vocab).groupBy("special").agg(F.sum("n").alias("n"))
+
+
 @query(f"""{SQL_BLOCKS} SELECT block_id, {digest('tokens')} AS digest FROM blocks WHERE block_id < 64""")
 def first_blocks(spark, d):
     return selection.first_blocks(blocks(spark, d), 64).select("block_id", _digest(F.col("tokens")).alias("digest"))
