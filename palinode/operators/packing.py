@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_right, insort
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -188,12 +188,13 @@ class _FirstFitDecreasing:
             yield row.close(self.pad)
 
 
-def _run(docs: DataFrame, make, cap: int, stream: str, order: str, ids: str, mask: str | None,
+def _run(docs: DataFrame, make, cap: int, stream: str, order: str | Sequence[str], ids: str, mask: str | None,
          chunk: int = 256) -> DataFrame:
     """Sort each stream into one task's input and feed it to a packer batch by batch. Tokens no row could
     take (past `cap`) stay behind before the shuffle."""
+    ranks = F.struct(*([order] if isinstance(order, str) else order))
     picked = docs.where(F.size(ids) > 0).select(
-        F.col(stream).alias("stream_id"), F.col(order).alias("__order"), F.slice(ids, 1, cap).alias("ids"),
+        F.col(stream).alias("stream_id"), ranks.alias("__order"), F.slice(ids, 1, cap).alias("ids"),
         F.size(ids).alias("size"), *([F.slice(mask, 1, cap).alias("mask")] if mask else []))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,7 +231,7 @@ def _run(docs: DataFrame, make, cap: int, stream: str, order: str, ids: str, mas
     return ordered.mapInPandas(pack, _PACKED)
 
 
-def pack_bestfit_crop(docs: DataFrame, seq_len: int, order: str, stream: str = "stream_id", ids: str = "ids",
+def pack_bestfit_crop(docs: DataFrame, seq_len: int, order: str | Sequence[str], stream: str = "stream_id", ids: str = "ids",
                       buffer: int = 1000, refill: int = 128, reverse: bool = False, bos: int | None = None,
                       keep_tail: bool = False) -> DataFrame:
     """Full rows of seq_len + 1 tokens from BOS-led documents. `reverse` flips each row behind its BOS.
@@ -244,7 +245,7 @@ def pack_bestfit_crop(docs: DataFrame, seq_len: int, order: str, stream: str = "
     return packed.drop("mask")
 
 
-def pack_bestfit_pad(convs: DataFrame, seq_len: int, order: str, bos: int, stream: str = "stream_id",
+def pack_bestfit_pad(convs: DataFrame, seq_len: int, order: str | Sequence[str], bos: int, stream: str = "stream_id",
                      ids: str = "ids", mask: str = "mask", buffer: int = 100) -> DataFrame:
     """Rows of seq_len + 1 from rendered conversations, padded with BOS where nothing fits; nothing is
     discarded. Conversations longer than a row never fit: see `pack_rejects`."""
@@ -257,18 +258,18 @@ def pack_rejects(convs: DataFrame, seq_len: int, ids: str = "ids") -> DataFrame:
     return convs.where(F.size(ids) > seq_len + 1)
 
 
-def pack_greedy_crop(docs: DataFrame, seq_len: int, order: str, stream: str = "stream_id", ids: str = "ids") -> DataFrame:
+def pack_greedy_crop(docs: DataFrame, seq_len: int, order: str | Sequence[str], stream: str = "stream_id", ids: str = "ids") -> DataFrame:
     cap = seq_len + 1
     return _run(docs, lambda: _Greedy(cap, None), cap, stream, order, ids, None)
 
 
-def pack_greedy_pad(docs: DataFrame, seq_len: int, order: str, pad: int, stream: str = "stream_id",
+def pack_greedy_pad(docs: DataFrame, seq_len: int, order: str | Sequence[str], pad: int, stream: str = "stream_id",
                     ids: str = "ids") -> DataFrame:
     cap = seq_len + 1
     return _run(docs, lambda: _Greedy(cap, pad), cap, stream, order, ids, None)
 
 
-def pack_ffd(docs: DataFrame, seq_len: int, order: str, pad: int, stream: str = "stream_id", ids: str = "ids",
+def pack_ffd(docs: DataFrame, seq_len: int, order: str | Sequence[str], pad: int, stream: str = "stream_id", ids: str = "ids",
              buffer: int = 1000) -> DataFrame:
     cap = seq_len + 1
     return _run(docs, lambda: _FirstFitDecreasing(cap, buffer, pad), cap, stream, order, ids, None)

@@ -10,7 +10,8 @@ from palinode.functions.tokens import (
 from palinode.operators import bpe, metrics, mixture, packing, selection, store
 from palinode.plans import experiments
 from palinode.plans.registry import digest, query, u32, uniform, word_ids as sql_word_ids, words as sql_words
-from palinode.session import cut_lineage, scratch_dir, table
+from palinode.session import cut_lineage, scratch_dir, spread, table
+from palinode.sources.corpus import read_corpus
 
 VOCAB, EOS, BLOCK = 4096, LAB_SPECIALS["<eos>"], 129
 
@@ -284,12 +285,9 @@ def experiment_views(spark, d):
 
 
 def _pack_docs(spark, d, world=4):
-    from palinode.operators.ordered import dense_index
-
-    docs = dense_index(table(spark, d, "documents", "doc_id").select("doc_id", "text"), ["doc_id"])
-    ids = selection.assign_stream(docs, world, group=64).withColumn(
-        "ids", F.array_prepend(word_ids(word_tokens(F.col("text")), VOCAB), LAB_SPECIALS["<bos>"])).drop("text")
-    return ids
+    docs = spread(read_corpus(spark, f"{d}/documents.parquet", ["text"], position=True), "row_index")
+    dealt = selection.assign_stream_by_file(docs, world, group=64).withColumnRenamed("row_index", "idx")
+    return dealt.withColumn("ids", F.array_prepend(word_ids(word_tokens(F.col("text")), VOCAB), LAB_SPECIALS["<bos>"])).drop("text")
 
 
 def _row_digest(packed):

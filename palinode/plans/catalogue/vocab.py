@@ -9,7 +9,8 @@ from palinode.functions.tokens import pretokens
 from palinode.operators import bpe
 from palinode.plans.registry import query
 from palinode.plans.workflows import chat_rows, corpus_rows
-from palinode.session import table
+from palinode.session import spread, table
+from palinode.sources.corpus import read_corpus
 
 _TRAINED: dict[str, bpe.Vocabulary] = {}
 
@@ -78,7 +79,8 @@ def token_bytes_table(spark, d):
 
 @query()
 def corpus_training_rows(spark, d):
-    rows = corpus_rows(table(spark, d, "documents", "doc_id"), vocabulary(spark, d), 512, 4, reverse=True, group=64, buffer=100, refill=16)
+    docs = spread(read_corpus(spark, f"{d}/documents.parquet", ["text"], position=True), "row_index")
+    rows = corpus_rows(docs, vocabulary(spark, d), 512, 4, reverse=True, group=64, buffer=100, refill=16)
     return rows.select("stream_id", "row_id", F.md5(ids_text(F.col("inputs"))).alias("inputs"), F.md5(ids_text(F.col("targets"))).alias("targets"))
 
 

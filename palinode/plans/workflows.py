@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palinode.functions.seeded import seed_uniform
 from palinode.functions.sequences import mask_targets, shift, tail
 from palinode.operators import bpe, conversations, language_model, metrics, mixture, packing
-from palinode.operators.ordered import dense_index
-from palinode.operators.selection import assign_stream, cap_per_task, char_budget, crop_chars, drop_blank
+from palinode.operators.selection import assign_stream_by_file, cap_per_task, char_budget, crop_chars, drop_blank
 
 
 def direction_bpb(docs: DataFrame, keys: list[str], val_frac: float = 0.2, seed: int = 42, alpha: float = 10.0,
@@ -28,12 +27,14 @@ def train_tokenizer(docs: DataFrame, vocab_size: int, order: str = "doc_id", max
     return bpe.train_bpe(bpe.pretoken_counts(char_budget(kept, max_chars, order)), vocab_size)
 
 
-def corpus_rows(docs: DataFrame, vocab: bpe.Vocabulary, seq_len: int, world: int, order: str = "doc_id",
-                reverse: bool = False, group: int = 1024, **kw) -> DataFrame:
-    """Documents to (inputs, targets): encode with BOS, deal row groups to streams, best-fit pack."""
-    indexed = assign_stream(dense_index(drop_blank(docs).select(order, "text"), [order]), world, group=group)
-    encoded = bpe.encode(indexed, vocab, prepend="<|bos|>").drop("text")
-    packed = packing.pack_bestfit_crop(encoded, seq_len, "idx", reverse=reverse, bos=vocab.special_ids["<|bos|>"], **kw)
+def corpus_rows(docs: DataFrame, vocab: bpe.Vocabulary, seq_len: int, world: int, reverse: bool = False,
+                group: int = 1024, **kw) -> DataFrame:
+    """Documents (text, file, row_index) to (inputs, targets): encode with BOS where the text lies, deal
+    row groups to streams, best-fit pack. The one shuffle moves cropped token arrays, never text."""
+    dealt = assign_stream_by_file(drop_blank(docs), world, group)
+    encoded = bpe.encode(dealt, vocab, prepend="<|bos|>").drop("text")
+    packed = packing.pack_bestfit_crop(encoded, seq_len, ["file", "row_index"], reverse=reverse,
+                                       bos=vocab.special_ids["<|bos|>"], **kw)
     return packing.train_rows(packed)
 
 
@@ -70,6 +71,3 @@ def supervised(ids: Column, mask: Column) -> tuple[Column, Column]:
     inputs, targets = shift(ids)
     return inputs, mask_targets(targets, tail(mask))
 
-
-def spark_tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]

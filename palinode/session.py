@@ -26,15 +26,19 @@ def get_session(app: str = "palinode", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a table that comes in fewer files than there are cores (a one-file sample), so that heavy
+    per-row work runs on all of them. A sharded corpus has files enough and is read as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores <= 64:
+        return df.repartition(cores, key)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """A table of the data folder. `spread_by` hashes a table that comes in fewer files than there are
-    cores (a one-file sample) so that heavy per-row work runs on all of them; a sharded corpus has files
-    enough and is read as it lies."""
+    """A table of the data folder, optionally spread."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and len(df.inputFiles()) < cores <= 64:
-        return df.repartition(cores, spread_by)
-    return df
+    return spread(df, spread_by) if spread_by else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

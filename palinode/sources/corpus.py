@@ -14,10 +14,14 @@ from palinode.operators.selection import drop_blank, skip
 from palinode.operators.store import token_dtype
 
 
-def read_corpus(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Parquet shards with their file name; temporary files are not shards. Columns prune to the scan."""
+def read_corpus(spark: SparkSession, path: str, columns: list[str] | None = None, position: bool = False) -> DataFrame:
+    """Parquet shards with their file name (and `row_index` in the file, with `position`); temporary files
+    are not shards. Columns prune to the scan."""
     df = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
-    return df.select(*(columns or df.columns), F.col("_metadata.file_name").alias("file"))
+    where = [F.col("_metadata.file_name").alias("file")]
+    if position:
+        where.append(F.col("_metadata.row_index").alias("row_index"))
+    return df.select(*(columns or df.columns), *where)
 
 
 def shard_names(spark: SparkSession, path: str) -> DataFrame:
