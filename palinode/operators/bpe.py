@@ -223,6 +223,19 @@ def encode(df: DataFrame, vocab: Vocabulary, text: str = "text", out: str = "ids
     return encoded
 
 
+def encode_list(df: DataFrame, vocab: Vocabulary, texts: str, out: str) -> DataFrame:
+    """Add ARRAY<ARRAY<INT>> ids of an array of texts, row by row."""
+    ranks = df.sparkSession.sparkContext.broadcast(vocab.ranks())
+
+    @F.arrow_udf("array<array<int>>")
+    def encode_texts(rows: pa.Array) -> pa.Array:
+        inner = _gather(rows.flatten(), lambda t: merge_bytes(t.encode(), ranks.value))
+        sizes = [n or 0 for n in rows.value_lengths().to_pylist()]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), inner)
+
+    return df.withColumn(out, encode_texts(F.transform(texts, pretokens)))
+
+
 def encode_counts(counts: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Ids of each distinct pre-token of a count table."""
     ids = _encoder(counts.sparkSession, vocab)(F.array("pretoken"))

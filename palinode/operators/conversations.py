@@ -27,6 +27,11 @@ def byte_encoder(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, byte_ids(F.col(text)))
 
 
+def byte_list_encoder(df: DataFrame, texts: str, out: str) -> DataFrame:
+    """Byte ids of every text of an array column."""
+    return df.withColumn(out, F.transform(texts, byte_ids))
+
+
 def assemble_conversations(turns: DataFrame, segment: int = 4096) -> DataFrame:
     """(conv_id, segment_no, messages ARRAY<STRUCT<role, parts>>) from (conv_id, turn, role, text).
 
@@ -112,65 +117,71 @@ def merge_system(turns: DataFrame) -> DataFrame:
         .otherwise(F.col("text"))).drop("__c", "__t", "__sys")
 
 
-def pieces_of_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, pos, role, type, text, first, last): one piece per plain message."""
-    return merge_system(turns).select(
-        "conv_id", F.struct("turn", F.lit(0).alias("part")).alias("pos"), "role", F.lit("text").alias("type"),
-        "text", F.lit(True).alias("first"), F.lit(True).alias("last"))
+def _wrap(sp: dict[str, int], ids: Column, role: Column, kind: Column, first: Column, last: Column,
+          lead: Column) -> tuple[Column, Column]:
+    """(ids, mask) of one piece between its markers. Mask 1 marks what an assistant is trained to say: its
+    text, its tool calls and its end marker; user side, openings and tool output are 0."""
+    none = F.array().cast("array<int>")
+    user, python, output = role == "user", kind == "python", kind == "python_output"
 
+    def only(cond: Column, name: str) -> Column:
+        return F.when(cond, F.array(F.lit(sp[f"<|{name}|>"]))).otherwise(none)
 
-def pieces_of_messages(convs: DataFrame) -> DataFrame:
-    """The same shape from assembled conversations with text / python / python_output parts."""
-    msgs = convs.select("conv_id", F.posexplode("messages").alias("turn", "m"))
-    parts = msgs.select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role",
-                        F.size("m.parts").alias("n"), F.posexplode("m.parts").alias("part", "p"))
-    return parts.select(
-        "conv_id", F.struct("turn", "part").alias("pos"), "role", F.col("p.type").alias("type"),
-        F.col("p.text").alias("text"), (F.col("part") == 0).alias("first"),
-        (F.col("part") == F.col("n") - 1).alias("last"))
+    zero, one = F.lit(0), F.lit(1)
+    layers = [
+        (only(lead, "bos"), zero), (only(user & first, "user_start"), zero),
+        (only(~user & first, "assistant_start"), zero), (only(python, "python_start"), one),
+        (only(output, "output_start"), zero), (ids, F.when(user | output, zero).otherwise(one)),
+        (only(python, "python_end"), one), (only(output, "output_end"), zero),
+        (only(user & last, "user_end"), zero), (only(~user & last, "assistant_end"), one)]
+    return (F.concat(*[x for x, _ in layers]),
+            F.concat(*[F.array_repeat(m, F.size(x)) for x, m in layers]))
+
+
+def render_messages(convs: DataFrame, encode_list: Encoder = byte_list_encoder,
+                    specials: dict[str, int] = BYTE_SPECIALS, max_tokens: int = 2048) -> DataFrame:
+    """(conv_id, ids, mask) from assembled conversations (conv_id, messages): everything a conversation
+    needs is in its row, so this is one pass without a shuffle."""
+    first = F.get("messages", F.lit(0))
+    second = F.get("messages", F.lit(1))
+    merged = F.struct(second["role"].alias("role"), F.transform(second["parts"], lambda p: F.struct(
+        p["type"].alias("type"), F.concat(F.get(first["parts"], F.lit(0))["text"], F.lit("\n\n"), p["text"]).alias("text"))).alias("parts"))
+    messages = F.when(first["role"] == "system", F.concat(F.array(merged), F.slice(
+        "messages", F.lit(3), F.greatest(F.size("messages") - 2, F.lit(0))))).otherwise(F.col("messages"))
+    pieces = F.flatten(F.transform("__m", lambda m, i: F.transform(m["parts"], lambda p, j: F.struct(
+        m["role"].alias("role"), p["type"].alias("type"), p["text"].alias("text"), (j == 0).alias("first"),
+        (j == F.size(m["parts"]) - 1).alias("last"), ((i == 0) & (j == 0)).alias("lead")))))
+    laid = convs.select("conv_id", messages.alias("__m")).select("conv_id", pieces.alias("__p"))
+    laid = encode_list(laid.withColumn("__texts", F.col("__p.text")), "__texts", "__ids")
+
+    def side(k: int) -> Column:
+        return F.slice(F.flatten(F.zip_with("__p", "__ids", lambda p, x: _wrap(
+            specials, x, p["role"], p["type"], p["first"], p["last"], p["lead"])[k])), 1, max_tokens)
+
+    return laid.select("conv_id", side(0).alias("ids"), side(1).alias("mask"))
 
 
 def render_pieces(pieces: DataFrame, encode: Encoder = byte_encoder, specials: dict[str, int] = BYTE_SPECIALS,
                   max_tokens: int = 2048) -> DataFrame:
-    """(conv_id, ids, mask): BOS, then each message between its markers. Mask 1 marks what an assistant
-    is trained to say: its text, its tool calls and its end marker; tool output and openings are 0."""
-    sp = {k.strip("<|>"): F.lit(v) for k, v in specials.items()}
-    none = F.array().cast("array<int>")
-
-    def only(cond: Column, name: str) -> Column:
-        return F.when(cond, F.array(sp[name])).otherwise(none)
-
-    user = F.col("role") == "user"
-    python, output = F.col("type") == "python", F.col("type") == "python_output"
-    first, last = F.col("first"), F.col("last")
+    """(conv_id, ids, mask) from one row per message. Token offsets within a conversation come first, so
+    only the messages that reach into its first `max_tokens` are gathered."""
     encoded = encode(pieces, "text", "__ids")
-    # [ids] with [mask], opening and closing markers around
-    layers = [
-        (only(F.col("__lead"), "bos"), 0), (only(user & first, "user_start"), 0),
-        (only(~user & first, "assistant_start"), 0), (only(python, "python_start"), 1),
-        (only(output, "output_start"), 0),
-        (F.col("__ids"), F.when(user | output, F.lit(0)).otherwise(F.lit(1))),
-        (only(python, "python_end"), 1), (only(output, "output_end"), 0),
-        (only(user & last, "user_end"), 0), (only(~user & last, "assistant_end"), 1)]
     # the opening user message is turn 0, or turn 1 when a system message was folded in
-    lead = encoded.withColumn("__lead", user & (F.col("pos.turn") <= 1) & (F.col("pos.part") == 0))
-    shaped = lead.select(
-        "conv_id", "pos", F.col("pos.turn").alias("__turn"), F.col("pos.part").alias("__part"),
-        F.concat(*[ids for ids, _ in layers]).alias("ids"),
-        F.concat(*[F.array_repeat(m if isinstance(m, Column) else F.lit(m), F.size(ids))
-                   for ids, m in layers]).alias("mask"))
-    placed = scan(shaped, ["__turn", "__part"], {"__at": ("sum", F.size("ids").cast("long"))}, ["conv_id"],
-                  exclusive=True)
+    lead = (F.col("role") == "user") & (F.col("turn") <= 1)
+    yes = F.lit(True)
+    ids, mask = _wrap(specials, F.col("__ids"), F.col("role"), F.lit("text"), yes, yes, lead)
+    shaped = encoded.select("conv_id", "turn", ids.alias("ids"), mask.alias("mask"))
+    placed = scan(shaped, ["turn"], {"__at": ("sum", F.size("ids").cast("long"))}, ["conv_id"], exclusive=True, width=4096)
     room = (F.lit(max_tokens) - F.col("__at")).cast("int")
     cut = placed.where(F.col("__at") < max_tokens).select(
-        "conv_id", "pos", F.slice("ids", F.lit(1), room).alias("ids"), F.slice("mask", F.lit(1), room).alias("mask"))
-    gathered = cut.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids", "mask"))).alias("g"))
+        "conv_id", "turn", F.slice("ids", F.lit(1), room).alias("ids"), F.slice("mask", F.lit(1), room).alias("mask"))
+    gathered = cut.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "ids", "mask"))).alias("g"))
     return gathered.select("conv_id", F.flatten(F.col("g.ids")).alias("ids"), F.flatten(F.col("g.mask")).alias("mask"))
 
 
 def render_turns(turns: DataFrame, **kw) -> DataFrame:
     """Render the valid conversations of a turn table."""
-    return render_pieces(pieces_of_turns(keep_valid(turns)), **kw)
+    return render_pieces(merge_system(keep_valid(turns)), **kw)
 
 
 def render_for_completion(turns: DataFrame, specials: dict[str, int] = BYTE_SPECIALS, **kw) -> DataFrame:
@@ -180,7 +191,7 @@ def render_for_completion(turns: DataFrame, specials: dict[str, int] = BYTE_SPEC
     ends = turns.groupBy("conv_id").agg(F.max("turn").alias("__last"), F.max_by("role", "turn").alias("__role"))
     open_turns = keep_valid(turns).join(ends.where(F.col("__role") == "assistant"), "conv_id").where(
         F.col("turn") < F.col("__last")).drop("__last", "__role")
-    rendered = render_pieces(pieces_of_turns(open_turns), specials=specials, **kw)
+    rendered = render_pieces(merge_system(open_turns), specials=specials, **kw)
     return rendered.select("conv_id", F.array_append("ids", specials["<|assistant_start|>"]).alias("ids"))
 
 

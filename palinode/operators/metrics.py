@@ -156,9 +156,10 @@ def any_pass(outcomes: DataFrame, problem: Sequence[str] = ("problem",), correct
     return outcomes.groupBy(*problem).agg(F.bool_or(correct).alias("passed"))
 
 
-def prefix_any(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, out: str = "any_so_far") -> DataFrame:
+def prefix_any(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, out: str = "any_so_far",
+               **kw) -> DataFrame:
     """True once any row up to here was true."""
-    return scan(df, order, {"__any": ("max", F.col(flag).cast("int"))}, keys).withColumn(
+    return scan(df, order, {"__any": ("max", F.col(flag).cast("int"))}, keys, **kw).withColumn(
         out, F.col("__any") == 1).drop("__any")
 
 

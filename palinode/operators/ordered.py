@@ -56,12 +56,16 @@ def _assign(df: DataFrame, source: str, splits: Sequence[float], out: str) -> Da
 
 
 def with_buckets(df: DataFrame, order: Sequence[str], n_buckets: int | None = None,
-                 uniform_hex: bool = False) -> DataFrame:
+                 uniform_hex: bool = False, width: int | None = None) -> DataFrame:
     """Add BUCKET, non-decreasing along `order` (ascending, leading column numeric, timestamp or hex).
 
     A leading value that fills several quantiles by itself gets buckets of its own, cut along the second
-    order column. `uniform_hex` skips the quantile pass for md5 orders, whose quantiles are known.
+    order column. `uniform_hex` skips the quantile pass for md5 orders, whose quantiles are known; `width`
+    skips it where the leading column numbers the rows of a key (turns, steps): a bucket is then a run of
+    `width` numbers.
     """
+    if width:
+        return df.withColumn(BUCKET, F.floor(F.col(order[0]) / width).cast("long"))
     n = _bucket_count(df, n_buckets)
     led = df.withColumn(_LEAD, F.coalesce(_as_double(df, order[0]), F.lit(-math.inf)))
     if uniform_hex:
@@ -103,13 +107,13 @@ def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def scan(df: DataFrame, order: Sequence[str], outs: dict[str, tuple[str, Column]],
-         keys: Sequence[str] = (), exclusive: bool = False, n_buckets: int | None = None,
-         uniform_hex: bool = False) -> DataFrame:
+         keys: Sequence[str] = (), exclusive: bool = False, **kw) -> DataFrame:
     """Running sum / count / min / max in `order` within `keys`, up to and including each row
-    (or before it, with `exclusive`). `order` must be unique within `keys`."""
+    (or before it, with `exclusive`). `order` must be unique within `keys`. Further options are those of
+    `with_buckets`."""
     temps = {f"__v{i}": (F.lit(1).cast("long") if op == "count" else value)
              for i, (op, value) in enumerate(outs.values())}
-    rows = with_buckets(df.withColumns(temps), order, n_buckets, uniform_hex)
+    rows = with_buckets(df.withColumns(temps), order, **kw)
     ops = [op for op, _ in outs.values()]
     totals = rows.groupBy(*keys, BUCKET).agg(
         *[_FOLD[op](t).alias(f"__t{i}") for i, (op, t) in enumerate(zip(ops, temps))])
@@ -157,7 +161,7 @@ def neighbour(df: DataFrame, order: Sequence[str], values: dict[str, str], keys:
 
 
 def ema(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "ema",
-        beta: float = 0.9) -> DataFrame:
+        beta: float = 0.9, **kw) -> DataFrame:
     """Debiased exponential moving average: s = beta*s + (1-beta)*x from 0, divided by 1-beta^n.
 
     Rows are cut into blocks so long that beta^block is about 1e-12. Inside a block the recurrence is a
@@ -165,7 +169,7 @@ def ema(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, ou
     its weight is below 1e-24. Blocks are joined by number, so a key is never gathered in one task.
     """
     block_len = max(2, math.ceil(math.log(1e-12) / math.log(beta)))
-    rows = dense_index(df, order, "__pos", keys)
+    rows = dense_index(df, order, "__pos", keys, **kw)
     rows = rows.withColumn("__blk", F.expr(f"__pos div {block_len}")).withColumn(
         "__j", F.col("__pos") - F.col("__blk") * block_len)
     weight = F.pow(F.lit(beta), F.col("__j").cast("double"))

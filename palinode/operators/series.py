@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from palinode.operators.ordered import median, neighbour, scan
 
 
-def deltas(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+def deltas(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, **kw) -> DataFrame:
     """Drop from the previous evaluation: previous - current."""
-    return neighbour(df, order, {"__prev": value}, keys).withColumn(
+    return neighbour(df, order, {"__prev": value}, keys, **kw).withColumn(
         "drop", F.col("__prev") - F.col(value)).drop("__prev")
 
 
@@ -22,15 +22,15 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[
         F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in cols])
 
 
-def running_best(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+def running_best(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, **kw) -> DataFrame:
     """best_before and whether this row is a new best."""
-    seen = scan(df, order, {"best_before": ("min", F.col(value))}, keys, exclusive=True)
+    seen = scan(df, order, {"best_before": ("min", F.col(value))}, keys, exclusive=True, **kw)
     return seen.withColumn("new_best", F.col("best_before").isNull() | (F.col(value) < F.col("best_before")))
 
 
-def eta(df: DataFrame, run: Sequence[str], step: str, dt: str, total: Column, warm: int = 10) -> DataFrame:
+def eta(df: DataFrame, run: Sequence[str], step: str, dt: str, total: Column, warm: int = 10, **kw) -> DataFrame:
     """train_time (warm-up steps free) and eta = remaining steps * mean step time."""
-    timed = scan(df, [step], {"train_time": ("sum", F.when(F.col(step) > warm, F.col(dt)).otherwise(0.0))}, run)
+    timed = scan(df, [step], {"train_time": ("sum", F.when(F.col(step) > warm, F.col(dt)).otherwise(0.0))}, run, **kw)
     done = F.col(step) - warm
     return timed.withColumn("eta", F.when(done > 0, (total - F.col(step)) * F.col("train_time") / done))
 

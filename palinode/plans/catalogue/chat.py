@@ -114,8 +114,8 @@ def completion_rejects(spark, d):
 @query()
 def pack_bestfit_pad(spark, d):
     r = C.render_turns(_turns(spark, d), max_tokens=513)
-    dealt = dense_index(r, ["conv_id"]).withColumn("stream_id", F.pmod("idx", F.lit(4)).cast("int"))
-    rows = packing.train_rows(packing.pack_bestfit_pad(dealt, 512, "idx", BYTE_SPECIALS["<|bos|>"], buffer=20))
+    dealt = r.withColumn("stream_id", F.pmod("conv_id", F.lit(4)).cast("int"))
+    rows = packing.train_rows(packing.pack_bestfit_pad(dealt, 512, "conv_id", BYTE_SPECIALS["<|bos|>"], buffer=20))
     return rows.select("stream_id", "row_id", F.md5(S.ids_text(F.col("inputs"))).alias("inputs"),
                        F.md5(S.ids_text(F.col("targets"))).alias("targets"))
 
@@ -316,7 +316,7 @@ def _flat(convs, *extra):
 
 def _worked(spark, d):
     """Orders as worked arithmetic: a quantity times a price, with recorded results, some of them wrong."""
-    rows = table(spark, d, "orders").select("o_orderkey", (F.pmod("o_custkey", F.lit(50)) + 1).cast("int").alias("q"))
+    rows = table(spark, d, "orders", "o_orderkey").select("o_orderkey", (F.pmod("o_custkey", F.lit(50)) + 1).cast("int").alias("q"))
     result = F.col("q") * 3 + F.when(F.pmod("o_orderkey", F.lit(7)) == 0, 1).otherwise(0)
     return rows.select(
         "o_orderkey", "q",
@@ -446,7 +446,7 @@ def _tool_streams(spark, d):
     """Worked lines as rendered token streams."""
     w = _worked(spark, d).select(F.col("o_orderkey").alias("idx"), "q", F.lit("q").alias("question"), "answer")
     convs = T.gsm8k_conversations(w, "idx")
-    return C.render_pieces(C.pieces_of_messages(convs))
+    return C.render_messages(convs)
 
 
 @query(f"""WITH {_SQL_WORKED}, b AS (SELECT o_orderkey AS conv_id, {byte_list("q || '*3'")} AS x, {byte_list("'1,000+' || q")} AS y,

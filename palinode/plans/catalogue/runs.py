@@ -12,6 +12,9 @@ from palinode.plans.registry import query, uniform
 from palinode.session import table
 
 
+STEPS = 65_536  # steps number the rows of a run: fixed-width buckets need no quantiles
+
+
 def _curve(spark, d):
     ev = table(spark, d, "events").select("event_id", F.col("user_id").alias("run"), "event_type", "value")
     return dense_index(ev, ["event_id"], "step", ["run"])
@@ -26,18 +29,18 @@ s AS (SELECT run, step, 0.1 * value AS s FROM cv WHERE step = 0
       UNION ALL SELECT cv.run, cv.step, 0.9 * s.s + 0.1 * cv.value FROM s JOIN cv ON cv.run = s.run AND cv.step = s.step + 1)
 SELECT run, step, round(s / (1 - pow(0.9::DOUBLE, step + 1)), 7) AS ema FROM s""")
 def ema_debiased(spark, d):
-    return ema(_curve(spark, d), ["run"], ["step"], "value").select("run", "step", F.round("ema", 7).alias("ema"))
+    return ema(_curve(spark, d), ["run"], ["step"], "value", width=STEPS).select("run", "step", F.round("ema", 7).alias("ema"))
 
 
 @query(f"WITH {_SQL_CURVE} SELECT run, step, round(lag(value) OVER (PARTITION BY run ORDER BY step) - value, 6) AS \"drop\" FROM cv")
 def curve_deltas(spark, d):
-    return series.deltas(_curve(spark, d), ["run"], ["step"], "value").select("run", "step", F.round("drop", 6).alias("drop"))
+    return series.deltas(_curve(spark, d), ["run"], ["step"], "value", width=STEPS).select("run", "step", F.round("drop", 6).alias("drop"))
 
 
 @query(f"""WITH {_SQL_CURVE}, b AS (SELECT run, step, value, min(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM cv)
 SELECT run, step, best_before, coalesce(value < best_before, true) AS new_best FROM b""")
 def running_min(spark, d):
-    return series.running_best(_curve(spark, d), ["run"], ["step"], "value").select("run", "step", "best_before", "new_best")
+    return series.running_best(_curve(spark, d), ["run"], ["step"], "value", width=STEPS).select("run", "step", "best_before", "new_best")
 
 
 @query(f"WITH {_SQL_CURVE} SELECT run, arg_max(value, step) AS value, arg_max(event_type, step) AS event_type FROM cv GROUP BY run")
@@ -51,7 +54,7 @@ SELECT run, step, round(train_time, 6) AS train_time, CASE WHEN step > 10 THEN r
 def eta(spark, d):
     cv = _curve(spark, d)
     total = cv.groupBy("run").agg(F.max("step").alias("total"))
-    out = series.eta(cv.join(total, "run"), ["run"], "step", "value", F.col("total"))
+    out = series.eta(cv.join(total, "run"), ["run"], "step", "value", F.col("total"), width=STEPS)
     return out.select("run", "step", F.round("train_time", 6).alias("train_time"), F.round("eta", 9).alias("eta"))
 
 

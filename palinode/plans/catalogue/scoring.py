@@ -173,7 +173,7 @@ def any_pass(spark, d):
 
 @query(f"WITH {_SQL_OUT} SELECT problem, sample, bool_or(correct) OVER (PARTITION BY problem ORDER BY sample) AS any_so_far FROM oc")
 def prefix_any(spark, d):
-    return metrics.prefix_any(_outcomes(spark, d), ["problem"], ["event_id"], "correct").select("problem", "sample", "any_so_far")
+    return metrics.prefix_any(_outcomes(spark, d), ["problem"], ["sample"], "correct", width=65_536).select("problem", "sample", "any_so_far")
 
 
 @query(f"WITH {_SQL_OUT} SELECT problem, sample, reward, round(reward - avg(reward) OVER (PARTITION BY problem), 9) AS advantage FROM oc")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palinode.functions.seeded import seed_uniform
+from palinode.functions.seeded import seed_key, seed_pick, seed_uniform
 from palinode.functions.sequences import mask_targets, shift, tail
 from palinode.operators import bpe, conversations, language_model, metrics, mixture, packing
 from palinode.operators.selection import assign_stream_by_file, cap_per_task, char_budget, crop_chars, drop_blank
@@ -39,13 +39,14 @@ def corpus_rows(docs: DataFrame, vocab: bpe.Vocabulary, seq_len: int, world: int
 
 
 def chat_rows(turns: DataFrame, vocab: bpe.Vocabulary, seq_len: int, world: int, seed: int = 42, **kw) -> DataFrame:
-    """Turns to supervised rows: validate, render, mix in a seeded order, pad-pack, mask targets."""
+    """Turns to supervised rows: validate, render, deal to streams in a seeded order, pad-pack, mask targets.
+    Stream and order are draws on the conversation id, so rendering happens once and is moved once."""
     specials = vocab.special_ids
     rendered = conversations.render_turns(
         turns, specials=specials, encode=lambda df, text, out: bpe.encode(df, vocab, text, out))
-    mixed = mixture.task_mixture([rendered.withColumn("local", F.col("conv_id"))], "local", seed)
-    dealt = mixed.withColumn("stream_id", F.pmod("idx", F.lit(world)).cast("int"))
-    packed = packing.pack_bestfit_pad(dealt, seq_len, "idx", specials["<|bos|>"], **kw)
+    dealt = rendered.withColumns({"shuffle_key": seed_key(seed, "conv_id"),
+                                  "stream_id": seed_pick(world, f"{seed}s", "conv_id").cast("int")})
+    packed = packing.pack_bestfit_pad(dealt, seq_len, ["shuffle_key", "conv_id"], specials["<|bos|>"], **kw)
     return packing.train_rows(packed)
 
 

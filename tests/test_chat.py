@@ -58,6 +58,24 @@ def test_render_fixture_system_and_truncation(spark):
     assert done[1] == [SP["bos"], SP["user_start"], 97, SP["user_end"], SP["assistant_start"]]
 
 
+def test_row_and_turn_rendering_agree(spark):
+    from palinode.functions.tokens import SPECIAL_TOKENS
+    from palinode.operators import bpe
+
+    convs = {1: [("user", "a"), ("assistant", "b")], 2: [("system", "S"), ("user", "é é"), ("assistant", "ok ok"), ("user", "q"), ("assistant", "r")]}
+    turns = _turns(spark, convs)
+    assembled = C.assemble_conversations(turns)
+    vocab = bpe.Vocabulary([(111, 107), (32, 256)], SPECIAL_TOKENS)
+    pairs = [
+        (C.render_turns(turns), C.render_messages(assembled)),
+        (C.render_turns(turns, specials=vocab.special_ids, encode=lambda df, t, o: bpe.encode(df, vocab, t, o)),
+         C.render_messages(assembled, lambda df, t, o: bpe.encode_list(df, vocab, t, o), vocab.special_ids))]
+    for by_turn, by_row in pairs:
+        a, b = ({r.conv_id: (list(r.ids), list(r.mask)) for r in x.collect()} for x in (by_turn, by_row))
+        assert a == b and len(a) == 2
+    assert 257 in {r.conv_id: r.ids for r in pairs[1][1].collect()}[2]
+
+
 def test_validity_fixture(spark):
     convs = {1: [("system", "s"), ("user", "u"), ("assistant", "a")], 2: [("user", "u"), ("user", "u")], 3: [("user", "u")],
              4: [("assistant", "a"), ("user", "u")], 5: [("user", " \n"), ("assistant", "a")], 6: [("user", None), ("assistant", "a")]}
@@ -98,7 +116,7 @@ def test_tool_call_split_fixture(spark):
             else:
                 want.append(("text", piece))
         assert got[i] == want
-    rendered = {r.conv_id: (list(r.ids), list(r.mask)) for r in C.render_pieces(C.pieces_of_messages(T.gsm8k_conversations(df))).collect()}
+    rendered = {r.conv_id: (list(r.ids), list(r.mask)) for r in C.render_messages(T.gsm8k_conversations(df)).collect()}
     assert rendered[0] == _render([("user", [("text", "q")]), ("assistant", got[0])])
 
 
