@@ -11,8 +11,6 @@ TOOL_CALL_PATTERN = r"(?s)<<[^>]+>>"
 PROGRAM_PATTERN = "(?s)```(?:python)?\\s*\\n(.*?)\\n```"
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
-_SEP = "\u0001"
-
 
 def strip(text: Column) -> Column:
     """Remove white space of every kind from both ends."""
@@ -78,7 +76,7 @@ def split_tool_calls(answer: Column) -> Column:
     """Text with `<<expr=result>>` markers to ARRAY<STRUCT<type, text>>: text, python and python_output
     parts in order. The expression ends at the last `=`; empty text parts stay."""
     calls = F.regexp_extract_all(answer, F.lit(TOOL_CALL_PATTERN), F.lit(0))
-    texts = F.split(F.regexp_replace(answer, TOOL_CALL_PATTERN, _SEP), _SEP, -1)
+    texts = F.split(answer, TOOL_CALL_PATTERN, -1)
 
     def part(kind: str, text: Column) -> Column:
         return F.struct(F.lit(kind).alias("type"), text.alias("text"))

@@ -120,6 +120,23 @@ def pack_bestfit_pad(spark, d):
                        F.md5(S.ids_text(F.col("targets"))).alias("targets"))
 
 
+@query(f"""WITH {SQL_MERGED}, {_sql_rendered('m')} SELECT sum(len(ids))::BIGINT AS tokens_kept, sum(list_sum(mask))::BIGINT AS supervised, 0::BIGINT AS bad_rows FROM r""")
+def pack_pad_conservation(spark, d):
+    """Pad packing loses no token and no supervised target, and every row has its full length."""
+    dealt = C.render_turns(_turns(spark, d)).withColumn("stream_id", F.pmod("conv_id", F.lit(4)).cast("int"))
+    packed = packing.pack_bestfit_pad(dealt, 2048, "conv_id", BYTE_SPECIALS["<|bos|>"], buffer=20)
+    rows = packed.withColumn("targets", S.mask_targets(S.tail(F.col("tokens")), S.tail(F.col("mask")), F.col("content_len")))
+    return rows.agg(F.sum("content_len").alias("tokens_kept"), F.sum(F.size(F.filter("targets", lambda t: t >= 0))).alias("supervised"),
+                    F.count_if((F.size("tokens") != 2049) | (F.get("tokens", F.lit(0)) != BYTE_SPECIALS["<|bos|>"])).alias("bad_rows"))
+
+
+@query(f"""WITH {SQL_CHECK}, t AS (SELECT * FROM conversations JOIN chk USING (conv_id) WHERE chk.reason = 'ok')
+SELECT conv_id, count(*)::BIGINT AS n, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS digest FROM t GROUP BY conv_id""")
+def smoltalk_conversations(spark, d):
+    line = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), F.get(m["parts"], F.lit(0))["text"]))
+    return T.smoltalk_conversations(_turns(spark, d)).select("conv_id", F.size("messages").cast("long").alias("n"), F.md5(F.array_join(line, "|")).alias("digest"))
+
+
 # ---- task tables -----------------------------------------------------------------------------------
 
 @query("""

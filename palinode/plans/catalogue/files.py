@@ -174,7 +174,7 @@ def stream_meters(spark, d):
 @query()
 def stream_pack(spark, d):
     docs = _stream(spark, d, "documents").select("doc_id", word_ids(word_tokens(F.col("text")), VOCAB).alias("ids"), F.pmod("doc_id", F.lit(4)).cast("int").alias("stream_id"))
-    packed = streams.pack_stream(docs.withColumn("ids", F.array_prepend("ids", LAB_SPECIALS["<bos>"])), 512, buffer=100, refill=16)
+    packed = streams.pack_stream(docs.withColumn("ids", F.array_prepend("ids", LAB_SPECIALS["<bos>"])), 512, buffer=20, refill=8)
     out = streams.run_to_table(packed, scratch_dir(spark, "sp"), scratch_dir(spark, "spc"))
     return out.select("stream_id", "row_id", F.md5(ids_text(F.col("tokens"))).alias("digest"))
 

@@ -299,6 +299,16 @@ def pack_bestfit_crop(spark, d):
     return _row_digest(packing.pack_bestfit_crop(_pack_docs(spark, d), 512, "idx", buffer=100, refill=16))
 
 
+@query(f"""SELECT sum(len({sql_words()}) + 1)::BIGINT AS tokens_in, count(*)::BIGINT AS docs_placed, 0::BIGINT AS bad_rows FROM documents""")
+def pack_crop_conservation(spark, d):
+    """Every document is placed exactly once, and every finished row is full and led by BOS."""
+    docs = _pack_docs(spark, d)
+    packed = cut_lineage(packing.pack_bestfit_crop(docs, 512, "idx", buffer=100, refill=16, keep_tail=True))
+    report = packing.packing_report(docs, packed, 512)
+    bad = packed.agg(F.sum("n_docs").alias("docs_placed"), F.count_if((F.col("complete") & (F.size("tokens") != 513)) | (F.get("tokens", F.lit(0)) != LAB_SPECIALS["<bos>"])).alias("bad_rows"))
+    return report.crossJoin(F.broadcast(bad)).select("tokens_in", "docs_placed", "bad_rows")  # one row each
+
+
 @query()
 def pack_bestfit_crop_reverse(spark, d):
     return _row_digest(packing.pack_bestfit_crop(

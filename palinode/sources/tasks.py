@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from palinode.functions.seeded import seed_key, seed_pick, seed_uniform
 from palinode.functions.text import (
     count_letter, counting_lines, fill_template, letter_of, letters_of, render_mc, spell, split_tool_calls)
+from palinode.operators.conversations import assemble_conversations, keep_valid
 from palinode.operators.ordered import dense_index
+from palinode.session import cut_lineage
 
 PART = "struct<type:string,text:string>"
 _MESSAGES = "array<struct<role:string,content:string>>"
@@ -95,6 +97,12 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''")
 
 
+def smoltalk_conversations(turns: DataFrame) -> DataFrame:
+    """General chat: the valid conversations of a turn table, in the shared shape."""
+    none = {"letters": "array<string>", "subject": "string", "extra": "map<string,string>"}
+    return assemble_conversations(keep_valid(turns)).withColumns({k: F.lit(None).cast(t) for k, t in none.items()})
+
+
 # ---- task tables -----------------------------------------------------------------------------------
 
 def mmlu_conversations(df: DataFrame, idx: str = "idx") -> DataFrame:
@@ -131,7 +139,9 @@ def indexed_words(words: DataFrame, seed: int = 42, word: str = "word") -> DataF
 
 
 def draw_words(ids: DataFrame, indexed: DataFrame, seed_col: Column, salt: str) -> DataFrame:
-    """Give every id a word: a seeded index joined to the word list. The list size is one number."""
+    """Give every id a word: a seeded index joined to the word list, which is derived once. Its size is one
+    number on the driver."""
+    indexed = cut_lineage(indexed)
     n = indexed.count()
     if not n:
         raise ValueError("empty word list")
