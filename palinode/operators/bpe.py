@@ -95,36 +95,76 @@ def _symbol_id(c: str) -> int:
     return ord(c) if ord(c) < 0xD800 else ord(c) - 0x800
 
 
+def _windows(words: DataFrame, width: int) -> DataFrame:
+    """(w, freq, i, s): every run of `width` symbols of every word."""
+    long = words.where(F.length("w") >= width)
+    placed = long.select("w", "freq", F.explode(F.sequence(F.lit(1), F.length("w") - (width - 1))).alias("i"))
+    return placed.withColumn("s", F.substring(F.col("w"), F.col("i"), F.lit(width)))
+
+
 def _pair_counts(words: DataFrame) -> DataFrame:
-    """(pair, n): how often merging the pair would fire. Counted per distinct word, so runs of one symbol
-    count the way they merge, left to right."""
-    long = words.where(F.length("w") >= 2)
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2))))
-    each = long.select("w", "freq", F.explode(pairs).alias("pair"))
-    fires = (F.length("w") - F.length(F.replace(F.col("w"), F.col("pair"), F.lit("")))) / 2
-    return each.groupBy("pair").agg(F.sum(F.col("freq") * fires.cast("long")).alias("n"))
-
-
-def _triple_bounds(words: DataFrame, pairs: Sequence[str]) -> dict[str, int]:
-    """For each pair, the largest count of a three-symbol window that contains it: no pair made from its
-    merge can ever be more frequent."""
-    long = words.where(F.length("w") >= 3)
-    triples = F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring(F.col("w"), i, F.lit(3)))
-    counted = long.select("freq", F.explode(triples).alias("t")).where(
-        F.substring("t", 1, 2).isin(*pairs) | F.substring("t", 2, 2).isin(*pairs)).groupBy("t").agg(F.sum("freq").alias("n"))
-    side = counted.select(F.explode(F.array(F.substring("t", 1, 2), F.substring("t", 2, 2))).alias("pair"), "n")
-    rows = side.where(F.col("pair").isin(*pairs)).groupBy("pair").agg(F.max("n").alias("n")).collect()
-    return {r["pair"]: r["n"] for r in rows}
+    """(pair, n): how often merging the pair would fire. Within a run of one symbol only every second
+    window fires, left to right."""
+    at = _windows(words, 2)
+    head = F.substring(F.col("w"), F.lit(1), F.col("i") - 1)
+    symbol = F.substring("s", 1, 1)
+    run = F.length(head) - F.length(F.rtrim(head, symbol))
+    fires = (symbol != F.substring("s", 2, 1)) | (F.pmod(run, F.lit(2)) == 0)
+    return at.where(fires).groupBy(F.col("s").alias("pair")).agg(F.sum("freq").alias("n"))
+
+
+def _triples(words: DataFrame, pairs: Sequence[str]) -> tuple[dict[str, int], dict[str, int]]:
+    """({pair: largest count of a three-symbol window around it}, {window made of two of the pairs: count}).
+    At most pairs + pairs^2 numbers."""
+    left, right = F.substring("s", 1, 2), F.substring("s", 2, 2)
+    counted = _windows(words, 3).where(left.isin(*pairs) | right.isin(*pairs)).groupBy("s").agg(F.sum("freq").alias("n"))
+    sides = counted.select("s", "n", F.explode(F.array(left, right)).alias("pair")).where(F.col("pair").isin(*pairs))
+    both = F.when(F.substring("s", 1, 2).isin(*pairs) & F.substring("s", 2, 2).isin(*pairs), F.col("s"))
+    rows = sides.groupBy("pair", both.alias("both")).agg(F.max("n").alias("n")).collect()
+    around: dict[str, int] = {}
+    for r in rows:
+        around[r["pair"]] = max(around.get(r["pair"], 0), r["n"])
+    return around, {r["both"]: r["n"] for r in rows if r["both"] is not None}
+
+
+def _provable_batch(top: list[tuple[str, int]], rest: int, around: dict[str, int], shared: dict[str, int]) -> list[str]:
+    """The longest run of merges whose order is certain from counts taken before the first of them.
+
+    Accepted merges eat into the pairs they overlap with, so a pair's current count is known as an
+    interval: lowered by every shared window at the bottom, by the largest certain one at the top. A pair
+    is next when its lower end beats every other upper end (equal counts go by id), everything not in the
+    list (`rest`), and anything the accepted merges can have created.
+    """
+    low, high = dict(top), dict(top)
+    start = dict(top)
+    batch: list[str] = []
+    ceiling = -1
+    while len(batch) < len(top):
+        left = [p for p, _ in top if p not in batch]
+        best = max(left, key=lambda p: (low[p], [-ord(c) for c in p]))
+        n = low[best]
+        beaten = all(n > high[q] or (n == high[q] and best < q) for q in left if q != best)
+        known = n > rest or (n == rest and n == start[best])
+        if batch and not (beaten and known and n > ceiling):
+            break
+        a, b = best
+        exact = low[best] == start[best] and a != b
+        for q in left:
+            c, d = q
+            eaten = [shared.get(w, 0) for w, hit in ((a + q, b == c), (q + b, d == a)) if hit]
+            low[q] -= sum(eaten)
+            if exact and c != d and eaten:
+                high[q] = min(high[q], start[q] - max(eaten))
+        batch.append(best)
+        ceiling = max(ceiling, around.get(best, 0))
+    return batch
 
 
 def train_bpe(counts: DataFrame, vocab_size: int, min_freq: int = 1, specials: Sequence[str] = SPECIAL_TOKENS,
-              specials_first: bool = False, candidates: int = 64, cut_every: int = 24) -> Vocabulary:
+              specials_first: bool = False, candidates: int = 64, cut_every: int = 32) -> Vocabulary:
     """Learn merges from (pretoken, freq): always the most frequent adjacent pair, ties to the lower ids.
-
-    Several merges are taken per round when that provably equals taking them one by one: going down the
-    ranking, a pair is accepted while it cannot overlap an accepted one and is strictly more frequent
-    than anything the accepted merges can create.
-    """
+    A round takes as many merges as are provably the next ones, so the result is that of taking them one
+    by one."""
     n_merges = vocab_size - 256 - len(specials)
     if n_merges < 0:
         raise ValueError("vocabulary must hold 256 bytes and the special tokens")
@@ -137,26 +177,16 @@ def train_bpe(counts: DataFrame, vocab_size: int, min_freq: int = 1, specials: S
     pending = 0
     while len(merges) < n_merges:
         top = [(r["pair"], r["n"]) for r in _pair_counts(words).where(F.col("n") >= max(1, min_freq)).orderBy(
-            F.col("n").desc(), "pair").limit(min(candidates, n_merges - len(merges))).collect()]
+            F.col("n").desc(), "pair").limit(candidates).collect()]
         if not top:
             break
-        batch = [top[0]]
-        for cand in top[1:]:
-            a, b = cand[0]
-            if any(b == x[0] or a == x[1] for x, _ in batch):
-                break
-            batch.append(cand)
-        if len(batch) > 1:
-            bounds = _triple_bounds(words, [p for p, _ in batch])
-            ceiling, safe = 0, 0
-            for pair, n in batch:
-                if safe and n <= ceiling:
-                    break
-                safe += 1
-                ceiling = max(ceiling, bounds.get(pair, 0))
-            batch = batch[:safe]
+        if len(top) > 1 and n_merges - len(merges) > 1:
+            rest = top[-1][1] if len(top) == candidates else max(1, min_freq) - 1
+            batch = _provable_batch(top, rest, *_triples(words, [p for p, _ in top]))[:n_merges - len(merges)]
+        else:
+            batch = [top[0][0]]
         merged: Column = F.col("w")
-        for pair, _ in batch:
+        for pair in batch:
             merged = F.replace(merged, F.lit(pair), F.lit(_symbol(256 + len(merges))))
             merges.append((_symbol_id(pair[0]), _symbol_id(pair[1])))
         words = words.withColumn("w", merged)
@@ -164,7 +194,7 @@ def train_bpe(counts: DataFrame, vocab_size: int, min_freq: int = 1, specials: S
         if pending >= cut_every:
             words = cut_lineage(words.where(F.length("w") >= 2))
             pending = 0
-    return Vocabulary(merges, specials, specials_first)
+    return Vocabulary(merges, tuple(specials), specials_first)
 
 
 # ---- encoding --------------------------------------------------------------------------------------
