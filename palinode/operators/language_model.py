@@ -37,10 +37,10 @@ def directed(bigrams: DataFrame, keep: Sequence[str] = ("n",)) -> DataFrame:
 
 
 def model_tables(train: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(contexts, words, totals) from the training bigrams."""
+    """(contexts, words, totals) from the training bigrams; totals is one struct."""
     contexts = directed(train).groupBy("direction", "ctx").agg(F.sum("n").alias("n_ctx"))
     words = train.where(F.col("b") != EDGE).groupBy(F.col("b").alias("tgt")).agg(F.sum("n").alias("n_tgt"))
-    totals = words.agg(F.sum("n_tgt").alias("n_all"), F.count("*").alias("n_types"))
+    totals = words.agg(F.struct(F.sum("n_tgt").alias("n_all"), F.count("*").alias("n_types")))
     return contexts, words, totals
 
 
@@ -53,12 +53,12 @@ def score_pairs(held_out: DataFrame, train: DataFrame, keys: Sequence[str] = (),
     contexts, words, totals = model_tables(train)
     seen = held_out.join(train.withColumnRenamed("n", "n_pair"), ["a", "b"], "left")
     joined = directed(seen, [*keys, "n", "n_pair"]).join(contexts, ["direction", "ctx"], "left").join(
-        words, "tgt", "left").crossJoin(F.broadcast(totals))  # totals is one row
+        words, "tgt", "left").withColumn("__t", totals.scalar())
 
     def count(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0))
 
-    p0 = (count("n_tgt") + 1) / (F.col("n_all") + F.col("n_types") + 1)
+    p0 = (count("n_tgt") + 1) / (F.col("__t.n_all") + F.col("__t.n_types") + 1)
     p = (count("n_pair") + alpha * p0) / (count("n_ctx") + alpha)
     return joined.select(*keys, "direction", "ctx", "tgt", "n", (-F.log(p)).alias("loss"),
                          F.octet_length("tgt").alias("n_bytes"), F.lit(0).alias("target"))

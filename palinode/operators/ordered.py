@@ -203,7 +203,7 @@ def median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFram
         on = [ranked[k].eqNullSafe(renamed[f"__t_{k}"]) for k in keys]
         joined = ranked.join(renamed, on)
     else:
-        joined = ranked.crossJoin(F.broadcast(totals))  # totals is one row
+        joined = ranked.withColumn("__total", totals.scalar())
     low = F.expr("(__total - 1) div 2")
     high = F.expr("__total div 2")
     start = F.col("__hi") - F.col("__n")

@@ -291,7 +291,7 @@ def packing_report(docs: DataFrame, packed: DataFrame, seq_len: int, ids: str =
     ins = docs.agg(F.sum(size).alias("tokens_in"), F.sum(F.greatest(size - cap, F.lit(0))).alias("over"))
     outs = packed.agg(F.count("*").alias("n_rows"), F.sum(F.col("content_len").cast("long")).alias("tokens_used"),
                       F.sum(F.size("tokens").cast("long")).alias("tokens_out"))
-    one = ins.crossJoin(F.broadcast(outs))  # one row each
+    one = ins.withColumn("__out", outs.select(F.struct("*")).scalar()).select("*", "__out.*")
     return one.select(
         "tokens_in", "tokens_used", (F.col("tokens_in") - F.col("tokens_used")).alias("tokens_cropped"), "n_rows",
         (F.col("tokens_used") / F.col("tokens_out")).alias("utilisation"),

@@ -36,8 +36,10 @@ def eta(df: DataFrame, run: Sequence[str], step: str, dt: str, total: Column, wa
 
 
 def minmax(df: DataFrame, keys: Sequence[str], value: str, out: str = "scaled") -> DataFrame:
-    ends = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    joined = df.join(ends, list(keys)) if keys else df.crossJoin(F.broadcast(ends))  # one row of extremes
+    if keys:
+        joined = df.join(df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi")), list(keys))
+    else:
+        joined = df.withColumns({"__lo": df.agg(F.min(value)).scalar(), "__hi": df.agg(F.max(value)).scalar()})
     span = F.col("__hi") - F.col("__lo")
     return joined.withColumn(out, F.when(span != 0, (F.col(value) - F.col("__lo")) / span)).drop("__lo", "__hi")
 

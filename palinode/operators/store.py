@@ -112,8 +112,7 @@ def repackage_plan(docs: DataFrame, id_col: str, n_chars: str, chars_per_shard:
     numbered = prefix_sum(marks, ["position"], F.when(first, F.coalesce("opens", F.lit(0))).otherwise(0), "__shard")
     out = numbered.select(id_col, "position", (F.col("__shard") - 1).cast("long").alias("shard_id"))
     if drop_tail:
-        last = starts.agg((F.count("*") - 1).alias("last"))
-        out = out.crossJoin(F.broadcast(last)).where(F.col("shard_id") < F.col("last")).drop("last")  # one row
+        out = out.where(F.col("shard_id") < starts.agg(F.count("*") - 1).scalar())
     return out
 
 

@@ -129,7 +129,7 @@ def perplexity_batched(spark, d):
     docs = table(spark, d, "documents").select("doc_id", (seed_uniform("loss", "doc_id") * 4).alias("loss"))
     rows = dense_index(docs, ["doc_id"]).withColumn("batch", selection.batch_no(F.col("idx"), 24))
     token = metrics.perplexity(rows, "batch", token_weighted=True).select(F.round("loss", 9).alias("token_loss"))
-    return metrics.perplexity(rows, "batch").select(F.round("loss", 9).alias("loss"), F.round("ppl", 7).alias("ppl")).crossJoin(F.broadcast(token))  # one row each
+    return metrics.perplexity(rows, "batch").select(F.round("loss", 9).alias("loss"), F.round("ppl", 7).alias("ppl")).withColumn("token_loss", token.scalar())
 
 
 @query(f"""WITH t AS (SELECT lang, unnest({sql_words()}) AS w FROM documents),

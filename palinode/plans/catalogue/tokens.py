@@ -263,9 +263,8 @@ WITH p AS (SELECT item_id, {sql_word_ids(sql_words(), VOCAB)} AS ids FROM benchm
 SELECT item_id, {digest('ids || list_transform(range(0, n - len(ids)), lambda x: 0)')} AS padded FROM p, m""")
 def pad_right(spark, d):
     items = table(spark, d, "benchmark").select("item_id", word_ids(word_tokens(F.col("text")), VOCAB).alias("ids"))
-    longest = items.agg(F.max(F.size("ids")).alias("n"))
-    return items.crossJoin(F.broadcast(longest)).select(  # one row
-        "item_id", _digest(S.pad_right(F.col("ids"), F.col("n"), 0)).alias("padded"))
+    longest = items.agg(F.max(F.size("ids"))).scalar()
+    return items.withColumn("n", longest).select("item_id", _digest(S.pad_right(F.col("ids"), F.col("n"), 0)).alias("padded"))
 
 
 @query(f"""{SQL_BLOCKS} SELECT block_id, 'primary' AS objective, {digest('tokens[:-2]')} AS inputs, {digest('tokens[2:]')} AS labels,
@@ -305,8 +304,8 @@ def pack_crop_conservation(spark, d):
     docs = _pack_docs(spark, d)
     packed = cut_lineage(packing.pack_bestfit_crop(docs, 512, "idx", buffer=100, refill=16, keep_tail=True))
     report = packing.packing_report(docs, packed, 512)
-    bad = packed.agg(F.sum("n_docs").alias("docs_placed"), F.count_if((F.col("complete") & (F.size("tokens") != 513)) | (F.get("tokens", F.lit(0)) != LAB_SPECIALS["<bos>"])).alias("bad_rows"))
-    return report.crossJoin(F.broadcast(bad)).select("tokens_in", "docs_placed", "bad_rows")  # one row each
+    rows = packed.agg(F.struct(F.sum("n_docs").alias("docs_placed"), F.count_if((F.col("complete") & (F.size("tokens") != 513)) | (F.get("tokens", F.lit(0)) != LAB_SPECIALS["<bos>"])).alias("bad_rows")))
+    return report.withColumn("rows", rows.scalar()).select("tokens_in", "rows.docs_placed", "rows.bad_rows")
 
 
 @query()

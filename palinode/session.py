@@ -17,6 +17,8 @@ def get_session(app: str = "palinode", master: str | None = None, **conf: str) -
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # hash instead of sort where every partition of the smaller side is known to be small
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,

@@ -3,7 +3,6 @@
 import json
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from palinode.functions import text as X

@@ -80,6 +80,9 @@ def test_ema_fixture_and_long_series(spark):
 def test_median_even_odd_and_duplicates(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 4.0), ("b", 1.0), ("b", 2.0), ("b", 4.0), ("b", 9.0)], "k string, v double")
     assert {r.k: r.m for r in ordered.median(df, ["k"], "v", "m").collect()} == {"a": 1.0, "b": 3.0}
+    assert ordered.median(df, [], "v", "m").first().m == 2.0
+    scaled = series.minmax(df, [], "v").select(F.min("scaled"), F.max("scaled")).first()
+    assert tuple(scaled) == (0.0, 1.0)
 
 
 def test_top_k_ties_and_nucleus_fixtures(spark):
