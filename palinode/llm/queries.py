@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palinode.llm.byte_bpe import encode
+from palinode.llm.language_id import identify, train
+from palinode.llm.license_scan import scan_licenses
 from palinode.llm.ngram_join import jaccard_components
+from palinode.llm.quality import judge
 from palinode.llm.sharding import shuffle_shards
 from palinode.llm.token_store import id_checksums, read_tokens, write_tokens
 from palinode.llm.url_filter import SOFT_TERMS, STRICT_TERMS, judge_urls
@@ -28,11 +31,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+LICENSE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+
+
+@_query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"), LICENSE_PHRASES).drop("hits")
+
+
 @_query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=5, num=3, den=4).drop("class_id")
 
 
+@_query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _held_out() -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+
+
+@_query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs.select("doc_id", "text", "lang").where(~_held_out()))
+    judged = identify(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
 @_query
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-store")
@@ -112,3 +141,30 @@ r AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
     WHEN n_strict > 0 OR n_soft > 1 THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft FROM r
 """
+
+ORACLES["op3_quality_rules"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+g AS (
+  SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, array_to_string(w[i:i + 4], ' ') AS g FROM t WHERE len(w) >= 5),
+twice AS (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT g.doc_id, unnest(range(g.i, g.i + 5)) AS p FROM g JOIN twice ON g.doc_id = twice.doc_id AND g.g = twice.g)
+  GROUP BY doc_id),
+f AS (
+  SELECT t.doc_id, text, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM t LEFT JOIN covered c ON c.doc_id = t.doc_id),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+    OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)
+    OR 3 * len(regexp_extract_all(text, '[!-@\[-`{-~]')) > 2 * word_chars
+    OR 2 * len(regexp_extract_all(text, '[A-Z]')) > word_chars
+    OR 5 * len(regexp_extract_all(text, '!!')) > n_words) AS kept
+FROM b
+"""
