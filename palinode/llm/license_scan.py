@@ -74,7 +74,8 @@ def _strings(values: Sequence[str]) -> Column:
 
 def _idf(docs: DataFrame, vocabulary: Sequence[str]) -> dict[str, float]:
     """ln((documents + 1) / (documents with the word + 1)) of every vocabulary word."""
-    found = docs.select(F.explode(F.array_append(F.array_intersect(words_of(F.col("text")), _strings(vocabulary)), F.lit(""))).alias("w"))
+    found = docs.select(F.explode_outer(F.array_append(
+        F.array_intersect(words_of(F.col("text")), _strings(vocabulary)), F.lit(""))).alias("w"))
     counts = {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}  # the vocabulary at most
     total = counts.get("", 0)
     return {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palinode.llm.byte_bpe import encode
+from palinode.llm.decontaminate import contaminated
 from palinode.llm.language_id import identify, train
 from palinode.llm.license_scan import scan_licenses
 from palinode.llm.ngram_join import jaccard_components
 from palinode.llm.quality import judge
+from palinode.llm.secret_scan import find_secrets, spans_text
 from palinode.llm.sharding import shuffle_shards
 from palinode.llm.token_store import id_checksums, read_tokens, write_tokens
 from palinode.llm.url_filter import SOFT_TERMS, STRICT_TERMS, judge_urls
@@ -50,6 +52,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@_query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(spans_text(F.col("found"), ["assign", "access", "hex"]).cast("binary"), 256).alias("base_sha256"),
+                        spans_text(F.col("found")).alias("spans"))
+
+
 def _held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
@@ -69,6 +83,11 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_checksums(read_tokens(spark, path))
 
 
+@_query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
              ("allow", "org", "/fr/"))
 
