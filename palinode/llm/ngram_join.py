@@ -13,7 +13,7 @@ n-gram (the one where the n-gram comes earliest, the least altered copy); classe
 no further comparison, and only pairs across components that pass the filters are looked at. That loses
 no link between components. An n-gram that many classes share is a skewed join key, which Spark splits.
 
-N-grams are compared as 64-bit hashes. The sketch of 2**20 counters is the only thing that every task gets.
+N-grams are compared as 64-bit hashes. The sketch of 2**18 counters is the only thing that every task gets.
 
 Defined results: null, empty and white-space texts have an empty set, are linked with nothing and are their own
 component; a text of fewer than n words is one n-gram of all its words; equal texts of different ids are linked;
@@ -35,7 +35,7 @@ from palinode.llm.components import components
 from palinode.llm.scratch import stored
 from palinode.llm.segments import mix, range_hashes, slices, text_bytes, words
 
-SKETCH_BITS = 20
+SKETCH_BITS = 18
 _BLOCK = 4096
 _CELLS = 32
 
@@ -111,7 +111,7 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _levels(scan: DataFrame) -> np.ndarray:
-    """Quarter-octave level of every counter of the sketch: a fixed 2**20 bytes."""
+    """Quarter-octave level of every counter of the sketch: a fixed 2**18 bytes."""
     cells = scan.where("block is not null").select(
         "block", F.posexplode("counts").alias("at", "count")).where("count > 0")
     total = cells.groupBy((F.col("block") * _BLOCK + F.col("at")).alias("cell")).agg(F.sum("count").alias("count"))
@@ -150,6 +150,11 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, grams array<long>")
 
 
+def _sendable(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """Ids to filter by: sent to every task while they are at most `most` (16 MB), else left to a shuffled join."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def _needed(a: Column, b: Column, num: int, den: int) -> Column:
     """Least common n-grams of two sets of these sizes: ceil(t / (1 + t) * (a + b))."""
     total = (a + b).cast("long") * num
@@ -185,15 +190,17 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     rows = scan.where("block is null").select("id", "n", "sig_a", "sig_b", "hist")
     named = rows.where("n > 0 and id is not null")
     classes = named.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
-    reps = classes.select(F.col("rep").alias("id"), "sig_a", "sig_b")
+    copies = stored(named.join(classes, ["sig_a", "sig_b"]).where("id <> rep").select("id", "rep"), "ngram-copies")
+    # ids that stand for no class; one with several rows may be a copy in one and a representative in another
+    idle = copies.select("id").distinct().join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_anti")
     levels = df.sparkSession.sparkContext.broadcast(_levels(scan))
 
-    # an id on several rows represents each of its sets by the id alone: its n-grams are those of all its rows
-    heads = _prefixes(docs, levels, n, num, den).where("n > 0").join(reps.select("id").distinct(), "id", "left_semi")
+    heads = _prefixes(docs, levels, n, num, den).where("n > 0 and id is not null").join(
+        _sendable(idle), "id", "left_anti")
     posts = heads.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = posts.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
     posts = stored(posts.join(shared, "gram", "left_semi"), "ngram-posts")
-    sets = stored(_sets(docs.join(posts.select("id").distinct(), "id", "left_semi"), n), "ngram-sets")
+    sets = stored(_sets(docs.join(_sendable(posts.select("id").distinct()), "id", "left_semi"), n), "ngram-sets")
     facts = named.join(posts.select("id").distinct(), "id", "left_semi").select("id", "n", "hist")
 
     # round 1: every class against the leader of each of its n-grams
@@ -220,8 +227,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     pairs = across.select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v")).distinct()
     more = stored(_verify(pairs, facts, sets, num, den), "ngram-more")
 
-    same = named.join(classes.select("sig_a", "sig_b", "rep"), ["sig_a", "sig_b"]).where("id <> rep").select(
-        F.col("id").alias("u"), F.col("rep").alias("v"))
+    same = copies.select(F.col("id").alias("u"), F.col("rep").alias("v"))
     final = components(links.union(more).union(same))
     whole = rows.join(classes.select("sig_a", "sig_b", "rep", F.lit(True).alias("__full")), ["sig_a", "sig_b"], "left")
     return whole.join(final, "id", "left").select(
