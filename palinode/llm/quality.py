@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, ordered by rejections per cost.
 
-Each rule is a reject condition on a document. On a bounded sample (default 1,000 rows, those with the smallest hash
-of the text) every rule is run alone: its share of rejections and its time give rejections per second, and the
+Each rule is a reject condition on a document. On a bounded sample (default 1,000 rows, drawn by a hash of the
+row number) every rule is run alone: its share of rejections and its time give rejections per second, and the
 cascade asks the rules in that order, each only of documents that passed the ones before (a CASE stops at the first
 branch that holds). The order decides the cost and which rule is named first, never what is kept.
 
@@ -95,7 +95,8 @@ def judge(df: DataFrame, text: str = "text", rules: Mapping[str, Column] | None
     if clash := set(df.columns) & set(OUTPUTS):
         raise ValueError(f"columns of the table are named like outputs: {sorted(clash)}")
     rules = default_rules(text) if rules is None else dict(rules)
-    picked = df.select(F.col(text)).orderBy(F.xxhash64(text)).limit(sample_rows)
+    every = max(1, df.count() // sample_rows)
+    picked = df.select(F.col(text)).where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0).limit(sample_rows)
     order = order_rules(stored(with_features(picked, text), "quality-sample"), rules)
     cascade = F.when(base_failed(), "base")
     for name in order:
