@@ -37,7 +37,7 @@ from palinode.llm.segments import mix, range_hashes, slices, text_bytes, words
 
 SKETCH_BITS = 18
 _BLOCK = 4096
-_CELLS = 32
+_CELLS = 128
 
 
 def shingle_hashes(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -168,8 +168,9 @@ def _fits(x: str, y: str, num: int, den: int) -> Column:
     return long_enough & (F.least(nx - px, ny - py) >= _needed(nx, ny, num, den))
 
 
-def _verify(pairs: DataFrame, facts: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (u, v) among distinct pairs: suffix filter on histograms, then the overlap of the whole sets."""
+def _verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(links, verified pairs), each (u, v), among distinct pairs: suffix filter on histograms, then the overlap of the whole sets, which are
+    made again for the documents that are left (they are larger than the text)."""
     def of(df: DataFrame, side: str, *cols: str) -> DataFrame:
         return df.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in cols])
 
@@ -177,8 +178,12 @@ def _verify(pairs: DataFrame, facts: DataFrame, sets: DataFrame, num: int, den:
     need = _needed(F.col("n_u"), F.col("n_v"), num, den)
     apart = F.aggregate(F.zip_with("hist_u", "hist_v", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, x: s + x)
     near = rough.where(apart <= F.col("n_u") + F.col("n_v") - 2 * need).select("u", "v", need.alias("need"))
+    near = stored(near, "ngram-near")
+    ids = near.select(F.col("u").alias("id")).union(near.select("v")).distinct()
+    sets = stored(_sets(docs.join(_sendable(ids), "id", "left_semi"), n), "ngram-sets")
     full = near.join(of(sets, "u", "grams"), "u").join(of(sets, "v", "grams"), "v")
-    return full.where(F.size(F.array_intersect("grams_u", "grams_v")) >= F.col("need")).select("u", "v")
+    links = full.where(F.size(F.array_intersect("grams_u", "grams_v")) >= F.col("need")).select("u", "v")
+    return stored(links, "ngram-links"), near.select("u", "v")
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 3,
@@ -200,7 +205,6 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     posts = heads.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = posts.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
     posts = stored(posts.join(shared, "gram", "left_semi"), "ngram-posts")
-    sets = stored(_sets(docs.join(_sendable(posts.select("id").distinct()), "id", "left_semi"), n), "ngram-sets")
     facts = named.join(posts.select("id").distinct(), "id", "left_semi").select("id", "n", "hist")
 
     # round 1: every class against the leader of each of its n-grams
@@ -208,7 +212,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     star = posts.alias("x").join(leaders.alias("y"), "gram").where(
         (F.col("x.id") != F.col("y.id")) & _fits("x", "y", num, den))
     pairs = star.select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v")).distinct()
-    links = stored(_verify(pairs, facts, sets, num, den), "ngram-links")
+    links, verified = _verify(pairs, facts, docs, n, num, den)
 
     # round 2: what may still be linked across components
     parts = stored(components(links), "ngram-parts")
@@ -225,7 +229,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
         (F.col("x.component") != F.col("y.component")) & _fits("x", "y", num, den)
         & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))))
     pairs = across.select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v")).distinct()
-    more = stored(_verify(pairs, facts, sets, num, den), "ngram-more")
+    more, _ = _verify(pairs.join(verified, ["u", "v"], "left_anti"), facts, docs, n, num, den)
 
     same = copies.select(F.col("id").alias("u"), F.col("rep").alias("v"))
     final = components(links.union(more).union(same))
