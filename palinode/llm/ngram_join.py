@@ -13,7 +13,7 @@ n-gram (the one where the n-gram comes earliest, the least altered copy); classe
 no further comparison, and only pairs across components that pass the filters are looked at. That loses
 no link between components. An n-gram that many classes share is a skewed join key, which Spark splits.
 
-N-grams are compared as 64-bit hashes. The sketch of 2**18 counters is the only thing that every task gets.
+N-grams are compared as 64-bit hashes. The sketch of 2**20 counters is the only thing that every task gets.
 
 Defined results: null, empty and white-space texts have an empty set, are linked with nothing and are their own
 component; a text of fewer than n words is one n-gram of all its words; equal texts of different ids are linked;
@@ -35,7 +35,7 @@ from palinode.llm.components import components
 from palinode.llm.scratch import stored
 from palinode.llm.segments import mix, range_hashes, slices, text_bytes, words
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 _BLOCK = 4096
 _CELLS = 128
 
@@ -111,11 +111,11 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _levels(scan: DataFrame) -> np.ndarray:
-    """Quarter-octave level of every counter of the sketch: a fixed 2**18 bytes."""
+    """Level (eight to a doubling) of every counter of the sketch: a fixed 2**20 bytes."""
     cells = scan.where("block is not null").select(
         "block", F.posexplode("counts").alias("at", "count")).where("count > 0")
     total = cells.groupBy((F.col("block") * _BLOCK + F.col("at")).alias("cell")).agg(F.sum("count").alias("count"))
-    rows = total.select("cell", F.least(F.lit(255), F.floor(F.log2("count") * 4)).cast("int").alias("level")).toArrow()
+    rows = total.select("cell", F.least(F.lit(255), F.floor(F.log2("count") * 8)).cast("int").alias("level")).toArrow()
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     out[np.asarray(rows["cell"])] = np.asarray(rows["level"])
     return out

@@ -1,0 +1,80 @@
+"""The corpus pipeline, stage by stage, against brute force on the smallest tables."""
+
+import re
+
+import corpus_pipeline
+import pytest
+from test_operators import brute_components
+
+from palinode.llm.scratch import stored
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs, out = spark.read.parquet(f"{SMALL}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        after = stored(stage(spark, docs, SMALL), f"test-{name}")
+        out.append((name, docs, after))
+        docs = after
+    return {name: (a, b) for name, a, b in out}
+
+
+def ids(df):
+    return {r.doc_id for r in df.select("doc_id").collect()}
+
+
+def test_stages_keep_the_columns(stages):
+    for name, (before, after) in stages.items():
+        if name != "byte_bpe":
+            assert after.columns == before.columns
+
+
+def test_language_keeps_texts_with_letters(stages):
+    before, after = stages["language_id"]
+    assert ids(after) == {r.doc_id for r in before.collect() if re.search(r"[^\W\d_]", r.text or "")}
+
+
+def test_one_of_each_group_stays(stages):
+    before, after = stages["ngram_jaccard_join"]
+    groups = brute_components({r.doc_id: r.text for r in before.collect()})
+    assert ids(after) == {component for _, component in groups.values()}
+    assert after.count() == len(ids(after))
+
+
+def test_benchmark_passages_go(spark, stages):
+    before, after = stages["decontamination"]
+
+    def norm(t):
+        return " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())) + " "
+
+    items = [norm(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    assert ids(before) - ids(after) == {r.doc_id for r in before.collect() if any(i in norm(r.text) for i in items)}
+
+
+def test_secrets_are_gone_and_texts_else_the_same(stages):
+    before, after = stages["secret_scan"]
+    texts = {r.doc_id: r.text for r in before.collect()}
+    assert ids(after) == set(texts)
+    for r in after.collect():
+        assert r.n_chars == len(r.text)
+        assert not re.search(r"AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}", r.text)
+        if "<secret>" not in r.text:
+            assert r.text == texts[r.doc_id]
+
+
+def test_ids_decode_to_the_text(stages):
+    import hashlib
+
+    before, after = stages["byte_bpe"]
+    texts = {r.doc_id: r.text for r in before.collect()}
+    rows = after.collect()
+    assert {r.doc_id: r.decoded_sha256 for r in rows} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+    assert all(len(r.ids) == r.n_tokens for r in rows)
+
+
+def test_run_gives_the_last_stage(spark, stages):
+    assert corpus_pipeline.ORACLE_SQL is None
+    rows = corpus_pipeline.run(spark, SMALL).select("doc_id", "ids_sha256").collect()
+    assert set(rows) == set(stages["byte_bpe"][1].select("doc_id", "ids_sha256").collect())
