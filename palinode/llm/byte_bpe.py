@@ -6,7 +6,7 @@ row is closed up, and rows without a mergeable pair leave the matrix. Ranks are
 in that library a piece that is a token is that token, whatever the merges would give.
 
 Text is encoded where it lies (no shuffle). A worker keeps the ids of the chunks it has met (bounded, see
-`ChunkMemo`); texts are worked off in slices of about 2 MB, so memory follows the longest single text only.
+`ChunkMemo`); texts are worked off in slices of about 1 MB, so memory follows the longest single text only.
 
 Defined results: a null text is an empty text; an empty text has no ids and decodes to the empty string; a
 piece of over `LONG_PIECE` bytes takes a heap over a linked list instead of a matrix row (the same merges in

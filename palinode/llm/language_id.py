@@ -108,7 +108,7 @@ class Classifier:
 def _features(df: DataFrame, text: str, label: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 1 << 20):
+            for part in slices(batch, text, 1 << 18):
                 data, offsets = text_bytes(part.column(text))
                 cell, doc = trigram_cells(data, offsets)
                 counts = np.zeros((part.num_rows, FEATURES))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 3
 _RANDOM = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
 # A-Z hash like a-z
@@ -177,7 +177,7 @@ class ChunkMemo:
     ids of all chunks in order and the number of ids of each chunk.
     """
 
-    def __init__(self, encode_new, most: int = 300_000):
+    def __init__(self, encode_new, most: int = 200_000):
         self.encode_new, self.most = encode_new, most
         self.clear()
 
