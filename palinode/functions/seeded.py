@@ -33,11 +33,17 @@ def seed_uniform(seed: int | str, *keys: Column | str) -> Column:
 
 
 def seed_pick(n: Column | int, seed: int | str, *keys: Column | str) -> Column:
-    """Uniform LONG in [0, n)."""
+    """Uniform LONG in [0, n) from 32 bits: for n far below 2**32 (choices, groups, places in a document)."""
     n = F.lit(n) if isinstance(n, int) else n
     return F.pmod(seed_u32(seed, *keys), n.cast("long"))
 
 
+def seed_place(n: Column | int, seed: int | str, *keys: Column | str) -> Column:
+    """Uniform LONG in [0, n) from 60 bits, for ranges that grow with the data (tokens of a store)."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.pmod(F.conv(F.substring(seed_key(seed, *keys), 1, 15), 16, 10).cast("long"), n.cast("long"))
+
+
 def name_seed(name: Column) -> Column:
     """First four bytes of SHA-256, big-endian, as an unsigned integer."""
     return hex_u32(F.sha2(name, 256))

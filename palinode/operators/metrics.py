@@ -67,7 +67,8 @@ def accuracy(df: DataFrame, keys: Sequence[str], correct: str = "correct") -> Da
 
 
 def with_baseline(acc: DataFrame, baselines: DataFrame, key: str = "task") -> DataFrame:
-    return acc.join(baselines, key)
+    """Baselines of the tasks; a task without one keeps its row."""
+    return acc.join(baselines, key, "left")
 
 
 def centered(acc: Column, baseline: Column, percent: bool = True) -> Column:
@@ -76,10 +77,12 @@ def centered(acc: Column, baseline: Column, percent: bool = True) -> Column:
 
 
 def core_metric(acc: DataFrame, baselines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Mean centered accuracy over tasks; baselines in percent."""
+    """Mean centered accuracy over tasks; baselines in percent. Null where a task has no baseline: a mean over the
+    others would not be the metric."""
     joined = with_baseline(acc, baselines)
+    mean = F.avg(centered(F.col("accuracy"), F.col("random_baseline")))
     return joined.groupBy(*keys).agg(
-        F.avg(centered(F.col("accuracy"), F.col("random_baseline"))).alias("core"),
+        F.when(F.count("random_baseline") == F.count("*"), mean).alias("core"),
         F.count("*").alias("n_tasks"))
 
 

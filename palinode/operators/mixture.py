@@ -45,7 +45,7 @@ def task_sequence(tasks: Sequence[DataFrame], local: str = "idx") -> DataFrame:
 
 def fewshot(items: DataFrame, k: int, task: str = "task", item: str = "item_id", payload: Sequence[str] = (),
             seed: int = 1234) -> DataFrame:
-    """(task, item, shots): k distinct other items of the task, seeded per item.
+    """(task, item, shots): k distinct other items of the task, seeded per item. A task of k items or fewer is an error.
 
     Items sit on a seeded ring per task and take k consecutive ring places behind a seeded offset in
     1..n-1, which rules out the item itself and repeats. The lookup joins on (task, place), unique on
@@ -54,7 +54,9 @@ def fewshot(items: DataFrame, k: int, task: str = "task", item: str = "item_id",
     ring = dense_index(items.withColumn("__key", seed_key(seed, task, item)), ["__key", item], "__place", [task],
                        uniform_hex=True)
     sizes = items.groupBy(F.col(task).alias("__task")).agg(F.count("*").alias("__n"))
-    placed = ring.join(sizes, F.col(task) == F.col("__task")).where(F.col("__n") > k)
+    enough = F.when(F.col("__n") > k, F.col("__n")).otherwise(
+        F.raise_error(F.concat(F.lit(f"{k} shots need more than {k} items in task "), F.col(task).cast("string"))).cast("long"))
+    placed = ring.join(sizes, F.col(task) == F.col("__task")).withColumn("__n", enough)
     first = F.pmod(seed_u32(f"{seed}o", task, item), F.col("__n") - 1)
     asks = placed.select(task, item, "__place", "__n", first.alias("__first")).withColumn(
         "__j", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select(

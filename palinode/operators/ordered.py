@@ -26,17 +26,46 @@ def _bucket_count(df: DataFrame, wanted: int | None) -> int:
     if wanted:
         return wanted
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(4096, max(32, 2 * parts))
+    return max(32, 2 * parts)
+
+
+def _hex_double(name: str) -> Column:
+    """Leading 32 bits of a lower-case hex digest, which sort like the text."""
+    return F.conv(F.substring(name, 1, 8), 16, 10).cast("double")
+
+
+def _string_place(df: DataFrame, name: str, n: int = 1024, seed: int = 17) -> Column:
+    """Place of a string among at most `n` sampled values: even for one of them, odd between two. Which values are
+    sampled decides how even buckets are, not the order."""
+    known = df.where(F.col(name).isNotNull()).select(name)
+    share = min(1.0, 20.0 * n / max(1, known.count()))
+    sample = known if share == 1.0 else known.sample(share, seed)
+    values = sorted((r[0] for r in sample.collect()), key=str.encode)  # 20 a split on average
+    cuts = sorted({values[i * len(values) // n] for i in range(n)}, key=str.encode) if values else []
+    if not cuts:
+        return F.when(F.col(name).isNotNull(), 0.0)
+    run = math.isqrt(len(cuts) - 1) + 1  # two levels: about two square roots of comparisons a row
+    groups = [cuts[i:i + run] for i in range(0, len(cuts), run)]
+    group = F.size(F.filter(F.lit([g[0] for g in groups]), lambda c: c <= F.col(name)))
+    inside = F.get(F.array(*[F.lit(g) for g in groups]), group - 1)
+    last = (group - 1) * run + F.size(F.filter(inside, lambda c: c <= F.col(name))) - 1
+    place = F.when(group == 0, -1).otherwise(2 * last + (F.element_at(
+        F.filter(inside, lambda c: c <= F.col(name)), -1) != F.col(name)).cast("int"))
+    return F.when(F.col(name).isNotNull(), place).cast("double")
 
 
 def _as_double(df: DataFrame, name: str) -> Column:
+    """A double that never decreases where the column increases (equal doubles for unequal values are fine)."""
     kind = df.schema[name].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(name).cast("double")
     if isinstance(kind, T.StringType):
-        # hex digests: the leading 32 bits sort like the text
-        return F.conv(F.substring(name, 1, 8), 16, 10).cast("double")
-    return F.col(name).cast("double")
+        return _string_place(df, name)
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return F.col(name).cast("double")
+    raise TypeError(f"cannot order by {name}: {kind.simpleString()}")
 
 
 def _quantiles(df: DataFrame, value: Column, n: int) -> list[float]:
@@ -57,35 +86,48 @@ def _assign(df: DataFrame, source: str, splits: Sequence[float], out: str) -> Da
 
 def with_buckets(df: DataFrame, order: Sequence[str], n_buckets: int | None = None,
                  uniform_hex: bool = False, width: int | None = None) -> DataFrame:
-    """Add BUCKET, non-decreasing along `order` (ascending, leading column numeric, timestamp or hex).
+    """Add BUCKET, non-decreasing along `order` (ascending; numbers, strings, dates or timestamps).
 
-    A leading value that fills several quantiles by itself gets buckets of its own, cut along the second
-    order column. `uniform_hex` skips the quantile pass for md5 orders, whose quantiles are known; `width`
-    skips it where the leading column numbers the rows of a key (turns, steps): a bucket is then a run of
-    `width` numbers.
+    A leading value that fills several quantiles by itself gets as many buckets of its own, cut along the second
+    order column; in all there are at most a few times `n_buckets`. `uniform_hex` skips the quantile pass for md5
+    orders, whose quantiles are known; `width` skips it where the leading column numbers the rows of a key (turns,
+    steps): a bucket is then a run of `width` numbers.
     """
     if width:
         return df.withColumn(BUCKET, F.floor(F.col(order[0]) / width).cast("long"))
     n = _bucket_count(df, n_buckets)
-    led = df.withColumn(_LEAD, F.coalesce(_as_double(df, order[0]), F.lit(-math.inf)))
     if uniform_hex:
+        led = df.withColumn(_LEAD, F.coalesce(_hex_double(order[0]), F.lit(-math.inf)))
         return _assign(led, _LEAD, [i * 2**32 / n for i in range(1, n)], BUCKET).drop(_LEAD)
+    led = df.withColumn(_LEAD, F.coalesce(_as_double(df, order[0]), F.lit(-math.inf)))
     qs = _quantiles(led, F.col(_LEAD), n)
-    heavy = sorted({a for a, b in zip(qs, qs[1:]) if a == b})
-    splits = set(qs) | {math.nextafter(h, math.inf) for h in heavy}
-    led = _assign(led, _LEAD, splits, BUCKET)
+    fills: dict[float, int] = {}
+    for x in qs:
+        fills[x] = fills.get(x, 0) + 1
+    heavy = {x: k for x, k in fills.items() if k > 1}
+    if heavy and len(order) > 1:
+        # only a double that stands for one value may be cut along the next column
+        first = F.col(order[0])
+        single = led.where(F.col(_LEAD).isin(list(heavy))).groupBy(_LEAD).agg(
+            (F.min(first).eqNullSafe(F.max(first)) & F.count(first).isin(0, F.count("*"))).alias("one"))
+        heavy = {r[_LEAD]: heavy[r[_LEAD]] for r in single.where("one").collect()}  # at most one row per quantile
+    led = _assign(led, _LEAD, {*qs, *[math.nextafter(h, math.inf) for h in heavy]}, BUCKET)
     if heavy and len(order) > 1:
-        tied = F.col(_LEAD).isin(heavy)
-        second = _as_double(df, order[1])
+        tied = F.col(_LEAD).isin(list(heavy))
+        second = F.coalesce(_as_double(led, order[1]), F.lit(-math.inf))
         inner = _quantiles(led.where(tied), second, n)
-        led = led.withColumn("__second", F.when(tied, F.coalesce(second, F.lit(-math.inf)))
-                             .otherwise(F.lit(-math.inf)))
-        led = _assign(led, "__second", inner, "__sub").withColumn(
-            BUCKET, F.col(BUCKET) * (n + 1) + F.col("__sub"))
-        led = led.drop("__second", "__sub")
+        led = _assign(led.withColumn("__second", F.when(tied, second).otherwise(F.lit(-math.inf))), "__second", inner, "__sub")
+        share = F.create_map(*[F.lit(v) for pair in heavy.items() for v in pair])[F.col(_LEAD)]
+        sub = F.when(tied, F.floor(F.col("__sub") * share / n)).otherwise(0)
+        led = led.withColumn(BUCKET, F.col(BUCKET).cast("long") * (n + 2) + sub).drop("__second", "__sub")
     return led.drop(_LEAD)
 
 
+def order_columns(order: str | Sequence[str]) -> list[str]:
+    """One name or several as a list."""
+    return [order] if isinstance(order, str) else list(order)
+
+
 _FOLD = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
@@ -95,12 +137,12 @@ def _combine(op: str, base: Column, own: Column) -> Column:
     return F.least(base, own) if op == "min" else F.greatest(base, own)
 
 
-def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str], bounded: bool) -> DataFrame:
     """Attach one carry row per (keys, bucket); keys compare null-safe."""
     names = [*keys, BUCKET]
     renamed = carry.withColumnsRenamed({k: f"__c_{k}" for k in names})
-    if not keys:
-        renamed = F.broadcast(renamed)  # one row per bucket, a few thousand at most
+    if not keys and bounded:
+        renamed = F.broadcast(renamed)  # one row per bucket: a few times the number of shuffle partitions
     on = [rows[k].eqNullSafe(renamed[f"__c_{k}"]) for k in keys]
     on.append(rows[BUCKET] == renamed[f"__c_{BUCKET}"])
     return rows.join(renamed, on).drop(*[f"__c_{k}" for k in names])
@@ -123,7 +165,7 @@ def scan(df: DataFrame, order: Sequence[str], outs: dict[str, tuple[str, Column]
         *keys, BUCKET, *[_FOLD[op](f"__t{i}").over(before).alias(f"__b{i}") for i, op in enumerate(ops)])
     within = W.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(
         W.unboundedPreceding, -1 if exclusive else 0)
-    joined = _join_carry(rows, carry, keys)
+    joined = _join_carry(rows, carry, keys, "width" not in kw)
     own = joined.withColumns({f"__o{i}": _FOLD[op](f"__v{i}").over(within) for i, op in enumerate(ops)})
     return own.select(*df.columns, *[
         _combine(op, F.col(f"__b{i}"), F.col(f"__o{i}")).alias(name)
@@ -155,7 +197,7 @@ def neighbour(df: DataFrame, order: Sequence[str], values: dict[str, str], keys:
     move = F.lead if forward else F.lag
     carry = edges.select(*keys, BUCKET, move("__edge").over(by_bucket).alias("__carry"))
     within = W.partitionBy(*keys, BUCKET).orderBy(*order)
-    joined = _join_carry(rows.withColumn("__packed", packed), carry, keys)
+    joined = _join_carry(rows.withColumn("__packed", packed), carry, keys, "width" not in kw)
     found = joined.withColumn("__near", F.coalesce(move("__packed").over(within), F.col("__carry")))
     return found.select(*df.columns, *[F.col(f"__near.{o}").alias(o) for o in values])
 

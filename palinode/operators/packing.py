@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palinode.functions.sequences import mask_targets, reverse_rows, shift, tail
-from palinode.operators.ordered import prefix_sum
+from palinode.operators.ordered import order_columns, prefix_sum
 
 _PACKED = ("stream_id int, row_id long, tokens array<int>, mask array<int>, n_docs int, content_len int, "
            "complete boolean")
@@ -25,9 +25,9 @@ _PACKED = ("stream_id int, row_id long, tokens array<int>, mask array<int>, n_do
 
 # ---- concat and chop -------------------------------------------------------------------------------
 
-def token_offsets(docs: DataFrame, order: str, ids: str = "ids", sep: int = 1, **kw) -> DataFrame:
+def token_offsets(docs: DataFrame, order: str | Sequence[str], ids: str = "ids", sep: int = 1, **kw) -> DataFrame:
     """Adds `offset`: tokens in front of each document, `sep` separator tokens per document included."""
-    return prefix_sum(docs, [order], (F.size(ids) + sep).cast("long"), "offset", exclusive=True, **kw)
+    return prefix_sum(docs, order_columns(order), (F.size(ids) + sep).cast("long"), "offset", exclusive=True, **kw)
 
 
 def to_blocks(placed: DataFrame, length: int, ids: str = "ids", offset: str = "offset") -> DataFrame:
@@ -46,7 +46,7 @@ def to_blocks(placed: DataFrame, length: int, ids: str = "ids", offset: str = "o
     return grouped.select("block_id", F.flatten(F.col("g.t")).alias("tokens"))
 
 
-def pack_chop(docs: DataFrame, order: str, length: int, eos: int, ids: str = "ids") -> DataFrame:
+def pack_chop(docs: DataFrame, order: str | Sequence[str], length: int, eos: int, ids: str = "ids") -> DataFrame:
     """Documents plus EOS, concatenated and cut every `length` tokens; the remainder is dropped. Empty
     documents contribute nothing."""
     ended = docs.where(F.size(ids) > 0).withColumn(ids, F.array_append(ids, eos))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palinode.functions.seeded import seed_key, seed_uniform
-from palinode.operators.ordered import dense_index, scan
+from palinode.operators.ordered import dense_index, order_columns, scan
 
 
 def drop_blank(df: DataFrame, text: str = "text") -> DataFrame:
@@ -46,15 +48,15 @@ def rank_share(df: DataFrame, rank: int, world: int, idx: str = "idx") -> DataFr
     return df.where(F.pmod(F.col(idx), F.lit(world)) == rank)
 
 
-def skip(df: DataFrame, n: int, order: str) -> DataFrame:
+def skip(df: DataFrame, n: int, order: str | Sequence[str]) -> DataFrame:
     """Drop the first n rows in `order`."""
-    return dense_index(df, [order], "__idx").where(F.col("__idx") >= n).drop("__idx")
+    return dense_index(df, order_columns(order), "__idx").where(F.col("__idx") >= n).drop("__idx")
 
 
-def char_budget(df: DataFrame, max_chars: int, order: str, n_chars: str = "n_chars") -> DataFrame:
+def char_budget(df: DataFrame, max_chars: int, order: str | Sequence[str], n_chars: str = "n_chars") -> DataFrame:
     """Keep documents while the characters before them are at most `max_chars`: the document that
     crosses the budget is still kept. Adds `chars_before`."""
-    return scan(df, [order], {"chars_before": ("sum", F.col(n_chars))}, exclusive=True).where(
+    return scan(df, order_columns(order), {"chars_before": ("sum", F.col(n_chars))}, exclusive=True).where(
         F.col("chars_before") <= max_chars)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palinode.functions.seeded import seed_key, seed_pick
+from palinode.functions.seeded import seed_key, seed_place
 from palinode.operators.ordered import dense_index, prefix_sum, scan
 from palinode.operators.packing import pack_chop, to_blocks, token_offsets
 from palinode.session import cut_lineage
@@ -15,7 +17,7 @@ def token_dtype(vocab_size: int) -> str:
     return "uint16" if vocab_size <= 65_535 else "uint32"
 
 
-def store_blocks(docs: DataFrame, order: str, eos: int, block_len: int, target_tokens: int = 0,
+def store_blocks(docs: DataFrame, order: str | Sequence[str], eos: int, block_len: int, target_tokens: int = 0,
                  ids: str = "ids") -> DataFrame:
     """(block_id, pos0, tokens): documents plus EOS as one stream, cut to exactly `target_tokens` (0: all),
     in blocks of `block_len` (the last may be short)."""
@@ -40,7 +42,7 @@ def val_region(num_tokens: int, block_len: int, val_blocks: int) -> dict[str, in
     }
 
 
-def val_blocks(docs: DataFrame, order: str, eos: int, seq_len: int, n: int, path: str, vocab_size: int,
+def val_blocks(docs: DataFrame, order: str | Sequence[str], eos: int, seq_len: int, n: int, path: str, vocab_size: int,
                ids: str = "ids", rebuild: bool = False) -> DataFrame:
     """The first n full blocks of seq_len + 1 tokens, kept in a folder named by what they depend on and
     read back when it is already complete."""
@@ -63,7 +65,7 @@ def sample_windows(store: DataFrame, draws: DataFrame, draw_id: str, lo: int | C
         raise ValueError("a window must fit two neighbouring blocks")
     lo = F.lit(lo) if isinstance(lo, int) else lo
     hi = F.lit(hi) if isinstance(hi, int) else hi
-    start = (lo + seed_pick(hi - lo, seed, draw_id)).cast("long")
+    start = (lo + seed_place(hi - lo, seed, draw_id)).cast("long")
     wanted = draws.select(draw_id, start.alias("start")).withColumn(
         "block_id", F.explode(F.sequence(F.expr(f"start div {block_len}"),
                                          F.expr(f"(start + {length} - 1) div {block_len}"))))

@@ -9,7 +9,7 @@ from palinode.functions.tokens import (
     BOS, LAB_SPECIALS, byte_ids, bytes_text, n_bytes, word_ids, word_tokens)
 from palinode.operators import bpe, metrics, mixture, packing, selection, store
 from palinode.plans import experiments
-from palinode.plans.registry import digest, query, u32, uniform, word_ids as sql_word_ids, words as sql_words
+from palinode.plans.registry import digest, query, u32, u60, uniform, word_ids as sql_word_ids, words as sql_words
 from palinode.session import cut_lineage, scratch_dir, spread, table
 from palinode.sources.corpus import read_corpus
 
@@ -168,7 +168,7 @@ def val_region(spark, d):
 
 
 @query(f"""WITH {SQL_STREAM}, t AS (SELECT count(*) AS n FROM stream),
-w AS (SELECT doc_id, {u32(5, 'doc_id')} % (n - {BLOCK}) AS start FROM documents, t),
+w AS (SELECT doc_id, {u60(5, 'doc_id')} % (n - {BLOCK}) AS start FROM documents, t),
 hit AS (SELECT w.doc_id, w.start, p, tok FROM w JOIN stream ON p >= w.start AND p < w.start + {BLOCK})
 SELECT doc_id, start::BIGINT AS start, md5(string_agg(tok, ',' ORDER BY p)) AS digest FROM hit GROUP BY ALL""")
 def random_windows(spark, d):

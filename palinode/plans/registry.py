@@ -35,6 +35,11 @@ def u32(seed: object, *keys: str) -> str:
     return f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 8))::BIGINT"
 
 
+def u60(seed: object, *keys: str) -> str:
+    """Seeded 60-bit draw."""
+    return f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 15))::BIGINT"
+
+
 def uniform(seed: object, *keys: str) -> str:
     return f"({u32(seed, *keys)} / 4294967296.0::DOUBLE)"
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palinode.functions.seeded import seed_key, seed_pick, seed_uniform
 from palinode.functions.sequences import mask_targets, shift, tail
 from palinode.operators import bpe, conversations, language_model, metrics, mixture, packing
+from palinode.operators.ordered import order_columns
 from palinode.operators.selection import assign_stream_by_file, cap_per_task, char_budget, crop_chars, drop_blank
 
 
@@ -19,12 +22,16 @@ def direction_bpb(docs: DataFrame, keys: list[str], val_frac: float = 0.2, seed:
     return language_model.bpb_by_direction(drop_blank(docs), keys, is_val, alpha=alpha)
 
 
-def train_tokenizer(docs: DataFrame, vocab_size: int, order: str = "doc_id", max_chars: int = 2_000_000_000,
-                    doc_cap: int = 10_000) -> bpe.Vocabulary:
-    """Tokenizer training input: documents cropped to a cap (the option of that tool), in order up to a
-    character budget, counted, merged."""
-    kept = crop_chars(docs.select(order, "text"), doc_cap).withColumn("n_chars", F.length("text").cast("long"))
-    return bpe.train_bpe(bpe.pretoken_counts(char_budget(kept, max_chars, order)), vocab_size)
+def train_tokenizer(docs: DataFrame, vocab_size: int, order: str | Sequence[str] = "doc_id",
+                    max_chars: int | None = None, doc_cap: int | None = None) -> bpe.Vocabulary:
+    """Tokenizer training: pre-tokens of all text counted and merged. On request documents are cropped to `doc_cap`
+    characters, and taken in order up to a budget of `max_chars`."""
+    kept = docs.select(*order_columns(order), "text")
+    if doc_cap is not None:
+        kept = crop_chars(kept, doc_cap)
+    if max_chars is not None:
+        kept = char_budget(kept.withColumn("n_chars", F.length("text").cast("long")), max_chars, order)
+    return bpe.train_bpe(bpe.pretoken_counts(kept), vocab_size)
 
 
 def corpus_rows(docs: DataFrame, vocab: bpe.Vocabulary, seq_len: int, world: int, reverse: bool = False,

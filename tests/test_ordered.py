@@ -129,3 +129,48 @@ def test_deltas_and_running_best(spark):
     assert [r.drop for r in series.deltas(df, ["run"], ["step"], "v").orderBy("step").collect()] == [None, 1.0, -0.5, 1.5]
     best = series.running_best(df, ["run"], ["step"], "v").orderBy("step").collect()
     assert [r.new_best for r in best] == [True, True, False, True]
+
+
+@pytest.mark.parametrize("values", [
+    [f"shards/part-{i:05d}.parquet" for i in range(60)],
+    ["a" * (i % 7) + chr(97 + i % 26) + "é" * (i % 3) + str(i) for i in range(60)],
+    ["same-long-prefix-" + "x" * 8 + f"{i:02d}" for i in range(59)] + ["zz"],
+    [None, "", "a", "aa", "same"],
+])
+def test_string_orders_keep_their_positions(spark, values):
+    rows = [(v, r) for v in values for r in range(40)] + [(values[3], r) for r in range(40, 1500)]
+    df = spark.createDataFrame(rows, "file string, row_index long").repartition(5)
+    got = [(r.file, r.row_index) for r in ordered.dense_index(df, ["file", "row_index"]).orderBy("idx").collect()]
+    assert got == sorted(rows, key=lambda r: ((r[0] is not None), (r[0] or "").encode(), r[1]))
+    buckets = ordered.with_buckets(df, ["file", "row_index"])
+    assert buckets.groupBy(ordered.BUCKET).count().agg(F.max("count")).first()[0] < len(rows) / 4
+    single = df.dropDuplicates(["file"])
+    names = [r.file for r in ordered.dense_index(single, ["file"]).orderBy("idx").collect()]
+    assert names == sorted(set(values), key=lambda v: (v is not None, (v or "").encode()))
+
+
+def test_long_values_that_share_a_double_stay_in_order(spark):
+    rows = [(2**60 + i // 3, i % 3) for i in range(900)]
+    df = spark.createDataFrame(rows, "a long, b long").repartition(4)
+    got = [(r.a, r.b) for r in ordered.dense_index(df, ["a", "b"]).orderBy("idx").collect()]
+    assert got == rows
+
+
+def test_window_starts_reach_beyond_32_bits(spark):
+    from palinode.functions.seeded import seed_place
+
+    top = spark.range(200).select(seed_place(10**13, 1, "id").alias("p")).agg(F.min("p"), F.max("p")).first()
+    assert 0 <= top[0] and 9 * 10**12 < top[1] < 10**13
+
+
+def test_missing_baseline_and_small_tasks_are_not_passed_over(spark):
+    from palinode.operators import metrics, mixture
+
+    acc = spark.createDataFrame([("a", 0.5), ("b", 0.7)], "task string, accuracy double")
+    one = spark.createDataFrame([("a", 25.0)], "task string, random_baseline double")
+    row = metrics.core_metric(acc, one).first()
+    assert row.core is None and row.n_tasks == 2
+    items = spark.createDataFrame([("t", i) for i in range(3)], "task string, item_id long")
+    assert mixture.fewshot(items, 2).count() == 3
+    with pytest.raises(Exception, match="3 shots need more than 3 items"):
+        mixture.fewshot(items, 3).collect()
