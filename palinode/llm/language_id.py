@@ -111,27 +111,32 @@ def _features(df: DataFrame, text: str, label: str) -> DataFrame:
             for part in slices(batch, text, 1 << 18):
                 data, offsets = text_bytes(part.column(text))
                 cell, doc = trigram_cells(data, offsets)
-                counts = np.zeros((part.num_rows, FEATURES))
+                counts = np.zeros((part.num_rows, FEATURES), np.float32)
                 np.add.at(counts, (doc, cell), 1)
                 counts /= np.maximum(counts.sum(1, keepdims=True), 1)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * FEATURES), pa.array(counts.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(label), lists], ["label", "features"])
 
-    return df.select(label, text).mapInArrow(run, "label string, features array<double>")
+    return df.select(label, text).mapInArrow(run, "label string, features array<float>")
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, regularization: float, rounds: int) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear SVM (squared hinge, y = 1 or -1) by accelerated gradient steps."""
-    x = np.column_stack([x, np.ones(len(x), x.dtype)])
-    v = np.ones(x.shape[1], x.dtype)
+    def margins(v: np.ndarray) -> np.ndarray:  # the bias is the last number; x itself is not copied
+        return x @ v[:-1] + v[-1]
+
+    def back(m: np.ndarray) -> np.ndarray:
+        return np.append(x.T @ m, m.sum())
+
+    v = np.ones(x.shape[1] + 1, x.dtype)
     for _ in range(20):  # the largest curvature bounds the step
-        v = x.T @ (x @ (v / np.linalg.norm(v)))
+        v = back(margins(v / np.linalg.norm(v)))
     step = 1 / (2 * np.linalg.norm(v) / len(x) + regularization)
-    w = ahead = np.zeros(x.shape[1], x.dtype)
+    w = ahead = np.zeros(x.shape[1] + 1, x.dtype)
     for t in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        after = ahead - step * (regularization * ahead - 2 / len(x) * (x.T @ (y * slack)))
+        slack = np.maximum(0, 1 - y * margins(ahead))
+        after = ahead - step * (regularization * ahead - 2 / len(x) * back(y * slack))
         ahead, w = after + t / (t + 3) * (after - w), after
     return w[:-1].astype(np.float64), float(w[-1])
 
@@ -144,19 +149,24 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "
     sample = labelled.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= per_language)
     points = _features(sample, text, label).toArrow()
     labels = np.array(points["label"].to_pylist(), object)
-    x = points["features"].combine_chunks().flatten().to_numpy().reshape(len(labels), FEATURES) if len(labels) else None
+    x, at = np.empty((len(labels), FEATURES), np.float32), 0
+    for chunk in points["features"].chunks:
+        x[at:at + len(chunk)] = chunk.flatten().to_numpy().reshape(-1, FEATURES)
+        at += len(chunk)
+    del points
     groups: dict[str, list[str]] = {}
     for lang in sorted(set(labels)):
         name = next((f for f, members in families.items() if lang in members), lang)
         groups.setdefault(name, []).append(lang)
     ordered = [groups[f] for f in sorted(groups)]
     weights, bias = [], []
-    scale = 1 / np.maximum(x.std(0), 1e-5) if len(labels) else None
+    scale = 1 / np.maximum(x.std(0), 1e-5) if len(labels) else np.ones(FEATURES)
+    x *= scale
 
     def fit(chosen: list[str], positive: list[str]) -> None:
         rows = np.isin(labels, chosen)
-        w, b = fit_svm((x[rows] * scale).astype(np.float32), np.where(np.isin(labels[rows], positive), 1, -1).astype(np.float32),
-                       regularization, rounds)
+        side = np.where(np.isin(labels[rows], positive), 1, -1).astype(np.float32)
+        w, b = fit_svm(x if rows.all() else x[rows], side, regularization, rounds)
         weights.append(w * scale)
         bias.append(b)
 
