@@ -1,11 +1,15 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
+"""Benchmark decontamination: item-sized windows met by rare shingles, exact verification, SimHash distances.
 
 A window is as many words as an item has. Windows are placed wherever a document and an item share a five-word
-shingle, so that both line up (a window without a shared shingle has similarity 0 and needs no fingerprint). Each
-window gets a 64-bit SimHash of its words. Fingerprints are cut into radius + 1 blocks: two that differ in at most
-`radius` bits agree in one block at least, so a join on (size, block, value) finds every item within the radius.
-Pairs within it are verified by the exact weighted Jaccard similarity of their shingle sets: a shingle weighs the
-inverse of the number of items that hold it (scaled to a mean of 1 per item), one outside the item weighs 1.
+shingle, so that both line up (a window without a shared shingle has similarity 0). The similarity is the weighted
+Jaccard of the shingle sets: a shingle weighs the inverse of the number of items that hold it (scaled to a mean of 1 per
+item), one outside the item weighs 1. A pair that reaches `similarity` shares that part of the item's weight at least,
+so it shares one of the item's rarest shingles, all but those that together weigh less than that part. A join on (size,
+rare shingle) thus loses no pair of a window and an item, and each is verified exactly.
+
+Each pair found carries the distance of the 64-bit SimHashes of its words. The distance decides nothing: at Jaccard 0.75
+it is about 11 on the mean and would need a radius of 26 for one miss in a million (more with weights or at a text's
+end), which leaves blocks of two bits that tell no windows apart.
 
 All steps are DataFrame functions. The shingles of the items are sent to every task while they are at most
 `broadcast_shingles` (checked by a count); beyond that the join is left to Spark's shuffles.
@@ -20,6 +24,7 @@ that repeat an id are reported once per id; empty tables give empty results; oth
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palinode.llm.scratch import stored
@@ -47,18 +52,8 @@ def simhash(h: str) -> Column:
         WHEN 2 * size(filter({h}, x -> (shiftright(x, b) & 1L) = 1L)) > size({h}) THEN shiftleft(1L, b) ELSE 0L END)""")
 
 
-def blocks(fingerprint: str, radius: int) -> Column:
-    """Array of (block, value): the 64 bits cut into radius + 1 runs of like length."""
-    n = radius + 1
-    cuts = [64 * k // n for k in range(n + 1)]
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.expr(
-        f"shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1}L").alias("value"))
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:]))])
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-                 item_text: str = "text", radius: int = 11, similarity: float = 0.75,
-                 broadcast_shingles: int = 1_000_000) -> DataFrame:
+                 item_text: str = "text", similarity: float = 0.75, broadcast_shingles: int = 1_000_000) -> DataFrame:
     """(key, item, start_word, n_words, distance, similarity): each item found in a document, at its best window."""
     items = _words(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")), "item").where(
         (F.size("h") >= SHINGLE) & F.col("item").isNotNull())
@@ -87,13 +82,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         "key", "length", "start", F.expr("slice(h, start + 1, stop - start)").alias("win"))
     windows = stored(windows.groupBy("key", "length", "start").agg(F.first("win").alias("win")), "windows")
 
-    prints = windows.select("*", simhash("win").alias("fp")).select(
-        "*", F.explode_outer(blocks("fp", radius)).alias("b"))
-    index = facts.select("item", "length", "fp_item", F.explode_outer(blocks("fp_item", radius)).alias("b"))
-    met = prints.join(index, (prints["length"] == index["length"]) & (prints["b.block"] == index["b.block"])
-                      & (prints["b.value"] == index["b.value"])).select(
+    # an item's rarest shingles: the others together are too light for the similarity (it is rounded to nine digits)
+    rarest_first = W.partitionBy("item").orderBy(F.desc("w"), "g").rowsBetween(0, W.unboundedFollowing)
+    index = facts.select("item", "length", "fp_item", F.size("gw").alias("total"), F.inline("gw")).withColumn(
+        "rest", F.sum("w").over(rarest_first)).where(F.col("rest") >= (similarity - 1e-6) * F.col("total"))
+    prints = windows.select("key", "length", "start", simhash("win").alias("fp"), F.explode_outer(
+        F.array_distinct(_shingles("win"))).alias("g"))
+    met = prints.join(index, (prints["length"] == index["length"]) & (prints["g"] == index["g"])).select(
         "key", prints["length"], "start", "item", F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_item"))).alias("distance"))
-    near = met.where(F.col("distance") <= radius).distinct()
+    near = met.distinct()
 
     full = near.join(windows, ["key", "length", "start"]).join(facts.select("item", "gw"), "item")
     full = full.select("key", "item", "start", "distance", F.size("win").alias("n_words"), "gw", F.array_distinct(_shingles("win")).alias("gx"))

@@ -266,6 +266,21 @@ def test_leaks_match_brute_force(spark, odd, empty):
     assert decontaminate(odd, bench.where("false")).count() == odd.count()
 
 
+def test_altered_passages_above_the_threshold_are_found(spark):
+    rng, items, docs = np.random.default_rng(3), [], []
+    for n, k in ((15, 1), (20, 2), (30, 3), (50, 4), (50, 6), (80, 10), (120, 14)):
+        for _ in range(12):  # the last k words replaced, and the passage cut off at the text's end
+            w = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+            items.append((len(items), " ".join(w)))
+            docs.append((len(docs), " ".join(w[:n - k] + [f"r{x}" for x in rng.integers(0, 10**9, k + 5)])))
+            docs.append((len(docs), "before it " + " ".join(w[:n - k])))
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                       spark.createDataFrame(items, "item_id long, text string")).collect()
+    want, found = brute_leaks(docs, items), {(r.doc_id, r.item_id): round(r.similarity, 6) for r in got}
+    assert len(want) == len(docs) and found.keys() == want.keys()
+    assert all(found[p] == want[p] for p in want if p[0] % 2 == 0)  # a cut passage is compared as far as it goes
+
+
 # ---- language, URLs, shards ----------------------------------------------------------------------------
 
 def test_language_held_out_accuracy(spark):
