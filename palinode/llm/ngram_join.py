@@ -47,7 +47,7 @@ def shingle_hashes(column: pa.Array, n: int) -> list[np.ndarray]:
     h = range_hashes(data, starts, ends, fold=True)
     counts = np.bincount(doc, minlength=len(column))
     grams = np.zeros(len(h), np.uint64)
-    for k in range(n):  # n-gram that starts at each word; those over a document's end are not used
+    for k in range(min(n, len(h))):  # n-gram that starts at each word; those over a document's end are not used
         grams[:len(h) - k] = mix(grams[:len(h) - k] * np.uint64(0x9E3779B97F4A7C15) + h[k:] + np.uint64(k))
     out, at = [], 0
     for count in counts.tolist():

@@ -112,6 +112,14 @@ def test_components_of_odd_rows(odd, empty):
     assert got == brute_components(dict(enumerate(ODD_TEXTS)))
 
 
+def test_components_of_a_slice_with_few_words(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))  # over 1 MB: the short text before it is a slice of its own
+    for texts in ({1: "two words"}, {1: "now three words"}, {1: "two words", 2: long}, {1: "now three words", 2: long}):
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df).collect()}
+        assert got == brute_components(texts)
+
+
 # ---- tokenizers ----------------------------------------------------------------------------------------
 
 def test_byte_bpe_is_tiktoken(docs, odd, empty):
