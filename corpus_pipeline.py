@@ -25,10 +25,15 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group linked by near copies; rows that repeat an id count as copies."""
-    roots = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(roots, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """The document with the smallest id of every group linked by near copies; rows that repeat an id count as copies,
+    rows without an id stand for themselves and stay where no row with an id is in their group."""
+    own = F.xxhash64(F.lit("row without id"), F.monotonically_increasing_id())
+    rows = stored(docs.withColumn("__node", F.coalesce("doc_id", own)), "near-copy-rows")
+    nameless = rows.where("doc_id is null").select("__node", F.lit(True).alias("nameless"))
+    nodes = jaccard_components(rows, "__node").select("__node", "component_id").join(nameless, "__node", "left")
+    kept = nodes.groupBy("component_id").agg(
+        F.min(F.struct(F.coalesce("nameless", F.lit(False)).alias("nameless"), "__node")).alias("kept")).select("kept.__node")
+    return rows.join(kept, "__node", "left_semi").dropDuplicates(["__node"]).select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

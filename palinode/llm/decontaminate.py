@@ -106,6 +106,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **kw) -> DataFrame:
-    """The rows of `docs` that hold no item; rows with a null key stay."""
-    found = contaminated(docs, benchmark, key, **kw).select(F.col(key).alias("__k")).distinct()
-    return docs.join(found, F.col(key) == F.col("__k"), "left_anti")
+    """The rows of `docs` that hold no item, each row judged by itself, also where `key` is null or repeated."""
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate-rows")
+    found = contaminated(rows, benchmark, "__row", **kw).select("__row").distinct()
+    return rows.join(found, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

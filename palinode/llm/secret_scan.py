@@ -154,15 +154,16 @@ def spans_text(found: Column, kinds: list[str] | None = None) -> Column:
 
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "<secret>") -> DataFrame:
     """The table with every span of every kind in `text` replaced by `mark`; overlapping and touching spans become one
-    mark, null texts stay null. `key` must be unique among rows with secrets."""
-    found = find_secrets(df, key, text).where(F.size("found") > 0).select(F.col(key).alias("__k"), F.col("found").alias("__f"))
+    mark, null texts stay null. Each row has its own cuts, also where `key` is null or repeated."""
+    rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "redact-rows")
+    found = find_secrets(rows, "__row", text).where(F.size("found") > 0).select(F.col("__row").alias("__k"), F.col("found").alias("__f"))
     spans = found.select("__k", F.explode("__f").alias("s")).select("__k", F.col("s.start").alias("a"), F.col("s.stop").alias("b"))
     earlier = W.partitionBy("__k").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1)
     starts = spans.withColumn("new", F.coalesce(F.col("a") > F.max("b").over(earlier), F.lit(True)).cast("int"))
     island = F.sum("new").over(W.partitionBy("__k").orderBy("a", "b").rowsBetween(W.unboundedPreceding, 0))
     merged = starts.withColumn("i", island).groupBy("__k", "i").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     cuts = merged.groupBy("__k").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("__c"))
-    joined = df.join(cuts, F.col(key) == F.col("__k"), "left")
+    joined = rows.join(cuts, F.col("__row") == F.col("__k"), "left")
     # the text before each cut, then what follows the last one
     heads = F.transform("__c", lambda c, i: F.substring(
         F.col(text), F.coalesce(F.get("__c", i - 1)["b"], F.lit(0)).cast("int") + 1,
