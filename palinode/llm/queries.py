@@ -79,7 +79,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-store")
-    write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1,
+                 added_tokens=True)
     return id_checksums(read_tokens(spark, path))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palinode.llm.segments import ChunkMemo, pieces, slices, text_bytes
+from palinode.llm.segments import ChunkMemo, pieces, slices, spread_ranges, text_bytes
 
 _HASH = "__text_hash"
 
@@ -73,13 +73,36 @@ def _memo(path: str) -> ChunkMemo:
     return ChunkMemo(encode)
 
 
+@functools.lru_cache(2)
+def _added(path: str) -> tuple[re.Pattern | None, dict[bytes, int]]:
+    """Pattern of the added tokens of the file, longest first, and their ids by content."""
+    from tokenizers import Tokenizer
+
+    added = Tokenizer.from_file(path).get_added_tokens_decoder()
+    if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+        raise ValueError("added tokens are matched as they stand; normalized, single_word, lstrip and rstrip are not known here")
+    ids = {t.content.encode(): i for i, t in added.items()}
+    return re.compile(b"|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None, ids
+
+
+def _find_added(data: np.ndarray, offsets: np.ndarray, tokenizer: str) -> list[tuple[int, int, int]]:
+    """(start, end, id) of every added token inside a document."""
+    (pattern, ids), raw = _added(tokenizer), data.tobytes()
+    if pattern is None or not pattern.search(raw):
+        return []
+    return [(m.start(), m.end(), ids[m[0]]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())
+            for m in pattern.finditer(raw, a, b)]
+
+
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, key: str = "doc_id", text: str = "text",
-                 end_id: int | None = 1, row_group_bytes: int = 32 << 20, page_rows: int = 1000) -> None:
+                 end_id: int | None = 1, row_group_bytes: int = 32 << 20, page_rows: int = 1000,
+                 added_tokens: bool = False) -> None:
     """Encode whole texts and write the store to the folder `out`.
 
     `tokenizer` is a file of the tokenizers library that lower-cases, drops white space and splits letters, digits
     and signs from each other, so that the parts of `segments.pieces` are encoded as in their document; each worker
-    asks the library once for every distinct part it keeps. `end_id` closes every document.
+    asks the library once for every distinct part it keeps. `end_id` closes every document. With `added_tokens` the
+    strings of the file's added tokens get their ids, as by the library's default; else they are ordinary text.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
@@ -94,9 +117,21 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, key: str = "doc_id",
             for piece in slices(batch, "text"):
                 n = piece.num_rows
                 data, offsets = text_bytes(piece.column("text"))
-                starts, ends, doc = pieces(data, offsets)
+                added = _find_added(data, offsets, tokenizer) if added_tokens else []
+                if added:  # blanks in a stretch of their own, which `pieces` drops; what is around them is cut there
+                    at_added, end_added, added_ids = np.array(added, np.int64).T
+                    data = data.copy()
+                    data[spread_ranges(at_added, end_added - at_added)] = 32
+                    starts, ends, _ = pieces(data, np.unique(np.concatenate([offsets, at_added, end_added])))
+                    doc = np.searchsorted(offsets, starts, "right") - 1
+                else:
+                    starts, ends, doc = pieces(data, offsets)
                 ids, sizes = memo.ids_of(data, starts, ends, fold=True)
                 counts = np.bincount(doc, sizes, n).astype(np.int64)
+                if added:
+                    before = np.append(0, np.cumsum(sizes))[np.searchsorted(starts, at_added)]
+                    ids = np.insert(ids, before, added_ids)
+                    counts += np.bincount(np.searchsorted(offsets, at_added, "right") - 1, minlength=n)
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), end_id)
                     counts += 1

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -160,6 +161,20 @@ def test_token_store_round_trip(spark, docs, odd, empty):
     assert read_tokens(spark, path).count() == 0
 
 
+def test_token_store_is_the_unaltered_library(spark, tmp_path):
+    texts = ["a <|endoftext|> ok", "a<|endoftext|>ok", "A<|ENDOFTEXT|>ok", "don<|startoftext|>'t 12<|endoftext|>3", "", None,
+             "<|endoftext|><|endoftext|>", "cut <|endof", "text|> here", "don'<|endoftext|> s \u65e5<|endoftext|>\u672c", "plain"]
+    library, folder = Tokenizer.from_file(WORDS), str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    want, at = [], 0
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    got = QUERIES["op6_token_store"](spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 # ---- scans ---------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]"""
