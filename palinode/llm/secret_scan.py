@@ -1,13 +1,14 @@
 """Secret scan: named patterns, and a randomness test battery with false-discovery control for everything else.
 
 Named kinds (assign, access, hex) are found by their patterns. Any other run of 20 or more key characters is a
-candidate: its encoding (hex, base32, letters and digits, base64) is inferred from its characters and its symbols are
-tested as draws from that alphabet: chi-squared uniformity, runs above and below the middle, and lag-one serial
-correlation. A candidate must pass all three as random, and uniformity must also reject the opposite: that it
-is ordinary text, whose symbols repeat with the coincidence rate of language. The p-value of that rejection (a
-normal bound for the chi-squared sum of concentrated symbols, sharper for longer strings) goes through
-Benjamini-Hochberg over all candidates of like length in the corpus, so a longer string needs no luck and a
-short one is reported only where few look alike.
+candidate: its encoding (digits, hex in lower or upper case, base32, letters and digits, base64) is inferred from its
+characters and its symbols are tested as draws from that alphabet: chi-squared uniformity, runs above and below the
+middle, and lag-one serial correlation. A candidate must pass all three as random, and the opposite must be rejected:
+that it is ordinary text which happens to use only that alphabet. Ordinary text is lower-case, upper-case or mixed words
+with the letter frequencies of English, or mostly numbers, each narrowed to the alphabet; the likelihood ratio of uniform
+symbols to the likeliest of them is x or more with a chance of exp(-x) at most if the string is such text. That p-value
+goes through Benjamini-Hochberg over all candidates of like length in the corpus. Digits alone are never told from
+numbers.
 
 All steps are DataFrame functions. Positions come from the text's pieces between matches. The false-discovery step
 aggregates counts per (length class, p-value bin), at most a few thousand rows.
@@ -20,6 +21,8 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,15 +45,32 @@ PROBES = {"assign": rf"""(?=[pPsStTaA])({ASSIGN})["']?\x20*[:=]""", "access": "A
 
 # Alphabets by inferred encoding; a symbol's value is its place.
 ALPHABETS = {
+    "digits": "0123456789",
     "hex": "0123456789abcdef",
+    "hex_upper": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-",
 }
-COINCIDENCE = 0.066  # chance that two letters of ordinary text are the same
+# letters of English a to z, in tenths of a per mille, and the shares of lower case, upper case, digits and signs in kinds of text
+LETTERS = (820, 150, 280, 430, 1270, 220, 200, 610, 700, 15, 77, 400, 240, 670, 750, 190, 10, 600, 630, 910, 280, 98, 240, 15, 200, 7)
+TEXTS = ((0.93, 0.02, 0.03, 0.02), (0.02, 0.93, 0.03, 0.02), (0.78, 0.16, 0.04, 0.02), (0.05, 0.05, 0.85, 0.05))
 GATE = 3.3  # two-sided normal quantile of about 0.001
 
 
+def _log_ratios(alphabet: str) -> list[list[float]]:
+    """For every kind of text, ln(chance in uniform symbols / chance in the text) of each symbol of the alphabet."""
+    one_case = alphabet in (alphabet.upper(), alphabet.lower())
+    out = []
+    for lower, upper, digits, signs in TEXTS:
+        if one_case:
+            lower = upper = lower + upper
+        weights = [(lower if c.islower() else upper) * LETTERS[ord(c.lower()) - 97] / sum(LETTERS) if c.isalpha()
+                   else digits / 10 if c.isdigit() else signs / 4 for c in alphabet]
+        out.append([math.log(sum(weights) / len(alphabet) / w) for w in weights])
+    return out
+
+
 def _places(text: Column, kind: str) -> Column:
     """Array of (gap, value, part): characters between the last match and this one, the match, its second group."""
     pattern = F.lit(KINDS[kind])
@@ -75,7 +95,8 @@ def with_battery(df: DataFrame, value: str = "value") -> DataFrame:
     """Adds encoding, z_uniform, z_runs, z_serial (about standard normal for random strings) and neg_log_p, the bound
     on -ln p of the string being ordinary text."""
     v = F.col(value)
-    encoding = (F.when(F.regexp_like(v, F.lit("^[0-9a-f]+$")), "hex").when(F.regexp_like(v, F.lit("^[A-Z2-7]+$")), "base32")
+    encoding = (F.when(F.regexp_like(v, F.lit("^[0-9]+$")), "digits").when(F.regexp_like(v, F.lit("^[0-9a-f]+$")), "hex")
+                .when(F.regexp_like(v, F.lit("^[0-9A-F]+$")), "hex_upper").when(F.regexp_like(v, F.lit("^[A-Z2-7]+$")), "base32")
                 .when(F.regexp_like(v, F.lit("^[0-9A-Za-z]+$")), "alnum").otherwise("base64"))
     alphabet = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])
     rows = df.withColumn("encoding", encoding).withColumn("__alphabet", alphabet[F.col("encoding")]).withColumns({
@@ -98,14 +119,15 @@ def with_battery(df: DataFrame, value: str = "value") -> DataFrame:
     chi = a / n * F.col("__squares") - n
     runs_mean = 1 + 2 * up * down / n
     runs_var = 2 * up * down * (2 * up * down - n) / (n * n * (n - 1))
-    drift = a * COINCIDENCE - 1  # how much ordinary text exceeds uniform symbols, per symbol
-    text_mean, text_sd = (a - 1) + n * drift, F.sqrt(2 * (a - 1) + 4 * n * drift)
-    below = F.greatest(F.lit(0.0), (text_mean - chi) / text_sd)
+    ratios = F.create_map(*[x for name, symbols in ALPHABETS.items() for x in (F.lit(name), F.array(*[
+        F.array(*[F.lit(r) for r in kind]) for kind in _log_ratios(symbols)]))])[F.col("encoding")]
+    likeliest = F.array_min(F.transform(ratios, lambda kind: F.aggregate(
+        "__s", F.lit(0.0), lambda s, x: s + F.get(kind, x.cast("int")))))
     out = rows.withColumns({
         "z_uniform": (chi - (a - 1)) / F.sqrt(2 * (a - 1)),
         "z_runs": F.when(runs_var > 0, (F.col("__turns") - runs_mean) / F.sqrt(runs_var)).otherwise(99.0),
         "z_serial": F.when(F.col("__var") > 0, F.col("__lag") / F.col("__var") * F.sqrt(n)).otherwise(99.0),
-        "neg_log_p": below * below / 2})
+        "neg_log_p": F.greatest(F.lit(0.0), likeliest)})
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
