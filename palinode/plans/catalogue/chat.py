@@ -113,11 +113,16 @@ def completion_rejects(spark, d):
 
 @query()
 def pack_bestfit_pad(spark, d):
-    r = C.render_turns(_turns(spark, d), max_tokens=513)
+    """Whole conversations in rows of 2,048; each one longer than a row is a reject: row_id null, its own whole
+    inputs and targets. Rows and rejects cover every valid conversation."""
+    r = C.render_turns(_turns(spark, d), max_tokens=2**31 - 1)
     dealt = r.withColumn("stream_id", F.pmod("conv_id", F.lit(4)).cast("int"))
-    rows = packing.train_rows(packing.pack_bestfit_pad(dealt, 512, "conv_id", BYTE_SPECIALS["<|bos|>"], buffer=20))
-    return rows.select("stream_id", "row_id", F.md5(S.ids_text(F.col("inputs"))).alias("inputs"),
-                       F.md5(S.ids_text(F.col("targets"))).alias("targets"))
+    rows = packing.train_rows(packing.pack_bestfit_pad(dealt, 2048, "conv_id", BYTE_SPECIALS["<|bos|>"], buffer=20))
+    rejects = packing.train_rows(packing.pack_rejects(dealt, 2048).select(
+        "stream_id", F.lit(None).cast(rows.schema["row_id"].dataType).alias("row_id"), F.col("ids").alias("tokens"), "mask",
+        F.size("ids").alias("content_len")))
+    return rows.union(rejects).select("stream_id", "row_id", F.md5(S.ids_text(F.col("inputs"))).alias("inputs"),
+                                      F.md5(S.ids_text(F.col("targets"))).alias("targets"))
 
 
 @query(f"""WITH {SQL_MERGED}, {_sql_rendered('m')} SELECT sum(len(ids))::BIGINT AS tokens_kept, sum(list_sum(mask))::BIGINT AS supervised, 0::BIGINT AS bad_rows FROM r""")

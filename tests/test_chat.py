@@ -1,5 +1,6 @@
 """Conversations, tasks, tool calls, programs: fixtures and plain-Python models."""
 
+import hashlib
 import json
 import re
 
@@ -215,3 +216,20 @@ def test_jsonl_round_trip_and_stream(spark, tmp_path):
     assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()] == [good]
     T.write_conversations(turns, str(tmp_path / "meta"), metadata=F.struct(F.lit("t").alias("topic")))
     assert json.loads(spark.read.text(str(tmp_path / "meta")).first().value)["metadata"] == {"topic": "t"}
+
+
+def test_packing_covers_conversations_longer_than_a_row(spark, tmp_path):
+    from palinode.plans.catalogue.chat import pack_bestfit_pad
+
+    said = {1: ("hi", "a" * 700), 2: ("long", "b" * 3000), 3: ("q" * 600, "c" * 900)}
+    turns = [(i, t, ("user", "assistant")[t], x[t]) for i, x in said.items() for t in (0, 1)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    whole = {i: [256, 257, *x[0].encode(), 258, 259, *x[1].encode(), 260] for i, x in said.items()}
+
+    def digest(ids):
+        return hashlib.md5(",".join(map(str, ids)).encode()).hexdigest()
+
+    got = pack_bestfit_pad(spark, str(tmp_path)).collect()
+    assert [r.inputs for r in got if r.row_id is None] == [digest(whole[2][:-1])]
+    rows = {digest((whole[i] + [256] * 2049)[:2048]) for i in (1, 3)}
+    assert {r.inputs for r in got if r.row_id is not None} == rows and len(got) == 3
