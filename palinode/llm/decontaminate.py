@@ -84,16 +84,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     # an item's rarest shingles: the others together are too light for the similarity (it is rounded to nine digits)
     rarest_first = W.partitionBy("item").orderBy(F.desc("w"), "g").rowsBetween(0, W.unboundedFollowing)
-    index = facts.select("item", "length", "fp_item", F.size("gw").alias("total"), F.inline("gw")).withColumn(
+    index = facts.select("item", "length", F.size("gw").alias("total"), F.inline("gw")).withColumn(
         "rest", F.sum("w").over(rarest_first)).where(F.col("rest") >= (similarity - 1e-6) * F.col("total"))
-    prints = windows.select("key", "length", "start", simhash("win").alias("fp"), F.explode_outer(
-        F.array_distinct(_shingles("win"))).alias("g"))
-    met = prints.join(index, (prints["length"] == index["length"]) & (prints["g"] == index["g"])).select(
-        "key", prints["length"], "start", "item", F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_item"))).alias("distance"))
-    near = met.distinct()
-
-    full = near.join(windows, ["key", "length", "start"]).join(facts.select("item", "gw"), "item")
-    full = full.select("key", "item", "start", "distance", F.size("win").alias("n_words"), "gw", F.array_distinct(_shingles("win")).alias("gx"))
+    held = windows.select("key", "length", "start", F.explode_outer(F.array_distinct(_shingles("win"))).alias("g"))
+    near = held.join(index, ["length", "g"]).select("key", "length", "start", "item").distinct()
+
+    full = near.join(windows, ["key", "length", "start"]).join(facts.select("item", "gw", "fp_item"), "item")
+    distance = F.bit_count(simhash("win").bitwiseXOR(F.col("fp_item"))).alias("distance")
+    full = full.select("key", "item", "start", distance, F.size("win").alias("n_words"), "gw", F.array_distinct(_shingles("win")).alias("gx"))
     own = F.transform("gw", lambda x: x["g"])
     common = F.aggregate(F.filter("gw", lambda x: F.array_contains("gx", x["g"])), F.lit(0.0), lambda s, x: s + x["w"])
     union = F.aggregate("gw", F.lit(0.0), lambda s, x: s + x["w"]) + F.size(F.array_except("gx", own))
