@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,12 +13,15 @@ from palinode.llm.byte_bpe import encode
 from palinode.llm.decontaminate import contaminated
 from palinode.llm.language_id import identify, train
 from palinode.llm.license_scan import scan_licenses
+from palinode.llm.merkle import fold, leaf_digest, merkle_manifest, proof_digest
+from palinode.llm.minhash import minhash_components
 from palinode.llm.ngram_join import jaccard_components
 from palinode.llm.quality import judge
 from palinode.llm.secret_scan import find_secrets, spans_text
 from palinode.llm.sharding import shuffle_shards
 from palinode.llm.token_store import id_checksums, read_tokens, write_tokens
 from palinode.llm.url_filter import SOFT_TERMS, STRICT_TERMS, judge_urls
+from palinode.llm.whitening import whiten
 from palinode.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +192,120 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR 5 * len(regexp_extract_all(text, '!!')) > n_words) AS kept
 FROM b
 """
+
+
+@_query
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = minhash_components(_table(spark, sf_dir, "documents"), n=2, num=4, den=5)
+    return linked.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+@_query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    others = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    # null where nothing is tampered with
+    docs = docs.withColumn("changed", F.when(tampered, leaf_digest(*others, lowered)))
+    made = merkle_manifest(docs, leaf_digest(*others, F.col("text")), carry=["changed"])
+    folded = fold(F.coalesce("carried.changed", "leaf"), F.col("path"))
+    return made.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"),
+                       folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@_query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_minhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2
+      THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+    WHEN len(w) = 1 THEN w ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+-- the rarest fifth and one more of a set must hold a shingle of any set that is similar enough
+rare AS (SELECT g, count(*) AS c FROM s GROUP BY g),
+p AS (
+  SELECT doc_id, g FROM (
+    SELECT s.doc_id, s.g, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY rare.c, s.g) AS r
+    FROM s JOIN rare ON rare.g = s.g JOIN n ON n.doc_id = s.doc_id)
+  WHERE r <= n - (4 * n + 4) // 5 + 1),
+pairs AS (
+  SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id
+    JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id WHERE 5 * na.n >= 4 * nb.n AND 5 * nb.n >= 4 * na.n),
+shared AS (
+  SELECT x, y, count(*) AS c FROM pairs JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND a.g = b.g GROUP BY x, y),
+links AS (
+  SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS c FROM documents
+  UNION SELECT b.y, reach.c FROM reach JOIN both_ways b ON reach.doc_id = b.x)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id, r.doc_id = min(r.c) AS kept
+FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+# the tree of the groups and that of the leaves alike: runs of 8, level by level
+ORACLES["op12_merkle_manifest"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT doc_id, list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(range(1, len(t) + 1),
+      lambda i: [ascii(t[i])::UBIGINT + 4294967296, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda crc, b: CASE WHEN ((CASE WHEN b > 0 THEN xor(crc, b - 4294967296) ELSE crc END) & 1) = 1
+      THEN xor((CASE WHEN b > 0 THEN xor(crc, b - 4294967296) ELSE crc END) >> 1, 3988292384::UBIGINT)
+      ELSE (CASE WHEN b > 0 THEN xor(crc, b - 4294967296) ELSE crc END) >> 1 END) AS crc
+  FROM (SELECT doc_id, doc_id::VARCHAR AS t FROM documents)),
+d AS (
+  SELECT documents.*, xor(crc, 4294967295::UBIGINT) % 3 = 0 AS tampered,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM documents JOIN bits USING (doc_id)),
+f AS (
+  SELECT doc_id, lang, tampered, concat(strlen(doc_id::VARCHAR), ':', doc_id,
+      coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+      coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(low) || ':' || low, '-') AS changed FROM d),
+leaves AS (
+  SELECT doc_id, sha256(head || body) AS leaf, CASE WHEN tampered THEN sha256(head || changed) ELSE sha256(head || body) END AS start,
+    dense_rank() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx FROM f),
+nodes AS (
+  SELECT tree, 0 AS level, idx, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 7) // 8 FROM nodes
+  WHERE n > 1 GROUP BY tree, level, idx // 8),
+tops AS (SELECT tree, max(level) AS height, max_by(h, level) AS subroot FROM nodes GROUP BY tree),
+upper AS (
+  SELECT 0 AS level, tree AS idx, subroot AS h, count(*) OVER () AS n FROM tops
+  UNION ALL
+  SELECT level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 7) // 8 FROM upper
+  WHERE n > 1 GROUP BY level, idx // 8),
+top AS (SELECT max(level) AS height, max_by(h, level) AS root FROM upper),
+steps AS (
+  SELECT tree, level, idx, n, false AS above, h FROM nodes
+  UNION ALL SELECT NULL, level, idx, n, true, h FROM upper),
+runs AS (
+  SELECT a.tree, a.above, a.level, a.idx,
+    coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM steps a JOIN steps b ON a.above = b.above AND a.level = b.level AND a.idx // 8 = b.idx // 8
+    AND a.tree IS NOT DISTINCT FROM b.tree WHERE a.n > 1 GROUP BY a.tree, a.above, a.level, a.idx),
+walk AS (
+  SELECT doc_id, tree, false AS above, 0 AS level, idx, start AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.tree, w.above OR w.level = tops.height, CASE WHEN NOT w.above AND w.level = tops.height THEN 0 ELSE w.level + 1 END,
+    CASE WHEN NOT w.above AND w.level = tops.height THEN w.tree ELSE w.idx // 8 END,
+    CASE WHEN NOT w.above AND w.level = tops.height THEN w.h ELSE sha256(runs.l || w.h || runs.r) END,
+    CASE WHEN NOT w.above AND w.level = tops.height THEN w.proof ELSE w.proof || runs.l || runs.r END
+  FROM walk w JOIN tops ON tops.tree = w.tree CROSS JOIN top
+    LEFT JOIN runs ON runs.above = w.above AND runs.level = w.level AND runs.idx = w.idx
+      AND (w.above OR runs.tree = w.tree)
+  WHERE NOT w.above OR w.level < top.height)
+SELECT leaves.doc_id, leaf, subroot, root, sha256(walk.proof) AS proof_sha256, walk.h AS folded_root, walk.h = root AS verified
+FROM walk JOIN leaves ON leaves.doc_id = walk.doc_id JOIN tops ON tops.tree = leaves.tree, top
+WHERE walk.above AND walk.level = top.height
+"""
