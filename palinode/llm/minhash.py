@@ -1,7 +1,7 @@
 """MinHash near copies: banded candidates, sequential Bayesian comparison of signatures, exact verification.
 
 Steps: (1) one pass gives every text its set size, a 128-bit signature of its set, the keys of `bands` bands of `rows` minima
-each, and one byte of every minimum; (2) texts of equal sets are one class, named by the signature; (3) classes that share a band
+each, and one byte of every minimum; (2) texts of equal sets are one class; (3) classes that share a band
 key are candidates; (4) the bytes of two candidates are compared batch by batch: after m agreements among the first n, with every
 similarity alike likely beforehand, similarity t or more has a posterior chance of P(Binomial(n + 1, t) <= m), and a pair
 goes when that is below `miss` (unequal minima whose bytes agree by chance only help a pair to stay); (5) what is left
@@ -11,9 +11,10 @@ A pair at the threshold shares no band key with a chance of (1 - t**rows)**bands
 0.8, and is pruned with a chance of about `miss` a batch.
 
 Groups of near copies give no quadratic number of pairs. In every bucket the classes are first compared with the bucket's
-leader, the class that comes first in one random order of all classes, so that a class meets few different leaders.
-Of those only the one that agrees best is verified first; then the leaders in other components; then, bucket by bucket, pairs of
-classes that are still in different components. Classes in one component need no further comparison, which loses no link between components.
+leader, the class that meets most others in its buckets: of copies of one text that is the least altered one. Of
+its leaders a class is verified first with the one that agrees best, then with those in other components. What is left are pairs of a bucket in
+different components; they are compared inside the join, which gives only those that stay possible. Classes in one component need
+no further comparison, which loses no link between components.
 
 Defined results: A-Z count as a-z; null, empty and white-space texts have an empty set, are linked with nothing and are
 their own component; a text of fewer than n words is one n-gram of all its words; equal texts of different ids are linked; rows that
@@ -78,9 +79,9 @@ def _longs(matrix: np.ndarray) -> pa.ListArray:
 
 
 def _scan(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(row, id, n, node, keys, bytes) of every text: keys are the band keys, bytes the minima's, eight to a long; the last
+    """(row, id, n, signature, keys, bytes) of every text: keys are the band keys, bytes the minima's, eight to a long; the last
     three are null for an empty set."""
-    count, names = bands * rows, ["row", "id", "n", "node", "keys", "bytes"]
+    count, names = bands * rows, ["row", "id", "n", "signature", "keys", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,11 +107,11 @@ def _scan(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     [part.column("row"), part.column("id"), pa.array(np.array([len(s) for s in sets], np.int32)),
                      _names(_set_signatures(sets)), _longs(keys.T), _longs(seen)], names)
 
-    return docs.mapInArrow(run, "row long, id long, n int, node binary, keys array<long>, bytes array<long>")
+    return docs.mapInArrow(run, "row long, id long, n int, signature binary, keys array<long>, bytes array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(node, grams) of texts, each set once a task."""
+    """(signature, grams) of texts, each set once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[bytes] = set()
         for batch in batches:
@@ -128,9 +129,9 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 flat = np.concatenate([sets[i] for i in fresh]) if fresh else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [names.take(pa.array(fresh, pa.int64())),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], ["node", "grams"])
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], ["signature", "grams"])
 
-    return docs.select("text").mapInArrow(run, "node binary, grams array<long>")
+    return docs.select("text").mapInArrow(run, "signature binary, grams array<long>")
 
 
 def _sendable(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
@@ -156,32 +157,54 @@ def _agreeing(x: Column, y: Column) -> Column:
     return F.lit(8) - F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
 
 
-def _compared(pairs: DataFrame, heads: DataFrame, count: int, similarity: float, miss: float, name: str) -> DataFrame:
-    """(u, v, agree) of the pairs that stay possible, batch after batch of bytes; most fall in the first."""
-    words = -(-count // 8)
-    at, agree = 0, F.lit(0)
-    for size in (4, 8, words):
-        end = min(at + size, words)
-        if at == end:
-            break
-        batch = F.slice("bytes", at + 1, end - at)
+def _batches(count: int) -> list[Column]:
+    """Columns batch0, batch1, ...: the bytes in batches of 32, 64 and the rest."""
+    ends = [e for e in (4, 12) if 8 * e < count] + [-(-count // 8)]
+    return [F.slice("bytes", a + 1, e - a).alias(f"batch{i}") for i, (a, e) in enumerate(zip([0, *ends], ends))]
+
+
+def _agreements(x: str, y: str, i: int) -> Column:
+    return F.aggregate(F.zip_with(f"{x}batch{i}", f"{y}batch{i}", _agreeing), F.lit(0), lambda s, v: s + v)
+
+
+def _limits(count: int, num: int, den: int, miss: float) -> list[tuple[int, int]]:
+    """(spare, least) of each batch: agreements of bytes that only fill the last long, and fewest agreements so far."""
+    ends = [min(8 * e, count) for e in (4, 12) if 8 * e < count] + [count]
+    return [(-count % 8 if e == count else 0, least_agreements(e, num / den, miss)) for e in ends]
+
+
+def _long_enough(x: str, y: str, num: int, den: int) -> Column:
+    return (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
+
+
+def _possible(x: str, y: str, count: int, num: int, den: int, miss: float) -> list[Column]:
+    """Conditions on two rows with all batches, the cheap ones first."""
+    out, agree = [_long_enough(f"{x}n", f"{y}n", num, den)], F.lit(0)
+    for i, (spare, least) in enumerate(_limits(count, num, den, miss)):
+        agree = agree + _agreements(x, y, i)
+        out.append(agree - spare >= least)
+    return out
+
+
+def _compared(pairs: DataFrame, heads: DataFrame, count: int, num: int, den: int, miss: float) -> DataFrame:
+    """(u, v, agree) of the pairs that stay possible, batch after batch; most fall in the first."""
+    pairs = pairs.withColumn("agree", F.lit(0))
+    for i, (spare, least) in enumerate(_limits(count, num, den, miss)):
         for side in "uv":
-            pairs = pairs.join(heads.select(F.col("node").alias(side), batch.alias(f"bytes_{side}")), side)
-        both = F.zip_with("bytes_u", "bytes_v", _agreeing)
-        total = agree + F.aggregate(both, F.lit(0), lambda s, x: s + x)
-        # bytes that fill the last long are equal on both sides and count for nothing
-        spare = max(0, 8 * end - count)
-        pairs = pairs.select("u", "v", (total - spare).alias("agree")).where(
-            F.col("agree") >= least_agreements(min(8 * end, count), similarity, miss))
-        at, agree = end, F.col("agree")
-    return stored(pairs, name)
+            pairs = pairs.join(heads.select(F.col("node").alias(side), F.col("n").alias(f"{side}n"),
+                                            F.col(f"batch{i}").alias(f"{side}batch{i}")), side)
+        pairs = pairs.where(_long_enough("un", "vn", num, den)) if i == 0 else pairs
+        pairs = pairs.select("u", "v", (F.col("agree") + _agreements("u", "v", i) - spare).alias("agree")).where(
+            F.col("agree") >= least)
+    return pairs
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(u, v) of the pairs (stored) that are links by their whole sets, which are made again for the texts that are left."""
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    ids = classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("id")).distinct()
-    sets = stored(_sets(docs.join(_sendable(ids), "id", "left_semi"), n), "minhash-sets")
+    needed = stored(classes.join(nodes, "node", "left_semi"), "minhash-needed")
+    made = _sets(docs.join(_sendable(needed.select(F.col("rep").alias("id")).distinct()), "id", "left_semi"), n)
+    sets = stored(made.join(needed.select("signature", "node"), "signature").select("node", "grams"), "minhash-sets")
     full = pairs.select("u", "v")
     for side in "uv":
         full = full.join(sets.select(F.col("node").alias(side), F.col("grams").alias(f"grams_{side}")), side)
@@ -196,68 +219,63 @@ def _pairs(rows: DataFrame, u: str, v: str) -> DataFrame:
 
 
 def minhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 2, num: int = 4, den: int = 5,
-                       bands: int = 50, rows: int = 5, miss: float = 1e-9) -> DataFrame:
+                       bands: int = 50, rows: int = 5, miss: float = 1e-6) -> DataFrame:
     """(key, n_shingles, component_id): Jaccard similarity of num / den or more is a link."""
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    count, similarity = bands * rows, num / den
+    count = bands * rows
     scan = stored(_scan(docs.select(F.monotonically_increasing_id().alias("row"), "id", "text"), n, bands, rows), "minhash-scan")
     named = scan.where("n > 0 and id is not null")
-    classes = stored(named.groupBy("node").agg(F.min("id").alias("rep"), F.min("row").alias("row")), "minhash-classes")
-    copies = named.select("row", "node").join(classes.select("node", F.col("row").alias("kept")), "node").where("row <> kept")
-    heads = named.join(_sendable(copies.select("row")), "row", "left_anti").select("node", "n", "keys", "bytes")
-
-    # (key, node, n, leader, leader_n) of every bucket with several classes
-    posts = heads.select("node", "n", F.explode("keys").alias("key"))
-    first = F.struct(F.xxhash64("node").alias("at"), F.col("node").alias("leader"), F.col("n").alias("leader_n"))
-    leaders = posts.groupBy("key").agg(F.min(first).alias("l"), F.count("*").alias("c")).where("c > 1").select(
-        "key", "l.leader", "l.leader_n")
-    posts = stored(posts.join(leaders, "key"), "minhash-posts")
-
-    def long_enough(x: str, y: str) -> Column:
-        return (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
+    # a class of equal sets is the node of its first row
+    classes = stored(named.groupBy("signature").agg(F.min("row").alias("node"), F.min("id").alias("rep")), "minhash-classes")
+    copies = named.select("row", "signature").join(classes.select("signature", "node"), "signature").where("row <> node")
+    heads = named.join(_sendable(copies.select("row")), "row", "left_anti").select(
+        F.col("row").alias("node"), "n", "keys", *_batches(count))
+
+    # posts of the buckets that hold several classes, and the leader of each: the class that meets most others in all its buckets
+    posts = heads.select("node", F.explode("keys").alias("key"))
+    shared = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    posts = stored(posts.join(_sendable(shared), "key"), "minhash-shared")
+    score = posts.groupBy("node").agg(F.sum("c").alias("score"))
+    first = F.struct(-F.col("score"), F.xxhash64("node"), F.col("node").alias("leader"))
+    leaders = posts.join(score, "node").groupBy("key").agg(F.min(first).alias("l")).select("key", "l.leader")
+    posts = stored(posts.join(leaders, "key").where("node <> leader"), "minhash-posts")
 
     # the leader that agrees best
-    star = posts.where((F.col("node") != F.col("leader")) & long_enough("n", "leader_n"))
-    near = _compared(_pairs(star, "node", "leader"), heads, count, similarity, miss, "minhash-near")
+    near = stored(_compared(_pairs(posts, "node", "leader"), heads, count, num, den, miss), "minhash-near")
     sided = near.union(near.select(F.col("v").alias("u"), F.col("u").alias("v"), "agree"))
-    best = _pairs(sided.groupBy("u").agg(F.max_by("v", F.struct("agree", "v")).alias("v")), "u", "v")
-    best = stored(best, "minhash-best")
+    best = stored(_pairs(sided.groupBy("u").agg(F.max_by("v", F.struct("agree", "v")).alias("v")), "u", "v"), "minhash-best")
     links = _verified(best, docs, classes, n, num, den)
 
     # the other leaders, where they are in another component
     parts = stored(components(links), "minhash-parts")
+    others = near.select("u", "v").join(best, ["u", "v"], "left_anti")
+    for side in "uv":
+        others = others.join(parts.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
+    others = others.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
+    links = links.union(_verified(stored(others, "minhash-others"), docs, classes, n, num, den))
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        for side in "uv":
-            pairs = pairs.join(parts.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
-        return pairs.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
-
-    others = stored(apart(near.select("u", "v").join(best, ["u", "v"], "left_anti")), "minhash-others")
-    links = links.union(_verified(others, docs, classes, n, num, den))
-
-    # pairs without the leader, across components
+    # pairs without the leader, across components: compared where they meet, so that only possible ones come out
     parts = stored(components(links), "minhash-parts")
     placed = posts.join(parts.withColumnRenamed("id", "node"), "node", "left").select(
-        "key", "node", "n", "leader", F.coalesce("component", "node").alias("component"))
+        "key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
     open_ = stored(placed.join(mixed.select("key"), "key", "left_semi"), "minhash-open")
     main = open_.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(
         F.max_by("component", F.struct("c", "component")).alias("main"))
-    marked = open_.join(main, "key")
+    marked = open_.join(main, "key").join(heads.drop("keys"), "node")
+    possible = reduce(lambda a, b: a & b, _possible("x.", "y.", count, num, den, miss))
     across = marked.where("component <> main").alias("x").join(marked.alias("y"), "key").where(
-        (F.col("x.component") != F.col("y.component")) & long_enough("x.n", "y.n")
-        & (F.col("x.node") != F.col("y.leader")) & (F.col("y.node") != F.col("x.leader"))
-        & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))))
-    rest = _compared(_pairs(across, "x.node", "y.node").join(near.select("u", "v"), ["u", "v"], "left_anti"),
-                     heads, count, similarity, miss, "minhash-rest")
+        (F.col("x.component") != F.col("y.component"))
+        & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & possible)
+    rest = stored(_pairs(across, "x.node", "y.node"), "minhash-rest")
     links = links.union(_verified(rest, docs, classes, n, num, den))
 
     # least id of every component, then of ids that stand in several
     parts = components(links).withColumnRenamed("id", "node")
-    grouped = classes.join(parts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    grouped = classes.join(parts, "node", "left").select("signature", "rep", F.coalesce("component", "node").alias("component"))
     least = grouped.groupBy("component").agg(F.min("rep").alias("label"))
-    labels = grouped.join(least, "component").select("node", "label")
-    whole = named.select("id", "node", "n").join(labels, "node").select("id", "n", "label")
+    labels = grouped.join(least, "component").select("signature", "label")
+    whole = named.select("id", "signature", "n").join(labels, "signature").select("id", "n", "label")
     whole = stored(whole.union(scan.where("n = 0 and id is not null").select("id", "n", "id")), "minhash-labels")
     several = whole.groupBy("id").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     joined = components(whole.join(several, "id").select(F.col("label").alias("u"), F.col("low").alias("v")))
