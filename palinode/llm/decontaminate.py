@@ -79,17 +79,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     start = F.greatest(F.lit(0), F.col("pos") - F.col("p.at"))
     stop = F.least(F.size("h"), F.col("pos") - F.col("p.at") + F.col("p.length"))
     windows = placed.select("key", F.col("p.length").alias("length"), start.alias("start"), stop.alias("stop"), "h").select(
-        "key", "length", "start", F.expr("slice(h, start + 1, stop - start)").alias("win"))
-    windows = stored(windows.groupBy("key", "length", "start").agg(F.first("win").alias("win")), "windows")
+        "key", "length", "start", "stop", F.expr("slice(h, start + 1, stop - start)").alias("win"))
+    # windows cut off by the text's start differ in their stop
+    windows = stored(windows.groupBy("key", "length", "start", "stop").agg(F.first("win").alias("win")), "windows")
 
     # an item's rarest shingles: the others together are too light for the similarity (it is rounded to nine digits)
     rarest_first = W.partitionBy("item").orderBy(F.desc("w"), "g").rowsBetween(0, W.unboundedFollowing)
     index = facts.select("item", "length", F.size("gw").alias("total"), F.inline("gw")).withColumn(
         "rest", F.sum("w").over(rarest_first)).where(F.col("rest") >= (similarity - 1e-6) * F.col("total"))
-    held = windows.select("key", "length", "start", F.explode_outer(F.array_distinct(_shingles("win"))).alias("g"))
-    near = held.join(index, ["length", "g"]).select("key", "length", "start", "item").distinct()
+    held = windows.select("key", "length", "start", "stop", F.explode_outer(F.array_distinct(_shingles("win"))).alias("g"))
+    near = held.join(index, ["length", "g"]).select("key", "length", "start", "stop", "item").distinct()
 
-    full = near.join(windows, ["key", "length", "start"]).join(facts.select("item", "gw", "fp_item"), "item")
+    full = near.join(windows, ["key", "length", "start", "stop"]).join(facts.select("item", "gw", "fp_item"), "item")
     distance = F.bit_count(simhash("win").bitwiseXOR(F.col("fp_item"))).alias("distance")
     full = full.select("key", "item", "start", distance, F.size("win").alias("n_words"), "gw", F.array_distinct(_shingles("win")).alias("gx"))
     own = F.transform("gw", lambda x: x["g"])
@@ -97,14 +98,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     union = F.aggregate("gw", F.lit(0.0), lambda s, x: s + x["w"]) + F.size(F.array_except("gx", own))
     scored = full.select("key", "item", "start", "n_words", "distance", F.round(common / union, 9).alias("similarity"))
     best = scored.where(F.col("similarity") >= similarity).groupBy("key", "item").agg(
-        F.min_by(F.struct("start", "n_words", "distance", "similarity"), F.struct(-F.col("similarity"), "start")).alias("best"))
+        F.min_by(F.struct("start", "n_words", "distance", "similarity"), F.struct(-F.col("similarity"), "start", "n_words")).alias("best"))
     return best.select(F.col("key").alias(key), F.col("item").alias(item), F.col("best.start").alias("start_word"),
                        F.col("best.n_words").alias("n_words"), F.col("best.distance").alias("distance"),
                        F.col("best.similarity").alias("similarity"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **kw) -> DataFrame:
-    """The rows of `docs` that hold no item, each row judged by itself, also where `key` is null or repeated."""
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate-rows")
-    found = contaminated(rows, benchmark, "__row", **kw).select("__row").distinct()
-    return rows.join(found, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: int = 2_000_000, **kw) -> DataFrame:
+    """The rows of `docs` whose text holds no item. Texts are told apart by their MD5, so each row is judged by itself, also
+    where ids are null or repeated, and no text moves while at most `most` texts (64 MB of digests) hold an item."""
+    digest = F.md5(F.col(text).cast("binary"))
+    found = contaminated(docs.select(digest.alias("key"), F.col(text).alias("text")), benchmark, "key", "text", **kw)
+    found = stored(found.select(F.col("key").alias("digest")).distinct(), "contaminated-texts")
+    found = F.broadcast(found) if found.count() <= most else found
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), digest.alias("digest"))
+    return rows.join(found, "digest", "left_anti").select("doc.*")

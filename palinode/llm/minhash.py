@@ -13,8 +13,9 @@ A pair at the threshold shares no band key with a chance of (1 - t**rows)**bands
 Groups of near copies give no quadratic number of pairs. In every bucket the classes are first compared with the bucket's
 leader, the class that meets most others in its buckets: of copies of one text that is the least altered one. Of
 its leaders a class is verified first with the one that agrees best, then with those in other components. What is left are pairs of a bucket in
-different components; they are compared inside the join, which gives only those that stay possible. Classes in one component need
-no further comparison, which loses no link between components.
+different components; they are compared inside the join, which gives only those that stay possible: a bound from the n-grams
+that a class shares with none of them comes first, then the batches. Classes in one component need no further comparison, which loses no
+link between components.
 
 Defined results: A-Z count as a-z; null, empty and white-space texts have an empty set, are linked with nothing and are
 their own component; a text of fewer than n words is one n-gram of all its words; equal texts of different ids are linked; rows that
@@ -199,12 +200,15 @@ def _compared(pairs: DataFrame, heads: DataFrame, count: int, num: int, den: int
     return pairs
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(u, v) of the pairs (stored) that are links by their whole sets, which are made again for the texts that are left."""
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+def _node_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """(node, grams) of some classes; their sets are made again from the texts."""
     needed = stored(classes.join(nodes, "node", "left_semi"), "minhash-needed")
     made = _sets(docs.join(_sendable(needed.select(F.col("rep").alias("id")).distinct()), "id", "left_semi"), n)
-    sets = stored(made.join(needed.select("signature", "node"), "signature").select("node", "grams"), "minhash-sets")
+    return stored(made.join(needed.select("signature", "node"), "signature").select("node", "grams"), "minhash-sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v) of the pairs that are links by their whole sets."""
     full = pairs.select("u", "v")
     for side in "uv":
         full = full.join(sets.select(F.col("node").alias(side), F.col("grams").alias(f"grams_{side}")), side)
@@ -214,6 +218,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num
     return stored(full.where(shared * (num + den) >= total * num).select("u", "v").distinct(), "minhash-links")
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    return _links(pairs, _node_sets(nodes, docs, classes, n), num, den)
+
+
 def _pairs(rows: DataFrame, u: str, v: str) -> DataFrame:
     return rows.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
 
@@ -262,13 +271,19 @@ def minhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     open_ = stored(placed.join(mixed.select("key"), "key", "left_semi"), "minhash-open")
     main = open_.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(
         F.max_by("component", F.struct("c", "component")).alias("main"))
-    marked = open_.join(main, "key").join(heads.drop("keys"), "node")
-    possible = reduce(lambda a, b: a & b, _possible("x.", "y.", count, num, den, miss))
+    # an n-gram that no other open class holds is in no intersection: n less those bounds the overlap of a class with any
+    sets = _node_sets(open_.select("node").distinct(), docs, classes, n)
+    alone = sets.select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(
+        F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    marked = open_.join(main, "key").join(heads.drop("keys"), "node").join(alone, "node", "left").withColumn(
+        "most", F.col("n") - F.coalesce("alone", F.lit(0)))
+    enough = F.least("x.most", "y.most") * (num + den) >= (F.col("x.n") + F.col("y.n")) * num
+    possible = reduce(lambda a, b: a & b, [enough, *_possible("x.", "y.", count, num, den, miss)])
     across = marked.where("component <> main").alias("x").join(marked.alias("y"), "key").where(
         (F.col("x.component") != F.col("y.component"))
         & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & possible)
     rest = stored(_pairs(across, "x.node", "y.node"), "minhash-rest")
-    links = links.union(_verified(rest, docs, classes, n, num, den))
+    links = links.union(_links(rest, sets, num, den))
 
     # least id of every component, then of ids that stand in several
     parts = components(links).withColumnRenamed("id", "node")

@@ -174,23 +174,28 @@ def spans_text(found: Column, kinds: list[str] | None = None) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "<secret>") -> DataFrame:
+def redact(df: DataFrame, text: str = "text", mark: str = "<secret>", most: int = 500_000) -> DataFrame:
     """The table with every span of every kind in `text` replaced by `mark`; overlapping and touching spans become one
-    mark, null texts stay null. Each row has its own cuts, also where `key` is null or repeated."""
-    rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "redact-rows")
-    found = find_secrets(rows, "__row", text).where(F.size("found") > 0).select(F.col("__row").alias("__k"), F.col("found").alias("__f"))
+    mark, null texts stay null. What is cut depends on the text alone, so cuts are kept by its MD5, once for all its copies:
+    rows with null or repeated ids are no special case, and no text moves while at most `most` texts have cuts (about
+    64 MB are sent to every task then)."""
+    digest = F.md5(F.col(text).cast("binary"))
+    found = find_secrets(df.select(digest.alias("key"), F.col(text).alias("text")), "key", "text").where(F.size("found") > 0)
+    found = found.groupBy(F.col("key").alias("__k")).agg(F.first("found").alias("__f"))
     spans = found.select("__k", F.explode("__f").alias("s")).select("__k", F.col("s.start").alias("a"), F.col("s.stop").alias("b"))
     earlier = W.partitionBy("__k").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1)
     starts = spans.withColumn("new", F.coalesce(F.col("a") > F.max("b").over(earlier), F.lit(True)).cast("int"))
     island = F.sum("new").over(W.partitionBy("__k").orderBy("a", "b").rowsBetween(W.unboundedPreceding, 0))
     merged = starts.withColumn("i", island).groupBy("__k", "i").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     cuts = merged.groupBy("__k").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("__c"))
-    joined = rows.join(cuts, F.col("__row") == F.col("__k"), "left")
+    cuts = stored(cuts, "secret-cuts")
+    cuts = F.broadcast(cuts) if cuts.count() <= most else cuts
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col(text).alias("text"), digest.alias("__k"))
+    joined = rows.join(cuts, "__k", "left")
     # the text before each cut, then what follows the last one
     heads = F.transform("__c", lambda c, i: F.substring(
-        F.col(text), F.coalesce(F.get("__c", i - 1)["b"], F.lit(0)).cast("int") + 1,
+        F.col("text"), F.coalesce(F.get("__c", i - 1)["b"], F.lit(0)).cast("int") + 1,
         (c["a"] - F.coalesce(F.get("__c", i - 1)["b"], F.lit(0))).cast("int")))
-    tail = F.substring(F.col(text), F.element_at("__c", -1)["b"].cast("int") + 1, F.char_length(F.col(text)))
-    clean = F.concat(F.array_join(F.array_append(heads, tail), mark))
-    return joined.select(*[F.when(F.col("__c").isNull(), F.col(text)).otherwise(clean).alias(text) if c == text
-                           else F.col(f"`{c}`") for c in df.columns])
+    tail = F.substring(F.col("text"), F.element_at("__c", -1)["b"].cast("int") + 1, F.char_length("text"))
+    clean = F.when(F.col("__c").isNull(), F.col("text")).otherwise(F.array_join(F.array_append(heads, tail), mark))
+    return joined.select(*[clean.alias(text) if c == text else F.col("doc")[c].alias(c) for c in df.columns])

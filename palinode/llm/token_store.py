@@ -161,6 +161,9 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", ids: bool =
     sums = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row per file
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = sums.select(F.col("part").alias("__part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    # one row per file: sent to every task while that is small, so that the ids stay where they are
+    if sums.count() <= 1_000_000:
+        bases = F.broadcast(bases)
     rows = stored.join(bases, F.col("part") == F.col("__part"))
     return rows.select(key, (F.col("__base") + F.col("start_in_part")).alias("start"), "n_tokens",
                        *(["ids"] if ids else []))

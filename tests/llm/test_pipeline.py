@@ -96,4 +96,28 @@ def test_rows_without_an_id_go_through_every_stage(spark):
     assert after(corpus_pipeline.redact_secrets) == sorted([(i, t.replace(secret, "key <secret> ")) for i, t in rows], key=str)
     once = after(corpus_pipeline.keep_one_of_near_copies)
     assert [r for r in once if r[1] in (copied, alone)] == sorted([(1, copied), (None, alone)], key=str)
-    assert len(once) == 6
+    assert len(once) == 7  # a shared id alone links nothing
+
+
+def test_stages_on_shared_ids_clashing_names_and_no_rows(spark):
+    rows = [(1, "one text of its own"), (1, "quite another one here"), (2, "a third one, unlike them"), (3, None), (3, None), (4, ""),
+            (5, "long " * 50_000)]
+    names = ("score", "lang_pred", "doc", "digest", "node", "key", "h", "__k", "__c", "text2", "found", "n_tokens2")
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({n: F.lit(n) for n in names})
+    for stage in (corpus_pipeline.keep_one_of_near_copies, corpus_pipeline.drop_benchmark_passages, corpus_pipeline.redact_secrets):
+        after = stage(spark, docs, SMALL)
+        assert after.columns == docs.columns
+        kept = sorted([(r.doc_id, r.text) for r in after.collect()], key=str)
+        want = sorted(set(rows) if stage is corpus_pipeline.keep_one_of_near_copies else rows, key=str)
+        assert kept == want
+        assert stage(spark, docs.where("false"), SMALL).count() == 0
+    labelled = docs.withColumn("lang", F.lit("en"))
+    assert corpus_pipeline.keep_known_languages(spark, labelled, SMALL).count() == 4
+
+
+def test_the_least_of_rows_alike_in_id_and_text_stays(spark):
+    docs = spark.createDataFrame([(1, "alike in both", "b"), (1, "alike in both", "a"), (2, "other", "c")], "doc_id long, text string, lang string")
+    after = corpus_pipeline.keep_one_of_near_copies(spark, docs, SMALL).collect()
+    assert sorted((r.doc_id, r.lang) for r in after) == [(1, "a"), (2, "c")]
