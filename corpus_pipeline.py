@@ -19,21 +19,36 @@ from palinode.llm.secret_scan import redact
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter (or null) go."""
-    judged = identify(docs, train(docs))
-    return judged.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
-
-
-def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group linked by near copies; rows that repeat an id count as copies,
-    rows without an id stand for themselves and stay where no row with an id is in their group."""
-    own = F.xxhash64(F.lit("row without id"), F.monotonically_increasing_id())
-    rows = stored(docs.withColumn("__node", F.coalesce("doc_id", own)), "near-copy-rows")
-    nameless = rows.where("doc_id is null").select("__node", F.lit(True).alias("nameless"))
-    nodes = jaccard_components(rows, "__node").select("__node", "component_id").join(nameless, "__node", "left")
-    kept = nodes.groupBy("component_id").agg(
-        F.min(F.struct(F.coalesce("nameless", F.lit(False)).alias("nameless"), "__node")).alias("kept")).select("kept.__node")
-    return rows.join(kept, "__node", "left_semi").dropDuplicates(["__node"]).select(*docs.columns)
+    """Documents whose language can be told; those without a letter (or null) go. Ties, repeated rows and nulls in other
+    columns change nothing; an empty table stays empty; columns are judged under names of their own, so none can clash."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    judged = identify(plain, train(docs), text=f"c{docs.columns.index('text')}")
+    return judged.where(F.col("lang_pred") != UNKNOWN).select(*plain.columns).toDF(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = 2_000_000) -> DataFrame:
+    """One document of every group linked by near copies: the one with the smallest id, null ids last, then the one with the
+    smallest hash. A node is a 64-bit hash of id and text, so documents that only share an id are apart; rows alike in
+    both are copies, of which the least in the other columns stays. Rows with no text or words are linked with nothing. No
+    text moves while at most `most` nodes go or are repeated (16 MB of ids)."""
+    node = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("no id")), F.col("doc_id"), F.col("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), node.alias("node"))
+    linked = jaccard_components(docs.select(node.alias("node"), "text"), "node").select("node", "component_id")
+    named = docs.select(node.alias("node"), "doc_id").groupBy("node").agg(F.first("doc_id").alias("id"), F.count("*").alias("n"))
+    groups = stored(linked.distinct().join(named, "node"), "near-copy-groups")
+    place = F.struct(F.col("id").isNull(), "id", "node")
+    kept = groups.groupBy("component_id").agg(F.min_by("node", place).alias("kept"))
+    gone = groups.join(kept, "component_id").where("node <> kept").select("node")
+    repeated = groups.where("n > 1").select("node")
+
+    def sendable(nodes: DataFrame) -> DataFrame:
+        nodes = stored(nodes, "near-copy-nodes")
+        return F.broadcast(nodes) if nodes.count() <= most else nodes
+
+    stay, repeated = rows.join(sendable(gone), "node", "left_anti"), sendable(repeated)
+    others = F.to_json(F.struct(*[F.col("doc")[c] for c in docs.columns if c != "text"]))
+    one = stay.join(repeated, "node", "left_semi").groupBy("node").agg(F.min_by("doc", others).alias("doc"))
+    return stay.join(repeated, "node", "left_anti").select("doc.*").union(one.select("doc.*"))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
