@@ -1,23 +1,22 @@
 """Byte-pair vocabularies: counting, training, encoding, decoding, token sizes.
 
-Training state is the table of distinct pre-tokens. A word is kept as a string with one character per
-symbol, so a merge is `replace` and a pair is a two-character substring: every round stays in the JVM,
-and only the best few pairs reach the driver. Encoding needs no shuffle: each Arrow batch is reduced to
-its distinct pre-tokens, those are merged once, and the ids are gathered back.
+Training works on the table of distinct pre-tokens, in epochs (see `bpe_training`). Encoding needs no shuffle: each
+Arrow batch is reduced to its distinct pre-tokens, those are merged once, and the ids are gathered back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palinode.functions.tokens import SPECIAL_TOKENS, pretokens
-from palinode.session import cut_lineage
+from palinode.operators.bpe_training import train_merges
 
 
 @dataclass
@@ -86,132 +85,69 @@ def pretoken_counts(df: DataFrame, text: str = "text", split=pretokens) -> DataF
 
 # ---- training --------------------------------------------------------------------------------------
 
-def _symbol(i: int) -> str:
-    """One character per symbol id; surrogates are skipped."""
-    return chr(i if i < 0xD800 else i + 0x800)
-
-
-def _symbol_id(c: str) -> int:
-    return ord(c) if ord(c) < 0xD800 else ord(c) - 0x800
-
-
-def _windows(words: DataFrame, width: int) -> DataFrame:
-    """(w, freq, i, s): every run of `width` symbols of every word."""
-    long = words.where(F.length("w") >= width)
-    placed = long.select("w", "freq", F.explode(F.sequence(F.lit(1), F.length("w") - (width - 1))).alias("i"))
-    return placed.withColumn("s", F.substring(F.col("w"), F.col("i"), F.lit(width)))
-
-
-def _pair_counts(words: DataFrame) -> DataFrame:
-    """(pair, n): how often merging the pair would fire. Within a run of one symbol only every second
-    window fires, left to right."""
-    at = _windows(words, 2)
-    head = F.substring(F.col("w"), F.lit(1), F.col("i") - 1)
-    symbol = F.substring("s", 1, 1)
-    run = F.length(head) - F.length(F.rtrim(head, symbol))
-    fires = (symbol != F.substring("s", 2, 1)) | (F.pmod(run, F.lit(2)) == 0)
-    return at.where(fires).groupBy(F.col("s").alias("pair")).agg(F.sum("freq").alias("n"))
-
-
-def _triples(words: DataFrame, pairs: Sequence[str]) -> tuple[dict[str, int], dict[str, int]]:
-    """({pair: largest count of a three-symbol window around it}, {window made of two of the pairs: count}).
-    At most pairs + pairs^2 numbers."""
-    left, right = F.substring("s", 1, 2), F.substring("s", 2, 2)
-    counted = _windows(words, 3).where(left.isin(*pairs) | right.isin(*pairs)).groupBy("s").agg(F.sum("freq").alias("n"))
-    sides = counted.select("s", "n", F.explode(F.array(left, right)).alias("pair")).where(F.col("pair").isin(*pairs))
-    both = F.when(F.substring("s", 1, 2).isin(*pairs) & F.substring("s", 2, 2).isin(*pairs), F.col("s"))
-    rows = sides.groupBy("pair", both.alias("both")).agg(F.max("n").alias("n")).collect()
-    around: dict[str, int] = {}
-    for r in rows:
-        around[r["pair"]] = max(around.get(r["pair"], 0), r["n"])
-    return around, {r["both"]: r["n"] for r in rows if r["both"] is not None}
-
-
-def _provable_batch(top: list[tuple[str, int]], rest: int, around: dict[str, int], shared: dict[str, int]) -> list[str]:
-    """The longest run of merges whose order is certain from counts taken before the first of them.
-
-    Accepted merges eat into the pairs they overlap with, so a pair's current count is known as an
-    interval: lowered by every shared window at the bottom, by the largest certain one at the top. A pair
-    is next when its lower end beats every other upper end (equal counts go by id), everything not in the
-    list (`rest`), and anything the accepted merges can have created.
-    """
-    low, high = dict(top), dict(top)
-    start = dict(top)
-    batch: list[str] = []
-    ceiling = -1
-    while len(batch) < len(top):
-        left = [p for p, _ in top if p not in batch]
-        best = max(left, key=lambda p: (low[p], [-ord(c) for c in p]))
-        n = low[best]
-        beaten = all(n > high[q] or (n == high[q] and best < q) for q in left if q != best)
-        known = n > rest or (n == rest and n == start[best])
-        if batch and not (beaten and known and n > ceiling):
-            break
-        a, b = best
-        exact = low[best] == start[best] and a != b
-        for q in left:
-            c, d = q
-            eaten = [shared.get(w, 0) for w, hit in ((a + q, b == c), (q + b, d == a)) if hit]
-            low[q] -= sum(eaten)
-            if exact and c != d and eaten:
-                high[q] = min(high[q], start[q] - max(eaten))
-        batch.append(best)
-        ceiling = max(ceiling, around.get(best, 0))
-    return batch
-
-
 def train_bpe(counts: DataFrame, vocab_size: int, min_freq: int = 1, specials: Sequence[str] = SPECIAL_TOKENS,
-              specials_first: bool = False, candidates: int = 64, cut_every: int = 32) -> Vocabulary:
-    """Learn merges from (pretoken, freq): always the most frequent adjacent pair, ties to the lower ids.
-    A round takes as many merges as are provably the next ones, so the result is that of taking them one
-    by one."""
+              specials_first: bool = False, **bounds: int) -> Vocabulary:
+    """Learn merges from (pretoken, freq): always the most frequent adjacent pair, ties to the lower ids. `bounds` are
+    the memory bounds of `train_merges`; they change no merge."""
     n_merges = vocab_size - 256 - len(specials)
     if n_merges < 0:
         raise ValueError("vocabulary must hold 256 bytes and the special tokens")
-    words = counts.select(
-        F.decode(F.col("pretoken").cast("binary"), "ISO-8859-1").alias("w"), F.col("freq").cast("long").alias("freq"))
-    # distinct words spread evenly whatever their frequency; a fixed number keeps rounds parallel
-    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    words = cut_lineage(words.where(F.length("w") >= 2).repartition(parts, "w"))
-    merges: list[tuple[int, int]] = []
-    pending = 0
-    while len(merges) < n_merges:
-        top = [(r["pair"], r["n"]) for r in _pair_counts(words).where(F.col("n") >= max(1, min_freq)).orderBy(
-            F.col("n").desc(), "pair").limit(candidates).collect()]
-        if not top:
-            break
-        if len(top) > 1 and n_merges - len(merges) > 1:
-            rest = top[-1][1] if len(top) == candidates else max(1, min_freq) - 1
-            batch = _provable_batch(top, rest, *_triples(words, [p for p, _ in top]))[:n_merges - len(merges)]
-        else:
-            batch = [top[0][0]]
-        merged: Column = F.col("w")
-        for pair in batch:
-            merged = F.replace(merged, F.lit(pair), F.lit(_symbol(256 + len(merges))))
-            merges.append((_symbol_id(pair[0]), _symbol_id(pair[1])))
-        words = words.withColumn("w", merged)
-        pending += len(batch)
-        if pending >= cut_every:
-            words = cut_lineage(words.where(F.length("w") >= 2))
-            pending = 0
-    return Vocabulary(merges, tuple(specials), specials_first)
+    return Vocabulary(train_merges(counts, n_merges, min_freq, **bounds), tuple(specials), specials_first)
 
 
 # ---- encoding --------------------------------------------------------------------------------------
 
-def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: join the neighbours whose bytes have the lowest rank until none is known."""
-    parts = [piece[i:i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            rank = ranks.get(parts[i] + parts[i + 1])
-            if rank is not None and (best is None or rank < best):
-                best, at = rank, i
-        if best is None:
-            break
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
+class PieceEncoder:
+    """Ids of pre-tokens by ranks of byte strings. A piece is a linked list of parts and a heap of the joins that are
+    known, so a long piece costs n log n; short ones met before come from a memo of bounded size, kept by the worker."""
+
+    def __init__(self, ranks: dict[bytes, int], memo: int = 1 << 16, memo_bytes: int = 64) -> None:
+        self.ranks, self.longest = ranks, max(map(len, ranks))
+        self.memo: dict[bytes, list[int]] = {}
+        self.memo_size, self.memo_bytes = memo, memo_bytes
+
+    def __call__(self, piece: bytes) -> list[int]:
+        found = self.memo.get(piece)
+        if found is None:
+            found = self.merged(piece)
+            if len(piece) <= self.memo_bytes:
+                if len(self.memo) >= self.memo_size:
+                    self.memo.clear()
+                self.memo[piece] = found
+        return found
+
+    def merged(self, piece: bytes) -> list[int]:
+        """Join the neighbours of the lowest rank, the leftmost of equals, until no join is known."""
+        n, ranks = len(piece), self.ranks
+        ends = list(range(1, n + 1))  # end of the part that starts at each place; 0 once it is joined to one before
+        before = list(range(-1, n - 1))
+        heap: list[tuple[int, int, int]] = []
+
+        def offer(start: int) -> None:
+            middle = ends[start]
+            if middle < n and ends[middle] - start <= self.longest:
+                rank = ranks.get(piece[start:ends[middle]])
+                if rank is not None:
+                    heappush(heap, (rank, start, ends[middle]))
+
+        for start in range(n - 1):
+            offer(start)
+        while heap:
+            _, start, end = heappop(heap)
+            middle = ends[start]
+            if not middle or middle >= end or ends[middle] != end:
+                continue  # one of the two parts has changed
+            ends[start], ends[middle] = end, 0
+            if end < n:
+                before[end] = start
+                offer(start)
+            if before[start] >= 0:
+                offer(before[start])
+        out, at = [], 0
+        while at < n:
+            out.append(ranks[piece[at:ends[at]]])
+            at = ends[at]
+        return out
 
 
 def _gather(tokens: pa.ListArray, encode_one) -> pa.ListArray:
@@ -231,11 +167,12 @@ def _gather(tokens: pa.ListArray, encode_one) -> pa.ListArray:
 
 
 def _encoder(spark: SparkSession, vocab: Vocabulary):
-    ranks = spark.sparkContext.broadcast(vocab.ranks())
+    shared = spark.sparkContext.broadcast(PieceEncoder(vocab.ranks()))
 
     @F.arrow_udf("array<int>")
     def encode_tokens(tokens: pa.Array) -> pa.Array:
-        return _gather(tokens, lambda t: merge_bytes(t.encode(), ranks.value))
+        encoder = shared.value  # one per worker, with its memo
+        return _gather(tokens, lambda t: encoder(t.encode()))
 
     return encode_tokens
 
@@ -255,11 +192,12 @@ def encode(df: DataFrame, vocab: Vocabulary, text: str = "text", out: str = "ids
 
 def encode_list(df: DataFrame, vocab: Vocabulary, texts: str, out: str) -> DataFrame:
     """Add ARRAY<ARRAY<INT>> ids of an array of texts, row by row."""
-    ranks = df.sparkSession.sparkContext.broadcast(vocab.ranks())
+    shared = df.sparkSession.sparkContext.broadcast(PieceEncoder(vocab.ranks()))
 
     @F.arrow_udf("array<array<int>>")
     def encode_texts(rows: pa.Array) -> pa.Array:
-        inner = _gather(rows.flatten(), lambda t: merge_bytes(t.encode(), ranks.value))
+        encoder = shared.value
+        inner = _gather(rows.flatten(), lambda t: encoder(t.encode()))
         sizes = [n or 0 for n in rows.value_lengths().to_pylist()]
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), inner)
 

@@ -1,7 +1,9 @@
 """Split pattern, training, encoding and decoding against independent implementations."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 import regex
 import tiktoken
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palinode.functions.tokens import BYTE_SPECIALS, SPLIT_PATTERN, byte_ids, bytes_text, pretokens, special_id
 from palinode.operators import bpe
+from palinode.operators.bpe_training import MergeTable
 from palinode.plans.workflows import train_tokenizer
 
 TRICKY = ["a  ! b", "x  y", "t\u0085\u0085u", "I'll say 12345 it's 'RE", "  lead\n\n tail  \r\n", "日本語 テスト 🙂🙂 ok", "", "tab\t\tend "]
@@ -78,8 +81,44 @@ def test_training_equals_one_merge_at_a_time(spark, seed):
         w = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 12)))
         counts[w] = counts.get(w, 0) + rng.choice([1, 1, 2, 5, 40])
     df = spark.createDataFrame(list(counts.items()), "pretoken string, freq long")
-    vocab = bpe.train_bpe(df, 256 + 9 + 40, min_freq=2, cut_every=8)
-    assert vocab.merges == _train_model(counts, 40, 2)
+    want = _train_model(counts, 40, 2)
+    assert bpe.train_bpe(df, 256 + 9 + 40, min_freq=2).merges == want
+    # many short epochs: few hot pairs, and segments of few symbols
+    assert bpe.train_bpe(df, 256 + 9 + 40, min_freq=2, hot_pairs=6, most_symbols=40).merges == want
+
+
+def test_merge_table_counts_by_deltas():
+    """After every merge the counts kept by deltas are those of a recount."""
+    rng = np.random.default_rng(7)
+    for alphabet in (1, 2, 4):
+        words = [rng.integers(0, alphabet, rng.integers(1, 14)) for _ in range(60)]
+        weights = rng.integers(1, 9, 60)
+        table = MergeTable(np.concatenate(words), np.array([len(w) for w in words]), weights)
+        counts = table.counts()
+        for step in range(25):
+            live = {c: n for c, n in counts.items() if n > 0}
+            if not live:
+                break
+            code = min(live, key=lambda c: (-live[c], c))
+            delta, again = table.merge(code, 256 + step)
+            counts.pop(code)
+            for c, change in delta.items():
+                counts[c] = counts.get(c, 0) + change
+            counts.update({c: table.count(c) for c in again})
+            values, sizes = table.sequences()
+            fresh = MergeTable(values, sizes, weights).counts()
+            assert {c: n for c, n in counts.items() if n} == fresh
+
+
+def test_long_pieces_are_encoded_in_one_pass(trained):
+    vocab, _ = trained
+    encoder, rng = bpe.PieceEncoder(vocab.ranks()), random.Random(3)
+    enc = _tiktoken(vocab)
+    for piece in ("".join(rng.choice("enratio") for _ in range(3000)), "e" * 999):
+        assert encoder(piece.encode()) == enc.encode_ordinary(piece)
+    began = time.time()
+    assert len(encoder(("enratio" * 15_000).encode())) > 1000
+    assert time.time() - began < 10
 
 
 def _tiktoken(vocab):
