@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palinode.functions.seeded import seed_key, seed_u32
+from palinode.functions.seeded import seed_key, seed_place
 from palinode.functions.sequences import answer_spans, left_crop, lm_prefix_ok
 from palinode.functions.text import lm_prompts, mc_prompts, schema_prompts
 from palinode.functions.tokens import BOS, byte_ids
@@ -47,9 +47,10 @@ def fewshot(items: DataFrame, k: int, task: str = "task", item: str = "item_id",
             seed: int = 1234) -> DataFrame:
     """(task, item, shots): k distinct other items of the task, seeded per item. A task of k items or fewer is an error.
 
-    Items sit on a seeded ring per task and take k consecutive ring places behind a seeded offset in
-    1..n-1, which rules out the item itself and repeats. The lookup joins on (task, place), unique on
-    one side, so no task is paired with itself and a hot task spreads over its places.
+    Items sit on a seeded ring per task and look at k distinct offsets of 1..n-1, which rules out the item itself. The offsets
+    are drawn by Floyd's sampling: for i = n-k .. n-1 a seeded draw of 1..i is taken, or i itself if that is
+    taken already, so every set of k items is alike likely whatever n is; they are shown in seeded order. The lookup joins on (task, place),
+    unique on one side, so no task is paired with itself and a hot task spreads over its places.
     """
     ring = dense_index(items.withColumn("__key", seed_key(seed, task, item)), ["__key", item], "__place", [task],
                        uniform_hex=True)
@@ -57,11 +58,14 @@ def fewshot(items: DataFrame, k: int, task: str = "task", item: str = "item_id",
     enough = F.when(F.col("__n") > k, F.col("__n")).otherwise(
         F.raise_error(F.concat(F.lit(f"{k} shots need more than {k} items in task "), F.col(task).cast("string"))).cast("long"))
     placed = ring.join(sizes, F.col(task) == F.col("__task")).withColumn("__n", enough)
-    first = F.pmod(seed_u32(f"{seed}o", task, item), F.col("__n") - 1)
-    asks = placed.select(task, item, "__place", "__n", first.alias("__first")).withColumn(
-        "__j", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select(
-        task, item, "__j", F.pmod(F.col("__place") + 1 + F.pmod(F.col("__first") + F.col("__j"), F.col("__n") - 1),
-                                  F.col("__n")).alias("__place"))
+    def taken(chosen: Column, i: Column) -> Column:
+        draw = seed_place(i, f"{seed}o", task, item, i) + 1
+        return F.array_append(chosen, F.when(F.array_contains(chosen, draw), i).otherwise(draw))
+
+    offsets = F.aggregate(F.sequence(F.col("__n") - k, F.col("__n") - 1), F.array().cast("array<bigint>"), taken)
+    asks = placed.select(task, item, "__place", "__n", F.explode(offsets).alias("__o")).select(
+        task, item, seed_key(f"{seed}p", task, item, F.col("__o")).alias("__j"),
+        F.pmod(F.col("__place") + F.col("__o"), F.col("__n")).alias("__place"))
     shown = ring.select(F.col(task).alias("__t"), F.col("__place").alias("__p"),
                         F.struct(F.col(item).alias("shot_id"), *payload).alias("__shot"))
     hit = asks.join(shown, (F.col(task) == F.col("__t")) & (F.col("__place") == F.col("__p")))

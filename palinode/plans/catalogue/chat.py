@@ -10,7 +10,7 @@ from palinode.functions.tokens import BYTE_SPECIALS, word_tokens
 from palinode.operators import conversations as C
 from palinode.operators import mixture, packing, selection, toolcalls
 from palinode.operators.ordered import dense_index
-from palinode.plans.registry import byte_list, digest, query, u32, uniform, words as sql_words
+from palinode.plans.registry import byte_list, digest, query, u32, u60, uniform, words as sql_words
 from palinode.session import table
 from palinode.sources import tasks as T
 
@@ -194,11 +194,19 @@ mc AS (SELECT c_mktsegment AS task, c_custkey AS item_id, c_name || ' of ' || n_
 
 
 def _sql_ring(items: str, k: int) -> str:
+    """`shot`: k distinct other items of the task by Floyd's sampling of ring offsets, in the order of `j`."""
+    steps = [f"""o0 AS (SELECT task, item_id, place, n, []::BIGINT[] AS o FROM ring WHERE n > {k})"""]
+    for t in range(1, k + 1):
+        i = f"(n - {k + 1 - t})"
+        draw = f"({u60('1234o', 'task', 'item_id', i)} % {i} + 1)"
+        steps.append(f"""o{t} AS (SELECT task, item_id, place, n,
+  list_append(o, CASE WHEN list_contains(o, {draw}) THEN {i} ELSE {draw} END) AS o FROM o{t - 1})""")
     return f"""
 ring AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY md5(concat_ws(':', '1234', task, item_id)), item_id) - 1 AS place,
            count(*) OVER (PARTITION BY task) AS n FROM {items}),
-ask AS (SELECT task, item_id, j, (place + 1 + ({u32('1234o', 'task', 'item_id')} % (n - 1) + j) % (n - 1)) % n AS place
-        FROM ring, unnest(range(0, {k})) AS u(j) WHERE n > {k}),
+{", ".join(steps)},
+ask AS (SELECT task, item_id, md5(concat_ws(':', '1234p', task, item_id, d)) AS j, (place + d) % n AS place
+        FROM (SELECT task, item_id, place, n, unnest(o) AS d FROM o{k})),
 shot AS (SELECT ask.task, ask.item_id, ask.j, r.* EXCLUDE (task, item_id), r.item_id AS shot_id
          FROM ask JOIN ring r ON r.task = ask.task AND r.place = ask.place)"""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from palinode.functions.sequences import ids_text
 from palinode.functions.text import LOG_FILTER
 from palinode.functions.tokens import LAB_SPECIALS, word_ids, word_tokens
-from palinode.operators import report, selection, store
+from palinode.operators import packing, report, selection, store
 from palinode.operators.ordered import dense_index
 from palinode.plans.catalogue.chat import SQL_CHECK
 from palinode.plans.catalogue.tokens import SQL_STREAM, VOCAB, documents_with_ids
@@ -171,12 +171,40 @@ def stream_meters(spark, d):
     return out.select("user_id", F.round("min_bpb", 6).alias("min_bpb"), F.round("train_time", 4).alias("train_time"), F.round("mean_loss", 6).alias("mean_loss"), "n_steps")
 
 
+def _token_docs(docs):
+    ids = F.array_prepend(word_ids(word_tokens(F.col("text")), VOCAB), LAB_SPECIALS["<bos>"])
+    return docs.select("doc_id", ids.alias("ids"), F.pmod("doc_id", F.lit(4)).cast("int").alias("stream_id"))
+
+
+def _streamed_rows(spark, d, files: int = 8):
+    """Rows packed from a folder to which the documents come in `files` shards, one a micro-batch."""
+    path, docs = scratch_dir(spark, "shards"), table(spark, d, "documents")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    shard = F.least(F.lit(files - 1), F.floor((F.col("doc_id") - low) * files / (high - low + 1))).cast("int")
+    for i in range(files):
+        docs.where(shard == i).coalesce(1).write.mode("append").parquet(path)
+    packed = streams.pack_stream(_token_docs(streams.document_stream(spark, path, docs.schema)), 512, buffer=20, refill=8)
+    return streams.run_to_table(packed, scratch_dir(spark, "sp"), scratch_dir(spark, "spc"))
+
+
 @query()
 def stream_pack(spark, d):
-    docs = _stream(spark, d, "documents").select("doc_id", word_ids(word_tokens(F.col("text")), VOCAB).alias("ids"), F.pmod("doc_id", F.lit(4)).cast("int").alias("stream_id"))
-    packed = streams.pack_stream(docs.withColumn("ids", F.array_prepend("ids", LAB_SPECIALS["<bos>"])), 512, buffer=20, refill=8)
-    out = streams.run_to_table(packed, scratch_dir(spark, "sp"), scratch_dir(spark, "spc"))
-    return out.select("stream_id", "row_id", F.md5(ids_text(F.col("tokens"))).alias("digest"))
+    return _streamed_rows(spark, d).select("stream_id", "row_id", F.md5(ids_text(F.col("tokens"))).alias("digest"))
+
+
+@query("""SELECT DISTINCT (doc_id % 4)::INT AS stream_id, true AS streamed_rows, 0::BIGINT AS only_streamed, 0::BIGINT AS only_batch FROM documents""")
+def stream_pack_equals_batch(spark, d):
+    """Rows packed over eight micro-batches with carried state are the first ones of a batch over the whole table; what the
+    batch packs from its last buffer is still in the state."""
+    batch = packing.pack_bestfit_crop(_token_docs(table(spark, d, "documents")), 512, "doc_id", buffer=20, refill=8)
+    sides = [rows.select("stream_id", "row_id", F.md5(ids_text(F.col("tokens"))).alias(side))
+             for rows, side in ((_streamed_rows(spark, d), "streamed"), (batch, "batch"))]
+    last = sides[0].groupBy("stream_id").agg(F.max("row_id").alias("last"))
+    both = sides[0].join(sides[1], ["stream_id", "row_id"], "full").join(last, "stream_id", "left")
+    differ = ~F.col("streamed").eqNullSafe(F.col("batch"))
+    return both.groupBy("stream_id").agg(
+        (F.count("streamed") > 0).alias("streamed_rows"), F.count_if(differ & F.col("streamed").isNotNull()).alias("only_streamed"),
+        F.count_if(differ & F.col("streamed").isNull() & (F.col("row_id") <= F.col("last"))).alias("only_batch"))
 
 
 @query(f"""WITH {SQL_CHECK} SELECT count(*)::BIGINT AS n FROM chk WHERE reason = 'ok' AND NOT sys""")

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from palinode.functions.text import LOG_FIELDS, LOG_FILTER, log_field, strip
 from palinode.operators.packing import _BestFit
 
 _MESSAGES = "array<struct<role:string,content:string>>"
-_DOC = "struct<ids:array<int>,size:int>"
-_STATE = f"arriving array<{_DOC}>, buffered array<{_DOC}>, row array<array<int>>, next_row long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _ROWS = "stream_id int, row_id long, tokens array<int>, n_docs int"
 
 
@@ -26,43 +25,91 @@ def document_stream(spark: SparkSession, path: str, schema: str, files_per_trigg
         "pathGlobFilter", "*.parquet").parquet(path)
 
 
-def pack_stream(docs: DataFrame, seq_len: int, stream: str = "stream_id", order: str = "doc_id", ids: str = "ids",
-                buffer: int = 1000, refill: int = 128) -> DataFrame:
-    """Best-fit-crop rows over an unbounded token stream. State per stream is the look-ahead buffer (less
-    than buffer + refill documents) and the open row. Documents are kept cut to a row's length together with
-    their true size, which loses nothing a row could use. A micro-batch of a stream is as large as
-    `maxFilesPerTrigger` lets in."""
-    cap = seq_len + 1
-
-    def doc(ids, size: int) -> tuple[np.ndarray, np.ndarray, int]:
-        return np.asarray(ids, np.int32), np.ones(len(ids), np.int32), int(size)
-
-    def saved(docs: list[tuple]) -> list[tuple]:
-        return [(d[0].tolist(), d[2]) for d in docs]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        packer, next_row = _BestFit(cap, buffer, refill, None), 0
-        if state.exists:
-            arriving, buffered, row, next_row = state.get
-            packer.arriving = [doc(*d) for d in buffered]
-            packer._admit()
-            packer.arriving = [doc(*d) for d in arriving]
-            for part in row:
-                packer.row.put(doc(part, len(part)))
+class _StatePacker(_BestFit):
+    """Best fit over documents that lie in the state store: the buffer holds (order, size), ids are fetched when placed."""
+
+    fetch: Callable[[tuple], list[int]]
+
+    def _take(self, at: int) -> tuple:
+        order, _, size = super()._take(at)
+        ids = np.asarray(self.fetch(order), np.int32)
+        return ids, np.ones(len(ids), np.int32), size
+
+
+class _PackingProcessor(StatefulProcessor):
+    """State of a stream: `waiting`, one entry per document that is buffered or has just come in; `buffered`, one entry per
+    buffered document in the order in which equal sizes leave (order and size only); `row`, the parts of the open row; `place`, the
+    next row number and how many buffered entries have not been admitted yet. A micro-batch goes to `waiting` frame by frame
+    and is read back in document order, so the worker holds order numbers and one row, never the batch's ids."""
+
+    def __init__(self, cap: int, buffer: int, refill: int, order: str, chunk: int = 256) -> None:
+        self.cap, self.buffer, self.refill, self.order, self.chunk = cap, buffer, refill, order, chunk
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getMapState("waiting", f"doc {self.order}", "ids array<int>")
+        self.buffered = handle.getListState("buffered", f"doc {self.order}, size int")
+        self.row = handle.getListState("row", "ids array<int>")
+        self.place = handle.getValueState("place", "next_row long, arriving int")
+
+    def _fetch(self, order) -> list[int]:
+        ids = self.waiting.getValue((order,))[0]
+        self.waiting.removeKey((order,))
+        return ids
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        packer = _StatePacker(self.cap, self.buffer, self.refill, None)
+        packer.fetch = self._fetch
+        next_row, arriving = self.place.get() if self.place.exists() else (0, 0)
+        held = [(doc, None, size) for doc, size in self.buffered.get()] if self.buffered.exists() else []
+        packer.arriving = held[:len(held) - arriving]
+        packer._admit()
+        packer.arriving = held[len(held) - arriving:]
+        for part, in self.row.get() if self.row.exists() else ():
+            packer.row.put((np.asarray(part, np.int32), np.ones(len(part), np.int32), len(part)))
+
+        orders: list[tuple] = []
+        for frame in rows:
+            for order, ids, size in zip(frame["doc"].tolist(), frame["ids"], frame["size"].tolist()):
+                self.waiting.updateValue((order,), (list(map(int, ids)),))
+                orders.append((order, size))
         out = []
-        frame = pd.concat(list(batches)).sort_values("__order")
-        for ids, size in zip(frame["ids"], frame["size"]):
-            for tokens, _, n_docs, _, _ in packer.add(doc(ids, size)):
+        for order, size in sorted(orders):
+            for tokens, _, n_docs, _, _ in packer.add((order, None, size)):
                 out.append((key[0], next_row, tokens, n_docs))
                 next_row += 1
-        held = [d for size in packer.lengths for d in packer.by_len[size]]
-        state.update((saved(packer.arriving), saved(held), [p[0].tolist() for p in packer.row.parts], next_row))
-        yield pd.DataFrame(out, columns=["stream_id", "row_id", "tokens", "n_docs"])
+                if len(out) >= self.chunk:
+                    yield pd.DataFrame(out, columns=["stream_id", "row_id", "tokens", "n_docs"])
+                    out = []
+        admitted = [d for size in packer.lengths for d in packer.by_len[size]]
+        lists = ((self.buffered, [(order, size) for order, _, size in [*admitted, *packer.arriving]]),
+                 (self.row, [(p[0].tolist(),) for p in packer.row.parts]))
+        for state, values in lists:  # a list state holds one value at least
+            if values:
+                state.put(values)
+            else:
+                state.clear()
+        self.place.update((next_row, len(packer.arriving)))
+        if out:
+            yield pd.DataFrame(out, columns=["stream_id", "row_id", "tokens", "n_docs"])
+
+    def close(self) -> None:
+        pass
 
+
+def pack_stream(docs: DataFrame, seq_len: int, stream: str = "stream_id", order: str = "doc_id", ids: str = "ids",
+                buffer: int = 1000, refill: int = 128) -> DataFrame:
+    """Best-fit-crop rows over an unbounded token stream, as `pack_bestfit_crop` gives them where documents arrive in
+    order. `order` is unique in a stream. State per stream is the look-ahead buffer (less than buffer + refill documents) and the open
+    row, in a RocksDB state store, which is set for the session. Documents are kept cut to a row's length together
+    with their true size, which loses nothing a row could use."""
+    docs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    cap = seq_len + 1
     picked = docs.where(F.size(ids) > 0).select(
-        F.col(stream).cast("int").alias("stream_id"), F.col(order).alias("__order"), F.slice(ids, 1, cap).alias("ids"),
+        F.col(stream).cast("int").alias("stream_id"), F.col(order).alias("doc"), F.slice(ids, 1, cap).alias("ids"),
         F.size(ids).alias("size"))
-    return picked.groupBy("stream_id").applyInPandasWithState(step, _ROWS, _STATE, "append", GroupStateTimeout.NoTimeout)
+    kind = picked.schema["doc"].dataType.simpleString()
+    return picked.groupBy("stream_id").transformWithStateInPandas(
+        _PackingProcessor(cap, buffer, refill, kind), _ROWS, "append", "none")
 
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
