@@ -9,91 +9,125 @@ from palinode.functions.math import objective_weight
 from palinode.functions.sequences import bridge, corrupt, ids_text, k_step_targets, lm_io, mixed_direction_io
 from palinode.functions.tokens import LAB_SPECIALS
 
-FIELDS = ("name", "primary_direction", "reverse_weight", "bridge_weight", "mtp_weight", "mtp_k",
-          "intermediate_weight", "latent_weight", "align_weight", "layerpred_weight", "rtd_weight",
-          "reverse_mix_prob", "use_direction_token", "use_direction_emb", "use_adapters", "anneal_reverse")
 SCHEMA = ("name string, primary_direction int, reverse_weight double, bridge_weight double, mtp_weight double, "
           "mtp_k int, intermediate_weight double, latent_weight double, align_weight double, "
           "layerpred_weight double, rtd_weight double, reverse_mix_prob double, use_direction_token boolean, "
           "use_direction_emb boolean, use_adapters boolean, anneal_reverse boolean")
 
-# The experiment catalogue, one row per experiment in the order of FIELDS.
-CATALOGUE = """
-forward_only                 0 0    0    0    2 0    0    0    0    0    0    n n n y
-reverse_only                 1 0    0    0    2 0    0    0    0    0    0    n n n y
-reverse_mtp2_low             1 0    0    0.04 2 0    0    0    0    0    0    n n n y
-fwd_token_only               0 0    0    0    2 0    0    0    0    0    0    y n n y
-direction_token_rev002       0 0.02 0    0    2 0    0    0    0    0    0    y n n y
-direction_token_rev004       0 0.04 0    0    2 0    0    0    0    0    0    y n n y
-direction_token_rev006       0 0.06 0    0    2 0    0    0    0    0    0    y n n y
-direction_token_rev008       0 0.08 0    0    2 0    0    0    0    0    0    y n n y
-direction_token_rev012       0 0.12 0    0    2 0    0    0    0    0    0    y n n y
-direction_token_exit_low     0 0.08 0    0    2 0.03 0    0    0    0    0    y n n y
-direction_token_mtp2_low     0 0.08 0    0.04 2 0    0    0    0    0    0    y n n y
-direction_mix_p05            0 0    0    0    2 0    0    0    0    0    0.05 y n n y
-direction_mix_p10            0 0    0    0    2 0    0    0    0    0    0.10 y n n y
-direction_mix_p20            0 0    0    0    2 0    0    0    0    0    0.20 y n n y
-naive_reverse                0 0.35 0    0    2 0    0    0    0    0    0    n n n n
-direction_token              0 0.35 0    0    2 0    0    0    0    0    0    y n n n
-direction_embedding          0 0.35 0    0    2 0    0    0    0    0    0    n y n n
-reverse_low                  0 0.08 0    0    2 0    0    0    0    0    0    n n n y
-direction_token_low          0 0.08 0    0    2 0    0    0    0    0    0    y n n y
-direction_embedding_low      0 0.08 0    0    2 0    0    0    0    0    0    n y n y
-dir_adapter_reverse_low      0 0.08 0    0    2 0    0    0    0    0    0    n y y y
-mtp2_only_low                0 0    0    0.04 2 0    0    0    0    0    0    n n n y
-exit_only_low                0 0    0    0    2 0.03 0    0    0    0    0    n n n y
-direction_embedding_mtp2_low 0 0.08 0    0.04 2 0    0    0    0    0    0    n y n y
-dir_adapter_reverse          0 0.35 0    0    2 0    0    0    0    0    0    n y y y
-mirror_bridge                0 0.35 0.10 0    2 0    0    0    0    0    0    n y y y
-mirror_bridge_low            0 0.08 0.02 0    2 0    0    0    0    0    0    n y y y
-mirror_bridge_exit_low       0 0.08 0.02 0    2 0.03 0    0    0    0    0    n y y y
-mirror_bridge_mtp2_low       0 0.08 0.02 0.04 2 0    0    0    0    0    0    n y y y
-mirror_bridge_mtp2           0 0.35 0.10 0.08 2 0    0    0    0    0    0    n y y y
-mirror_bridge_mtp4           0 0.35 0.10 0.10 4 0    0    0    0    0    0    n y y y
-mirror_bridge_exit           0 0.35 0.10 0    2 0.06 0    0    0    0    0    n y y y
-mirror_bridge_latent         0 0.35 0.10 0    2 0    0.05 0    0    0    0    n y y y
-mirror_bridge_align          0 0.35 0.10 0    2 0    0    0.03 0    0    0    n y y y
-mirror_bridge_layerpred      0 0.35 0.10 0    2 0    0    0    0.05 0    0    n y y y
-mirror_bridge_rtd            0 0.35 0.10 0    2 0    0    0    0    0.08 0    n y y y
-mirror_full_light            0 0.30 0.08 0.05 2 0.03 0.03 0    0    0    0    n y y y
-"""
+# The experiment catalogue. Every experiment has these values unless its row says otherwise.
+DEFAULTS = {
+    "primary_direction": 0,
+    "reverse_weight": 0.0,
+    "bridge_weight": 0.0,
+    "mtp_weight": 0.0,
+    "mtp_k": 2,
+    "intermediate_weight": 0.0,
+    "latent_weight": 0.0,
+    "align_weight": 0.0,
+    "layerpred_weight": 0.0,
+    "rtd_weight": 0.0,
+    "reverse_mix_prob": 0.0,
+    "use_direction_token": False,
+    "use_direction_emb": False,
+    "use_adapters": False,
+    "anneal_reverse": True,
+}
+
+# The experiments and where they differ from DEFAULTS.
+EXPERIMENTS = {
+    "forward_only": {},
+    "reverse_only": {"primary_direction": 1},
+    "reverse_mtp2_low": {"primary_direction": 1, "mtp_weight": 0.04},
+    "fwd_token_only": {"use_direction_token": True},
+    "direction_token_rev002": {"reverse_weight": 0.02, "use_direction_token": True},
+    "direction_token_rev004": {"reverse_weight": 0.04, "use_direction_token": True},
+    "direction_token_rev006": {"reverse_weight": 0.06, "use_direction_token": True},
+    "direction_token_rev008": {"reverse_weight": 0.08, "use_direction_token": True},
+    "direction_token_rev012": {"reverse_weight": 0.12, "use_direction_token": True},
+    "direction_token_exit_low": {"reverse_weight": 0.08, "intermediate_weight": 0.03, "use_direction_token": True},
+    "direction_token_mtp2_low": {"reverse_weight": 0.08, "mtp_weight": 0.04, "use_direction_token": True},
+    "direction_mix_p05": {"reverse_mix_prob": 0.05, "use_direction_token": True},
+    "direction_mix_p10": {"reverse_mix_prob": 0.1, "use_direction_token": True},
+    "direction_mix_p20": {"reverse_mix_prob": 0.2, "use_direction_token": True},
+    "naive_reverse": {"reverse_weight": 0.35, "anneal_reverse": False},
+    "direction_token": {"reverse_weight": 0.35, "use_direction_token": True, "anneal_reverse": False},
+    "direction_embedding": {"reverse_weight": 0.35, "use_direction_emb": True, "anneal_reverse": False},
+    "reverse_low": {"reverse_weight": 0.08},
+    "direction_token_low": {"reverse_weight": 0.08, "use_direction_token": True},
+    "direction_embedding_low": {"reverse_weight": 0.08, "use_direction_emb": True},
+    "dir_adapter_reverse_low": {"reverse_weight": 0.08, "use_direction_emb": True, "use_adapters": True},
+    "mtp2_only_low": {"mtp_weight": 0.04},
+    "exit_only_low": {"intermediate_weight": 0.03},
+    "direction_embedding_mtp2_low": {"reverse_weight": 0.08, "mtp_weight": 0.04, "use_direction_emb": True},
+    "dir_adapter_reverse": {"reverse_weight": 0.35, "use_direction_emb": True, "use_adapters": True},
+    "mirror_bridge": {"reverse_weight": 0.35, "bridge_weight": 0.1, "use_direction_emb": True, "use_adapters": True},
+    "mirror_bridge_low": {"reverse_weight": 0.08, "bridge_weight": 0.02, "use_direction_emb": True, "use_adapters": True},
+    "mirror_bridge_exit_low": {
+        "reverse_weight": 0.08, "bridge_weight": 0.02, "intermediate_weight": 0.03, "use_direction_emb": True,
+        "use_adapters": True},
+    "mirror_bridge_mtp2_low": {
+        "reverse_weight": 0.08, "bridge_weight": 0.02, "mtp_weight": 0.04, "use_direction_emb": True,
+        "use_adapters": True},
+    "mirror_bridge_mtp2": {
+        "reverse_weight": 0.35, "bridge_weight": 0.1, "mtp_weight": 0.08, "use_direction_emb": True,
+        "use_adapters": True},
+    "mirror_bridge_mtp4": {
+        "reverse_weight": 0.35, "bridge_weight": 0.1, "mtp_weight": 0.1, "mtp_k": 4, "use_direction_emb": True,
+        "use_adapters": True},
+    "mirror_bridge_exit": {
+        "reverse_weight": 0.35, "bridge_weight": 0.1, "intermediate_weight": 0.06, "use_direction_emb": True,
+        "use_adapters": True},
+    "mirror_bridge_latent": {
+        "reverse_weight": 0.35, "bridge_weight": 0.1, "latent_weight": 0.05, "use_direction_emb": True,
+        "use_adapters": True},
+    "mirror_bridge_align": {
+        "reverse_weight": 0.35, "bridge_weight": 0.1, "align_weight": 0.03, "use_direction_emb": True,
+        "use_adapters": True},
+    "mirror_bridge_layerpred": {
+        "reverse_weight": 0.35, "bridge_weight": 0.1, "layerpred_weight": 0.05, "use_direction_emb": True,
+        "use_adapters": True},
+    "mirror_bridge_rtd": {
+        "reverse_weight": 0.35, "bridge_weight": 0.1, "rtd_weight": 0.08, "use_direction_emb": True,
+        "use_adapters": True},
+    "mirror_full_light": {
+        "reverse_weight": 0.3, "bridge_weight": 0.08, "mtp_weight": 0.05, "intermediate_weight": 0.03,
+        "latent_weight": 0.03, "use_direction_emb": True, "use_adapters": True},
+}
 
 # Named selections of experiments.
 PRESETS = {
-    "tiny": "forward_only reverse_only naive_reverse mirror_bridge_mtp2",
-    "quick": "forward_only naive_reverse direction_token direction_embedding mirror_bridge mirror_bridge_mtp2 "
-             "mirror_bridge_exit mirror_bridge_latent mirror_full_light",
-    "diagnostic": "forward_only fwd_token_only direction_token direction_token_low reverse_low "
-                  "direction_embedding_low dir_adapter_reverse_low mtp2_only_low exit_only_low "
-                  "direction_token_exit_low direction_token_mtp2_low mirror_bridge_low mirror_bridge_exit_low "
-                  "mirror_bridge_mtp2_low direction_embedding_mtp2_low",
-    "isolate": "forward_only fwd_token_only direction_token_rev002 direction_token_rev004 direction_token_rev006 "
-               "direction_token_rev008 direction_token_rev012 exit_only_low mtp2_only_low "
-               "direction_token_exit_low direction_token_mtp2_low",
-    "fair_compute": "forward_only fwd_token_only direction_mix_p05 direction_mix_p10 direction_mix_p20 "
-                    "direction_token_rev004 direction_token_rev008",
+    "tiny": (
+        "forward_only", "reverse_only", "naive_reverse", "mirror_bridge_mtp2",
+    ),
+    "quick": (
+        "forward_only", "naive_reverse", "direction_token", "direction_embedding", "mirror_bridge",
+        "mirror_bridge_mtp2", "mirror_bridge_exit", "mirror_bridge_latent", "mirror_full_light",
+    ),
+    "diagnostic": (
+        "forward_only", "fwd_token_only", "direction_token", "direction_token_low", "reverse_low",
+        "direction_embedding_low", "dir_adapter_reverse_low", "mtp2_only_low", "exit_only_low",
+        "direction_token_exit_low", "direction_token_mtp2_low", "mirror_bridge_low", "mirror_bridge_exit_low",
+        "mirror_bridge_mtp2_low", "direction_embedding_mtp2_low",
+    ),
+    "isolate": (
+        "forward_only", "fwd_token_only", "direction_token_rev002", "direction_token_rev004",
+        "direction_token_rev006", "direction_token_rev008", "direction_token_rev012", "exit_only_low",
+        "mtp2_only_low", "direction_token_exit_low", "direction_token_mtp2_low",
+    ),
+    "fair_compute": (
+        "forward_only", "fwd_token_only", "direction_mix_p05", "direction_mix_p10", "direction_mix_p20",
+        "direction_token_rev004", "direction_token_rev008",
+    ),
 }
 
 
-def _parse(cell: str, field: str):
-    if field == "name":
-        return cell
-    if field in ("primary_direction", "mtp_k"):
-        return int(cell)
-    return cell == "y" if cell in "yn" else float(cell)
-
-
 def specs(preset: str = "full") -> list[dict]:
-    rows = [dict(zip(FIELDS, (_parse(c, f) for c, f in zip(line.split(), FIELDS)))) for line in CATALOGUE.split("\n") if line]
-    if preset == "full":
-        return rows
-    names = PRESETS[preset].split()
-    by_name = {r["name"]: r for r in rows}
-    return [by_name[n] for n in names]
+    names = EXPERIMENTS if preset == "full" else PRESETS[preset]
+    return [{"name": name, **DEFAULTS, **EXPERIMENTS[name]} for name in names]
 
 
 def experiments_table(spark: SparkSession, preset: str = "full") -> DataFrame:
-    return spark.createDataFrame([tuple(s[f] for f in FIELDS) for s in specs(preset)], SCHEMA)
+    return spark.createDataFrame([tuple(s.values()) for s in specs(preset)], SCHEMA)
 
 
 def experiment_views(blocks: DataFrame, spec: dict, step: Column, total_steps: int, vocab_size: int,
