@@ -14,8 +14,9 @@ Groups of near copies give no quadratic number of pairs. In every bucket the cla
 leader, the class that meets most others in its buckets: of copies of one text that is the least altered one. Of
 its leaders a class is verified first with the one that agrees best, then with those in other components. What is left are pairs of a bucket in
 different components; they are compared inside the join, which gives only those that stay possible: a bound from the n-grams
-that a class shares with none of them comes first, then the batches. Classes in one component need no further comparison, which loses no
-link between components.
+that a class shares with none of them comes first, then the batches. A pair is taken in the first bucket that it shares (told by 32 bits of
+the earlier band keys; a pair is overlooked by their collisions with a chance below 2e-7 a bucket), not in each of some ten. Classes in one
+component need no further comparison, which loses no link between components.
 
 Defined results: A-Z count as a-z; null, empty and white-space texts have an empty set, are linked with nothing and are
 their own component; a text of fewer than n words is one n-gram of all its words; equal texts of different ids are linked; rows that
@@ -241,7 +242,7 @@ def minhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
         F.col("row").alias("node"), "n", "keys", *_batches(count))
 
     # posts of the buckets that hold several classes, and the leader of each: the class that meets most others in all its buckets
-    posts = heads.select("node", F.explode("keys").alias("key"))
+    posts = heads.select("node", F.posexplode("keys").alias("band", "key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     posts = stored(posts.join(_sendable(shared), "key"), "minhash-shared")
     score = posts.groupBy("node").agg(F.sum("c").alias("score"))
@@ -266,7 +267,7 @@ def minhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     # pairs without the leader, across components: compared where they meet, so that only possible ones come out
     parts = stored(components(links), "minhash-parts")
     placed = posts.join(parts.withColumnRenamed("id", "node"), "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component"))
+        "key", "band", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
     open_ = stored(placed.join(mixed.select("key"), "key", "left_semi"), "minhash-open")
     main = open_.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(
@@ -275,10 +276,13 @@ def minhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     sets = _node_sets(open_.select("node").distinct(), docs, classes, n)
     alone = sets.select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(
         F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    marked = open_.join(main, "key").join(heads.drop("keys"), "node").join(alone, "node", "left").withColumn(
-        "most", F.col("n") - F.coalesce("alone", F.lit(0)))
+    # a pair is compared in the first bucket it shares only: where an earlier one had either as leader, it has been compared
+    halves = heads.withColumn("keys", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")))
+    marked = open_.join(main, "key").join(halves, "node").join(alone, "node", "left").withColumns(
+        {"most": F.col("n") - F.coalesce("alone", F.lit(0)), "earlier": F.slice("keys", F.lit(1), F.col("band"))}).drop("keys", "band")
     enough = F.least("x.most", "y.most") * (num + den) >= (F.col("x.n") + F.col("y.n")) * num
-    possible = reduce(lambda a, b: a & b, [enough, *_possible("x.", "y.", count, num, den, miss)])
+    length, first, *later = _possible("x.", "y.", count, num, den, miss)
+    possible = reduce(lambda a, b: a & b, [length, enough, first, ~F.arrays_overlap("x.earlier", "y.earlier"), *later])
     across = marked.where("component <> main").alias("x").join(marked.alias("y"), "key").where(
         (F.col("x.component") != F.col("y.component"))
         & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & possible)
