@@ -14,7 +14,7 @@ Groups of near copies give no quadratic number of pairs. In every bucket the cla
 leader, the class that meets most others in its buckets: of copies of one text that is the least altered one. Of
 its leaders a class is verified first with the one that agrees best, then with those in other components. What is left are pairs of a bucket in
 different components; they are compared inside the join, which gives only those that stay possible: a bound from the n-grams
-that a class shares with none of them comes first, then the batches. A pair is taken in the first bucket that it shares (told by 32 bits of
+that a class shares with none of them comes first, then the batches, then a bound from the counts of n-grams in 256 hash parts. A pair is taken in the first bucket that it shares (told by 32 bits of
 the earlier band keys; a pair is overlooked by their collisions with a chance below 2e-7 a bucket), not in each of some ten. Classes in one
 component need no further comparison, which loses no link between components.
 
@@ -208,6 +208,25 @@ def _node_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, n: int) ->
     return stored(made.join(needed.select("signature", "node"), "signature").select("node", "grams"), "minhash-sets")
 
 
+def _histograms(sets: DataFrame, parts: int = 256) -> DataFrame:
+    """(node, parts, over): n-grams of a set in each of `parts` hash parts, at most 127, and how many are beyond that in all.
+
+    Two sets share at most the smaller count of every part, and the smaller `over`: an n-gram that one of two copies has lost lowers its part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, rows = batch.column("grams"), batch.num_rows
+            part = (mix(grams.flatten().to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            place = np.repeat(np.arange(rows), np.diff(grams.offsets.to_numpy())) * parts + part
+            counts = np.bincount(place, minlength=rows * parts).reshape(rows, parts)
+            held = np.minimum(counts, 127)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * parts, pa.int32()),
+                                                                pa.array(held.astype(np.int8).ravel())),
+                 pa.array((counts - held).sum(1))], ["node", "parts", "over"])
+
+    return sets.mapInArrow(run, "node long, parts array<tinyint>, over long")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(u, v) of the pairs that are links by their whole sets."""
     full = pairs.select("u", "v")
@@ -278,11 +297,13 @@ def minhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
         F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
     # a pair is compared in the first bucket it shares only: where an earlier one had either as leader, it has been compared
     halves = heads.withColumn("keys", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")))
-    marked = open_.join(main, "key").join(halves, "node").join(alone, "node", "left").withColumns(
+    marked = open_.join(main, "key").join(halves, "node").join(_histograms(sets), "node").join(alone, "node", "left").withColumns(
         {"most": F.col("n") - F.coalesce("alone", F.lit(0)), "earlier": F.slice("keys", F.lit(1), F.col("band"))}).drop("keys", "band")
     enough = F.least("x.most", "y.most") * (num + den) >= (F.col("x.n") + F.col("y.n")) * num
     length, first, *later = _possible("x.", "y.", count, num, den, miss)
-    possible = reduce(lambda a, b: a & b, [length, enough, first, ~F.arrays_overlap("x.earlier", "y.earlier"), *later])
+    common = F.aggregate(F.zip_with("x.parts", "y.parts", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v) + F.least("x.over", "y.over")
+    overlap = common * (num + den) >= (F.col("x.n") + F.col("y.n")) * num
+    possible = reduce(lambda a, b: a & b, [length, enough, first, ~F.arrays_overlap("x.earlier", "y.earlier"), *later, overlap])
     across = marked.where("component <> main").alias("x").join(marked.alias("y"), "key").where(
         (F.col("x.component") != F.col("y.component"))
         & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & possible)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palinode.llm.merkle import fold, leaf_digest, merkle_manifest, proof_digest
-from palinode.llm.minhash import _agreeing, least_agreements, minhash_components
+from palinode.llm.minhash import _agreeing, _histograms, least_agreements, minhash_components
 from palinode.llm.queries import QUERIES
 from palinode.llm.whitening import (
     charpoly_mod, components, fit_whitening, greatest_roots, primes_below, whiten,
@@ -286,3 +286,17 @@ def test_fit_is_exact_over_many_partitions(spark):
     assert model.n == len(x) and model.sums == [int(v) for v in x.astype(object).sum(0)]
     cov = np.cov(x.T.astype(float), bias=True)
     assert np.allclose([float(e) for e in model.eigenvalues], np.linalg.eigvalsh(cov)[::-1], rtol=1e-12)
+
+
+def test_histograms_bound_the_overlap(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(-2**63, 2**63 - 1, 60_000)
+    sets = [np.unique(base[rng.random(60_000) < share]) for share in (0.003, 0.003, 0.5, 0.9)] + [base[:0]]
+    df = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "node long, grams array<long>")
+    got = {r.node: (np.array(r.parts, int), r.over) for r in _histograms(df).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    for i, s in enumerate(sets):
+        assert got[i][0].sum() + got[i][1] == len(s) and (i < 2) == (got[i][1] == 0 and len(s) > 0)
+        for j, t in enumerate(sets):
+            bound = np.minimum(got[i][0], got[j][0]).sum() + min(got[i][1], got[j][1])
+            assert len(np.intersect1d(s, t)) <= bound <= min(len(s), len(t))
