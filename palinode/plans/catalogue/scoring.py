@@ -221,10 +221,12 @@ def report_pivot(spark, d):
 @query(f"""WITH {_SQL_STAGE}, m AS (SELECT DISTINCT metric FROM sm)
 SELECT metric, row_number() OVER (ORDER BY metric <> 'CORE', metric = 'ChatCORE', metric)::INT AS rank FROM m""")
 def metric_order(spark, d):
-    from palinode.operators.ranking import metric_order as order, rank_by
+    from palinode.operators.ordered import dense_index
+    from palinode.operators.ranking import metric_order as order
 
-    names = report.metric_names(_stage_metrics(spark, d)).withColumn("__one", F.lit(1))
-    return rank_by(names, ["__one"], order(F.col("metric")), 1000).drop("__one")
+    first, last, _ = order(F.col("metric"))
+    names = report.metric_names(_stage_metrics(spark, d)).withColumns({"first": first, "last": last})
+    return dense_index(names, ["first", "last", "metric"], "rank").select("metric", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 @query("""
