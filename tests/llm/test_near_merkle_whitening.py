@@ -292,11 +292,14 @@ def test_histograms_bound_the_overlap(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(-2**63, 2**63 - 1, 60_000)
     sets = [np.unique(base[rng.random(60_000) < share]) for share in (0.003, 0.003, 0.5, 0.9)] + [base[:0]]
-    df = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "node long, grams array<long>")
+    sets += [base[i:i + 3] for i in range(1200)]  # more than a slice
+    df = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "node long, grams array<long>").coalesce(1)
     got = {r.node: (np.array(r.parts, int), r.over) for r in _histograms(df).collect()}
-    assert sorted(got) == [0, 1, 2, 3, 4]
+    assert sorted(got) == list(range(1205)) and all(got[i][0].sum() == 3 for i in range(5, 1205))
+    sets = [*sets[:5], sets[1204]]
+    got[5] = got[1204]
     for i, s in enumerate(sets):
-        assert got[i][0].sum() + got[i][1] == len(s) and (i < 2) == (got[i][1] == 0 and len(s) > 0)
+        assert got[i][0].sum() + got[i][1] == len(s) and (got[i][1] > 0) == (i in (2, 3))
         for j, t in enumerate(sets):
             bound = np.minimum(got[i][0], got[j][0]).sum() + min(got[i][1], got[j][1])
             assert len(np.intersect1d(s, t)) <= bound <= min(len(s), len(t))
