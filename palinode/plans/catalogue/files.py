@@ -15,6 +15,7 @@ from palinode.plans.registry import query
 from palinode.session import scratch_dir, table
 from palinode.sources import corpus, runs, tasks
 from palinode.streaming import streams
+from palinode.streaming.epochs import epoch_stream
 
 
 @query("""
@@ -207,6 +208,33 @@ def stream_pack_equals_batch(spark, d):
         F.count_if(differ & F.col("streamed").isNull() & (F.col("row_id") <= F.col("last"))).alias("only_batch"))
 
 
+@query("""WITH placed AS (
+  SELECT *, (row_number() OVER (PARTITION BY doc_id % 5 ORDER BY doc_id) - 1) AS k FROM documents WHERE doc_id % 5 < 4),
+dealt AS (SELECT *, k // 64 AS g FROM placed)
+SELECT epoch, g % 3 AS rank, g AS row_group, count(*)::BIGINT AS docs, sum(n_chars)::BIGINT AS chars, min(doc_id)::BIGINT AS first_doc,
+  max(doc_id)::BIGINT AS last_doc, md5(string_agg(md5(text), '' ORDER BY doc_id)) AS digest
+FROM dealt, (SELECT unnest([1, 2]) AS epoch) e GROUP BY epoch, doc_id % 5, g""")
+def stream_epochs(spark, d):
+    """Two epochs of a sharded corpus dealt to three ranks, stopped after the first batch and resumed from the checkpoint."""
+    path, sink, checkpoint = (scratch_dir(spark, x) for x in ("shards", "se", "sec"))
+    docs = table(spark, d, "documents")
+    (docs.repartitionById(5, F.pmod("doc_id", F.lit(5)).cast("int")).sortWithinPartitions("doc_id")
+     .write.option("parquet.block.row.count.limit", 64).parquet(path))
+    columns = "doc_id long, text string, n_chars long"
+    for trigger in ({"availableNow": True}, {"processingTime": "0 seconds"}):
+        rows = epoch_stream(spark, path, columns, world=3, epochs=2, steps_per_trigger=32)
+        run = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+        if "processingTime" in trigger:
+            run.processAllAvailable()
+            run.stop()
+        run.awaitTermination()
+    texts = F.array_sort(F.collect_list(F.struct("row_index", F.md5("text").alias("md5"))))
+    return spark.read.schema(rows.schema).parquet(sink).groupBy("epoch", "rank", "file", "row_group").agg(
+        F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
+        F.md5(F.array_join(F.transform(texts, lambda t: t["md5"]), "")).alias("digest")).drop("file").select(
+        F.col("epoch"), F.col("rank").cast("long").alias("rank"), F.col("row_group").cast("long").alias("row_group"), "docs", "chars", "first_doc", "last_doc", "digest")
+
+
 @query(f"""WITH {SQL_CHECK} SELECT count(*)::BIGINT AS n FROM chk WHERE reason = 'ok' AND NOT sys""")
 def stream_conversations(spark, d):
     source, sink = scratch_dir(spark, "sc"), scratch_dir(spark, "scs")
