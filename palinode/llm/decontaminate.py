@@ -1,18 +1,20 @@
 """Benchmark decontamination: item-sized windows met by rare shingles, exact verification, SimHash distances.
 
-A window is as many words as an item has. Windows are placed wherever a document and an item share a five-word
-shingle, so that both line up (a window without a shared shingle has similarity 0). The similarity is the weighted
-Jaccard of the shingle sets: a shingle weighs the inverse of the number of items that hold it (scaled to a mean of 1 per
-item), one outside the item weighs 1. A pair that reaches `similarity` shares that part of the item's weight at least,
-so it shares one of the item's rarest shingles, all but those that together weigh less than that part. A join on (size,
-rare shingle) thus loses no pair of a window and an item, and each is verified exactly.
+A window is as many words as an item has, at any place of a text, also where the text's start or end cuts it off. The
+similarity is the weighted Jaccard of the five-word shingle sets: a shingle weighs the inverse of the number of items
+that hold it (scaled to a mean of 1 per item), one outside the item weighs 1. A window that reaches `similarity` shares
+that part of the item's weight at least, so it holds one of the item's rarest shingles, all but those that together weigh
+less than that part. A join on rare shingles thus meets every such pair of a document and an item, and all windows around
+the place are looked at: each is scored at the first rare shingle that it holds, those that share enough weight exactly.
+No window at the threshold is lost, wherever words were put in, left out or changed.
 
 Each pair found carries the distance of the 64-bit SimHashes of its words. The distance decides nothing: at Jaccard 0.75
 it is about 11 on the mean and would need a radius of 26 for one miss in a million (more with weights or at a text's
 end), which leaves blocks of two bits that tell no windows apart.
 
-All steps are DataFrame functions. The shingles of the items are sent to every task while they are at most
-`broadcast_shingles` (checked by a count); beyond that the join is left to Spark's shuffles.
+All steps are DataFrame functions. The rare shingles of the items and the items' weights are sent to every task while they
+are at most `broadcast_shingles` (checked by a count); beyond that shingles are shuffled without their texts, and the words
+around the places that were met are fetched by a join. What is shuffled for a place is the best window found there.
 
 Defined results: words are letters, digits and characters beyond ASCII, without case, so punctuation does not hide a
 copy; null and empty texts and texts of fewer than five words match nothing; items of fewer than five words and null
@@ -40,8 +42,13 @@ def _words(df: DataFrame, *names: str) -> DataFrame:
     return split.select(*names, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
 
 
-def _shingles(h: str) -> Column:
-    """Hashes of the five-word shingles in order, from a column of word hashes."""
+def _let(value: Column, f) -> Column:
+    """f(value) with `value` worked out once, also where f names it in functions of array elements."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _shingles(h: str | Column) -> Column:
+    """Hashes of the five-word shingles in order, from word hashes."""
     heads = F.slice(h, F.lit(1), F.greatest(F.size(h) - (SHINGLE - 1), F.lit(0)))
     return F.transform(heads, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, SHINGLE)]))
 
@@ -52,56 +59,82 @@ def simhash(h: str) -> Column:
         WHEN 2 * size(filter({h}, x -> (shiftright(x, b) & 1L) = 1L)) > size({h}) THEN shiftleft(1L, b) ELSE 0L END)""")
 
 
+def _best_window(similarity: float) -> Column:
+    """(loss, start, n_words) of the most similar window around the rare shingle at `pos`, null if none reaches `similarity`.
+    `around` holds the words that such windows can hold; windows with an earlier rare shingle are left to that one's row."""
+    bound = (similarity - 1e-6) * F.col("weight")  # similarities are rounded to nine digits
+    lowest = F.col("pos") + SHINGLE - F.col("length")
+    first = F.greatest(F.lit(0), lowest)
+    zero = F.lit(0.0)
+
+    def weight_of(marks: Column) -> Column:
+        return F.aggregate(marks, zero, lambda acc, m: acc + F.coalesce(m["w"], zero))
+
+    def score(h: Column, g: Column, marks: Column) -> Column:
+        earlier = F.transform(F.slice(marks, F.lit(1), F.col("pos") - first), lambda m, i: F.when(m["rare"], i))
+        low = F.greatest(lowest, F.coalesce(first + F.array_max(earlier) + 1, lowest))
+
+        def begin(s: Column) -> Column:
+            return F.greatest(F.lit(0), s) - first
+
+        def n_words(s: Column) -> Column:
+            return F.least(F.size(h), s + F.col("length") - first) - begin(s)
+
+        def held(values: Column, s: Column) -> Column:
+            return F.slice(values, begin(s) + 1, F.greatest(n_words(s) - (SHINGLE - 1), F.lit(0)))
+
+        def loss(gx: Column) -> Column:
+            common = F.aggregate(gx, zero, lambda acc, x: acc + F.coalesce(F.element_at("marks", x)["w"], zero))
+            others = F.size(F.filter(gx, lambda x: ~F.map_contains_key("marks", x)))
+            return -F.round(common / (F.col("weight") + others), 9)
+
+        heavy = F.filter(F.sequence(low, F.col("pos")), lambda s: weight_of(held(marks, s)) >= bound)
+        scored = F.transform(heavy, lambda s: F.struct(
+            _let(F.array_distinct(held(g, s)), loss).alias("loss"), (begin(s) + first).alias("start"), n_words(s).alias("n_words")))
+        return F.when(weight_of(marks) >= bound, F.array_min(scored))
+
+    return _let(F.col("around"), lambda h: _let(_shingles(h), lambda g: _let(
+        F.transform(g, lambda x: F.element_at("marks", x)), lambda marks: score(h, g, marks))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                  item_text: str = "text", similarity: float = 0.75, broadcast_shingles: int = 1_000_000) -> DataFrame:
     """(key, item, start_word, n_words, distance, similarity): each item found in a document, at its best window."""
     items = _words(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")), "item").where(
         (F.size("h") >= SHINGLE) & F.col("item").isNotNull())
     items = stored(items.select("item", "h", F.size("h").alias("length"), _shingles("h").alias("g")), "benchmark-items")
-    spread = F.posexplode("g").alias("at", "g")
-    grams = items.select("item", spread).select("item", "g").distinct()
+    grams = items.select("item", F.explode("g").alias("g")).distinct()
     rarity = grams.groupBy("g").agg((1.0 / F.count("*")).alias("w"))
-    weighed = grams.join(rarity, "g").groupBy("item").agg(F.collect_list(F.struct("g", "w")).alias("gw"), F.avg("w").alias("mean"))
-    facts = stored(items.join(weighed, "item").select(
-        "item", "length", simhash("h").alias("fp_item"),
-        F.transform("gw", lambda x: F.struct(x["g"].alias("g"), (x["w"] / F.col("mean")).alias("w"))).alias("gw")), "benchmark-facts")
-    # where windows of an item's size lie around a shared shingle
-    seeds = stored(items.select("length", spread).groupBy("g").agg(
-        F.collect_set(F.struct("at", "length")).alias("places")), "benchmark-seeds")
-    if seeds.count() <= broadcast_shingles:
-        seeds = F.broadcast(seeds)
+    # an item's rarest shingles: the others together are too light for the similarity
+    own = W.partitionBy("item")
+    weighed = grams.join(rarity, "g").withColumn("w", F.col("w") / F.avg("w").over(own)).withColumn(
+        "rest", F.sum("w").over(own.orderBy(F.desc("w"), "g").rowsBetween(0, W.unboundedFollowing)))
+    weighed = stored(weighed.withColumn("rare", F.col("rest") >= (similarity - 1e-6) * F.count("*").over(own)), "benchmark-weights")
+    facts = weighed.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("g", F.struct("w", "rare")))).alias("marks"),
+                                        F.sum("w").alias("weight"))
+    facts = stored(facts.join(items, "item").select("item", "marks", "weight", simhash("h").alias("fp_item")), "benchmark-facts")
+    index = weighed.where("rare").join(items.select("item", "length"), "item").select("g", "item", "length")
+    small = weighed.count() <= broadcast_shingles
+    index, known = (F.broadcast(index), F.broadcast(facts)) if small else (index, facts)
 
     hashed = _words(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key").where("key is not null")
-    grammed = hashed.select("key", "h", _shingles("h").alias("g"))
+    hashed = hashed.select("key", F.xxhash64("h").alias("doc"), "h")
+    carried = ["key", "doc", "h"] if small else ["key", "doc"]
     # outer: an inner explode is guarded by a filter on the array, which would be pushed down and work it out twice
-    seeded = grammed.select("key", "h", F.posexplode_outer("g").alias("pos", "g")).join(seeds, "g")
-    placed = seeded.select("key", "h", "pos", F.explode("places").alias("p"))
-    start = F.greatest(F.lit(0), F.col("pos") - F.col("p.at"))
-    stop = F.least(F.size("h"), F.col("pos") - F.col("p.at") + F.col("p.length"))
-    windows = placed.select("key", F.col("p.length").alias("length"), start.alias("start"), stop.alias("stop"), "h").select(
-        "key", "length", "start", "stop", F.expr("slice(h, start + 1, stop - start)").alias("win"))
-    # windows cut off by the text's start differ in their stop
-    windows = stored(windows.groupBy("key", "length", "start", "stop").agg(F.first("win").alias("win")), "windows")
-
-    # an item's rarest shingles: the others together are too light for the similarity (it is rounded to nine digits)
-    rarest_first = W.partitionBy("item").orderBy(F.desc("w"), "g").rowsBetween(0, W.unboundedFollowing)
-    index = facts.select("item", "length", F.size("gw").alias("total"), F.inline("gw")).withColumn(
-        "rest", F.sum("w").over(rarest_first)).where(F.col("rest") >= (similarity - 1e-6) * F.col("total"))
-    held = windows.select("key", "length", "start", "stop", F.explode_outer(F.array_distinct(_shingles("win"))).alias("g"))
-    near = held.join(index, ["length", "g"]).select("key", "length", "start", "stop", "item").distinct()
-
-    full = near.join(windows, ["key", "length", "start", "stop"]).join(facts.select("item", "gw", "fp_item"), "item")
-    distance = F.bit_count(simhash("win").bitwiseXOR(F.col("fp_item"))).alias("distance")
-    full = full.select("key", "item", "start", distance, F.size("win").alias("n_words"), "gw", F.array_distinct(_shingles("win")).alias("gx"))
-    own = F.transform("gw", lambda x: x["g"])
-    common = F.aggregate(F.filter("gw", lambda x: F.array_contains("gx", x["g"])), F.lit(0.0), lambda s, x: s + x["w"])
-    union = F.aggregate("gw", F.lit(0.0), lambda s, x: s + x["w"]) + F.size(F.array_except("gx", own))
-    scored = full.select("key", "item", "start", "n_words", "distance", F.round(common / union, 9).alias("similarity"))
-    best = scored.where(F.col("similarity") >= similarity).groupBy("key", "item").agg(
-        F.min_by(F.struct("start", "n_words", "distance", "similarity"), F.struct(-F.col("similarity"), "start", "n_words")).alias("best"))
-    return best.select(F.col("key").alias(key), F.col("item").alias(item), F.col("best.start").alias("start_word"),
-                       F.col("best.n_words").alias("n_words"), F.col("best.distance").alias("distance"),
-                       F.col("best.similarity").alias("similarity"))
+    met = hashed.select(*carried, _shingles("h").alias("g")).select(*carried, F.posexplode_outer("g").alias("pos", "g")).join(index, "g")
+    if not small:
+        met = met.join(hashed.dropDuplicates(["key", "doc"]), ["key", "doc"])
+    first = F.greatest(F.lit(0), F.col("pos") + SHINGLE - F.col("length"))
+    around = F.slice("h", first + 1, F.least(F.size("h"), F.col("pos") + F.col("length")) - first)
+    places = met.select("key", "item", "length", "pos", around.alias("around")).join(known, "item")
+    scored = places.select("key", "item", "fp_item", "around", first.alias("first"), _best_window(similarity).alias("best"))
+    window = F.slice("around", F.col("best.start") - F.col("first") + 1, F.col("best.n_words"))
+    scored = scored.where(F.col("best.loss") <= -similarity).select("key", "item", "fp_item", "best", window.alias("win"))
+    best = scored.groupBy("key", "item").agg(F.min_by(F.struct("best", "win", "fp_item"), "best").alias("b"))
+    best = best.select("key", "item", "b.best", "b.win", "b.fp_item")
+    return best.select(
+        F.col("key").alias(key), F.col("item").alias(item), F.col("best.start").alias("start_word"), F.col("best.n_words").alias("n_words"),
+        F.bit_count(simhash("win").bitwiseXOR(F.col("fp_item"))).alias("distance"), (-F.col("best.loss")).alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: int = 2_000_000, **kw) -> DataFrame:

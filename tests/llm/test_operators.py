@@ -270,7 +270,8 @@ def test_repeated_words_are_counted_once(spark):
 
 
 def brute_leaks(docs, items):
-    """Best similarity of all windows of an item's size, each item shingle weighing as in the module."""
+    """Best similarity of all windows of an item's size, those cut off by the text's ends too, each item shingle weighing as
+    in the module."""
     def norm(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
 
@@ -283,10 +284,12 @@ def brute_leaks(docs, items):
     for d, t in docs:
         w = norm(t)
         for i, text in items:
+            if not sets[i] & grams(w):
+                continue
             n, mean = len(norm(text)), np.mean([1 / share[g] for g in sets[i]])
             total, best = len(sets[i]), 0.0
-            for at in range(max(1, len(w) - n + 1)):
-                x = grams(w[at:at + n])
+            for at in range(5 - n, len(w) - 4):
+                x = grams(w[max(0, at):at + n])
                 same = sum(1 / share[g] / mean for g in x & sets[i])
                 best = max(best, same / (total + len(x - sets[i])))
             if best >= 0.75:
@@ -320,8 +323,43 @@ def test_altered_passages_above_the_threshold_are_found(spark):
     got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
                        spark.createDataFrame(items, "item_id long, text string")).collect()
     want, found = brute_leaks(docs, items), {(r.doc_id, r.item_id): round(r.similarity, 6) for r in got}
-    assert len(want) == len(docs) and found.keys() == want.keys()
-    assert all(found[p] == want[p] for p in want if p[0] % 2 == 0)  # a cut passage is compared as far as it goes
+    assert len(want) == len(docs) and found == want  # a cut passage is compared as far as it goes
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 0])  # shingles of the items broadcast, or joined by shuffles
+def test_passages_with_words_put_in_left_out_and_changed_match_brute_force(spark, sent):
+    rng = np.random.default_rng(11)
+    words = lambda k: [f"w{x}" for x in rng.integers(0, 10**9, k)]
+    shared, items, docs = words(9), [], []
+    for n in (15, 20, 30, 50, 80, 120):
+        for j in range(6):  # items share a passage, so that their shingles weigh differently; some repeat their own words
+            w = words(n)
+            if j % 2:
+                w[3:3 + len(shared)] = shared
+            if j % 3 == 2:
+                w[-7:] = w[-14:-7]
+            items.append((len(items), " ".join(w)))
+            for edits in range(4):
+                v = list(w)
+                for _ in range(edits * max(1, n // 45)):
+                    at, kind = int(rng.integers(1, len(v))), rng.integers(3)
+                    v[at:at + (kind != 0)] = words(1) if kind != 1 else []
+                around = int(rng.integers(4))
+                text = [words(4) * 3 if around & 1 else [], v, words(200) + v if around & 2 else []]
+                docs.append((len(docs), " ".join(x for part in text for x in part)))
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                       spark.createDataFrame(items, "item_id long, text string"), broadcast_shingles=sent).collect()
+    want = brute_leaks(docs, items)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 6) for r in got} == want and 60 < len(want) < len(docs)
+
+
+def test_texts_of_one_id_are_searched_by_themselves(spark):
+    w = [f"w{x}" for x in np.random.default_rng(5).integers(0, 10**9, 40)]
+    texts = [(1, "x y " + " ".join(w)), (1, " ".join(w[:12])), (1, "x y " + " ".join(w)), (2, " ".join(w[:20])), (None, " ".join(w))]
+    for sent in (1_000_000, 0):
+        got = contaminated(spark.createDataFrame(texts, "doc_id long, text string"),
+                           spark.createDataFrame([(7, " ".join(w))], "item_id long, text string"), broadcast_shingles=sent).collect()
+        assert [(r.doc_id, r.item_id, r.start_word, r.n_words, r.similarity, r.distance) for r in got] == [(1, 7, 2, 40, 1.0, 0)]
 
 
 # ---- language, URLs, shards ----------------------------------------------------------------------------
