@@ -11,7 +11,7 @@ Text is encoded where it lies (no shuffle). A worker keeps the ids of the chunks
 Defined results: a null text is an empty text; an empty text has no ids and decodes to the empty string; a
 piece of over `LONG_PIECE` bytes takes a heap over a linked list instead of a matrix row (the same merges in
 the same order, n log n); repeated rows are encoded alike; an empty table gives an empty result; other columns
-pass through and may carry any name but those of the outputs, which then raises.
+pass through, and one named like an output gets `_in` appended to its name.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palinode.llm.names import set_aside
 from palinode.llm.segments import ChunkMemo, chunks, slices, spread_ranges, text_bytes
 
 LONG_PIECE = 256
@@ -228,9 +229,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text",
     """The other columns and the wanted of: n_tokens, ids, decoded (the text the ids stand for), ids_sha256 (of the
     ids as little-endian unsigned 32-bit integers), decoded_sha256 (of the decoded bytes)."""
     outputs = tuple(outputs)
+    df, text = set_aside(df, outputs, text)
     others = [c for c in df.columns if c != text]
-    if clash := set(others) & set(outputs):
-        raise ValueError(f"columns of the table are named like outputs: {sorted(clash)}")
     schema = T.StructType([df.schema[c] for c in others] + [T.StructField(c, _TYPES[c]) for c in outputs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,8 @@ Prediction is one pass over whole texts where they lie.
 Defined results: null texts and texts without a letter are `und` with score 0, and without any training row all
 are; rows whose label is null are not learned from; with one language, that is predicted for all other texts; a
 score is the logistic of the deciding margin, the smaller of family and language; repeated rows are predicted
-alike; an empty table gives an empty result; other columns pass through, and one named like an output raises.
+alike; an empty table gives an empty result; other columns pass
+through, and one named like an output gets `_in` appended to its name.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palinode.llm.names import set_aside
 from palinode.llm.segments import slices, text_bytes
 
 FEATURES = 4096
@@ -181,8 +183,7 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "
 
 def identify(df: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """The table with `lang_pred` and `score`."""
-    if clash := set(df.columns) & set(OUTPUTS):
-        raise ValueError(f"columns of the table are named like outputs: {sorted(clash)}")
+    df, text = set_aside(df, [*OUTPUTS, "__lettered"], text)
     shared = df.sparkSession.sparkContext.broadcast(model)  # classifiers times FEATURES numbers
     lettered, names = "__lettered", df.columns
 

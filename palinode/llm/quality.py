@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade, ordered by rejections per cost.
 
-Each rule is a reject condition on a document. On a bounded sample (default 1,000 rows, drawn by a hash of the
-row number) every rule is run alone: its share of rejections and its time give rejections per second, and the
-cascade asks the rules in that order, each only of documents that passed the ones before (a CASE stops at the first
+Each rule is a reject condition on a document and the work that asking it takes: characters read and numbers compared.
+On a bounded sample (default 1,000 rows, those of the least hashes of their row numbers) one job counts the rejections and
+sums the work of every rule, so equal tables give equal orders. The cascade asks the rules by rejections per unit of work, each only of documents that passed the ones before (a CASE stops at the first
 branch that holds). The order decides the cost and which rule is named first, never what is kept.
 
 All features are expressions inside the row: nothing is shuffled. Windows of words are compared as 64-bit hashes;
@@ -10,17 +10,19 @@ repeated ones are found by sorting (hash, position) of documents that have any.
 
 Defined results: null, empty and white-space texts have no words and fail the base rule; a text of fewer than five
 words has no window; lines without a word are no lines; repeated rows are judged alike; texts are taken whole, in
-memory of one row; an empty table gives an empty result; other columns pass through, and one named like an output raises.
+memory of one row; an empty table gives an empty result; other columns pass through, and one named like
+an output or a working column gets `_in` appended to its name.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palinode.llm.names import set_aside
 from palinode.llm.scratch import stored
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -64,43 +66,51 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def default_rules(text: str = "text") -> dict[str, Column]:
+class Rule(NamedTuple):
+    """A reject condition and what asking it of a row takes, in characters read and numbers compared."""
+
+    fails: Column
+    work: Column
+
+
+def default_rules(text: str = "text") -> dict[str, Rule]:
     """Reject conditions over the features and, for the dearer ones, the text itself."""
     body = F.coalesce(F.col(text), F.lit(""))
     signs = F.regexp_count(body, F.lit(r"[!-@\[-`{-~]"))  # digits and ASCII signs
+    two, whole = F.lit(2), F.char_length(body)
     return {
-        "symbols": 10 * F.col("n_symbols") > F.col("n_words") * 3,
-        "short_words": F.col("word_chars") < 2 * F.col("n_words"),
-        "long_words": F.col("word_chars") > 20 * F.col("n_words"),
-        "dup_lines": (F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
-        "few_letters": 3 * signs > 2 * F.col("word_chars"),
-        "capitals": 2 * F.regexp_count(body, F.lit("[A-Z]")) > F.col("word_chars"),
-        "shouting": 5 * F.regexp_count(body, F.lit("!!")) > F.col("n_words"),
+        "symbols": Rule(10 * F.col("n_symbols") > F.col("n_words") * 3, two),
+        "short_words": Rule(F.col("word_chars") < 2 * F.col("n_words"), two),
+        "long_words": Rule(F.col("word_chars") > 20 * F.col("n_words"), two),
+        "dup_lines": Rule((F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")), 2 * two),
+        "few_letters": Rule(3 * signs > 2 * F.col("word_chars"), whole + two),
+        "capitals": Rule(2 * F.regexp_count(body, F.lit("[A-Z]")) > F.col("word_chars"), whole + two),
+        "shouting": Rule(5 * F.regexp_count(body, F.lit("!!")) > F.col("n_words"), whole + two),
     }
 
 
-def order_rules(sample: DataFrame, rules: Mapping[str, Column]) -> list[str]:
-    """Names of the rules by rejections per second on the sample, best first."""
-    gain = {}
-    for name, rule in rules.items():
-        began = time.perf_counter()
-        hit = sample.agg(F.count_if(rule).alias("n")).first()["n"]
-        gain[name] = (hit + 0.5) / (time.perf_counter() - began)
+def order_rules(sample: DataFrame, rules: Mapping[str, Rule]) -> list[str]:
+    """Names of the rules by rejections per unit of work on the sample, best first; equal ones as they are given."""
+    if not rules:
+        return []
+    sums = [F.struct(F.count_if(r.fails).alias("hits"), F.sum(r.work.cast("long")).alias("work")).alias(n) for n, r in rules.items()]
+    seen = sample.agg(*sums).first()
+    gain = {n: (seen[n]["hits"] + 0.5) / ((seen[n]["work"] or 0) + 1) for n in rules}
     return sorted(rules, key=lambda n: -gain[n])
 
 
-def judge(df: DataFrame, text: str = "text", rules: Mapping[str, Column] | None = None, sample_rows: int = 1000) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", rules: Mapping[str, Rule] | None = None, sample_rows: int = 1000) -> DataFrame:
     """The table with the features, base_failed, rejected_by (the rule that stopped the cascade, `base` for the base
     rule, else null) and kept."""
-    if clash := set(df.columns) & set(OUTPUTS):
-        raise ValueError(f"columns of the table are named like outputs: {sorted(clash)}")
+    df, text = set_aside(df, [*OUTPUTS, *(f"__{x}" for x in "wlhgrp")], text)
     rules = default_rules(text) if rules is None else dict(rules)
     every = max(1, df.count() // sample_rows)
-    picked = df.select(F.col(text)).where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0).limit(sample_rows)
+    numbered = df.select(F.col(text), F.xxhash64(F.monotonically_increasing_id()).alias("__n"))
+    picked = numbered.where(F.pmod("__n", F.lit(every)) == 0).orderBy("__n").limit(sample_rows).select(F.col(text))
     order = order_rules(stored(with_features(picked, text), "quality-sample"), rules)
     cascade = F.when(base_failed(), "base")
     for name in order:
-        cascade = cascade.when(rules[name], name)
+        cascade = cascade.when(rules[name].fails, name)
     rows = with_features(df, text)
     return rows.select("*", base_failed().alias("base_failed"), cascade.alias("rejected_by")).withColumn(
         "kept", F.col("rejected_by").isNull())

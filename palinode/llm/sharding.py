@@ -13,7 +13,8 @@ retry see the same partitions.
 
 Defined results: null texts count as no bytes (their size is 1); equal rows, repeated and null keys are rows like
 any other and are dealt one by one; an empty table gives an empty result; fewer rows than shards leave shards
-empty; other columns pass through, and one named like an output (`shard`, `slot`) raises.
+empty; other columns pass through, and one named like an output (`shard`, `slot`) or a
+working column gets `_in` appended to its name.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palinode.llm.names import set_aside
 from palinode.llm.scratch import stored
 from palinode.operators.ordered import dense_index
 
@@ -61,8 +63,7 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
 
 def shuffle_shards(df: DataFrame, n_shards: int = 16, seed: int = 42) -> DataFrame:
     """All rows with `shard` (int, 0 .. n_shards - 1) and `slot` (long, the place in the shard, gapless from 0)."""
-    if clash := {"shard", "slot"} & set(df.columns):
-        raise ValueError(f"columns of the table are named like outputs: {sorted(clash)}")
+    df, _ = set_aside(df, ["shard", "slot", _PART, _ROW, _KEY, "__p", "__ends", "__rank"])
     number = F.monotonically_increasing_id()
     rows = stored(df.withColumn(_ROW, number).withColumn(_PART, F.shiftright(_ROW, 33)), "shard-rows")
     sizes = {r[_PART]: r["n"] for r in rows.groupBy(_PART).agg(F.count("*").alias("n")).collect()}

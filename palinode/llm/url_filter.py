@@ -7,7 +7,7 @@ an automaton built once per worker. An explicit rule that fits overrides the voc
 Defined results: a null URL and one without `://` have an empty host and path, fit no rule and are judged by their
 text alone (null: allow); an empty URL is allowed; the longest fitting rule wins and equal ones are the same rule;
 repeated rows are judged alike; an empty table gives an empty result; other columns pass through, and one named
-like an output raises.
+like an output gets `_in` appended to its name.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palinode.llm.names import set_aside
+
 # (verdict, host, path), e.g. ("allow", "example.net", "/en/") is the rule `example.net/en/`
 Rule = tuple[str, str, str]
 OUTPUTS = ("host", "path", "rule", "verdict", "strict_hits", "soft_hits")
@@ -77,8 +79,7 @@ def term_hits(url: str, strict: tuple[str, ...], soft: tuple[str, ...]) -> tuple
 def judge_urls(df: DataFrame, rules: Sequence[Rule] = (), url: str = "url", strict: Sequence[str] = STRICT_TERMS,
                soft: Sequence[str] = SOFT_TERMS, max_soft: int = 1) -> DataFrame:
     """The table with host, path, rule, verdict (allow or block), strict_hits and soft_hits (lists of terms)."""
-    if clash := set(df.columns) & set(OUTPUTS):
-        raise ValueError(f"columns of the table are named like outputs: {sorted(clash)}")
+    df, url = set_aside(df, OUTPUTS, url)
     strict, soft = tuple(strict), tuple(soft)
     names = df.columns
     terms = pa.list_(pa.string())

@@ -20,7 +20,7 @@ from palinode.llm.decontaminate import contaminated, decontaminate
 from palinode.llm.language_id import identify, train
 from palinode.llm.license_scan import scan_licenses
 from palinode.llm.ngram_join import jaccard_components
-from palinode.llm.quality import judge
+from palinode.llm.quality import Rule, default_rules, judge, order_rules, with_features
 from palinode.llm.queries import LICENSE_PHRASES, ORACLES, QUERIES, URL_RULES
 from palinode.llm.secret_scan import find_secrets, redact, spans_text
 from palinode.llm.sharding import communication_matrix, shuffle_shards
@@ -139,8 +139,8 @@ def test_byte_bpe_is_tiktoken(docs, odd, empty):
         back = decode(made.select("doc_id", "ids"), RANKS, public_tokenizers.PATTERN)
         assert {r.doc_id: r.decoded for r in back.collect()} == text
     assert encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
-    with pytest.raises(ValueError):
-        encode(docs.withColumn("ids", F.lit(1)), RANKS, public_tokenizers.PATTERN)
+    named = encode(docs.withColumn("ids", F.lit(1)), RANKS, public_tokenizers.PATTERN)
+    assert {r.ids_in for r in named.collect()} == {1} and dict(named.dtypes)["ids"] == "array<int>"
 
 
 def test_token_store_round_trip(spark, docs, odd, empty):
@@ -263,6 +263,44 @@ def test_quality_of_odd_rows(odd, empty):
     assert got[13].n_words == 8 and judge(empty).count() == 0
 
 
+def test_five_runs_ask_the_rules_in_one_order(spark, docs):
+    sample = with_features(docs.select("doc_id", "text"))
+    orders = {tuple(order_rules(sample, default_rules())) for _ in range(5)}
+    assert len(orders) == 1 and set(*orders) == set(default_rules())
+    runs = [sorted((r.doc_id, r.rejected_by or "") for r in judge(docs.select("doc_id", "text")).collect()) for _ in range(3)]
+    assert runs[0] == runs[1] == runs[2]
+    sure = {"dear": Rule(F.lit(True), F.lit(20)), "cheap": Rule(F.lit(True), F.lit(1)), "never": Rule(F.lit(False), F.lit(1))}
+    assert order_rules(sample, sure) == ["cheap", "dear", "never"] and order_rules(sample.where("false"), sure) == list(sure)
+
+
+def test_columns_named_like_outputs_are_kept_beside_them(spark, docs):
+    few = docs.orderBy("doc_id").limit(40)
+    model = train(docs)
+    cases = [
+        (lambda df: judge(df), ["kept", "N_Words", "__w"], "text"),
+        (lambda df: identify(df, model), ["score", "__lettered", "lang_pred"], "text"),
+        (lambda df: judge_urls(df, URL_RULES, "text"), ["path", "Rule", "soft_hits"], "text"),
+        (lambda df: shuffle_shards(df, 4), ["shard", "__row", "__rank", "slot"], "text"),
+        (lambda df: encode(df, RANKS, public_tokenizers.PATTERN), ["ids", "N_TOKENS"], None),
+    ]
+    for run, names, text in cases:
+        plain = few.select("doc_id", "text")
+        odd = plain.select("*", *[F.concat(F.lit(f"{n}:"), "doc_id").alias(n) for n in names])
+        want = {r.doc_id: r.asDict() for r in run(plain).collect()}
+        got = [r.asDict() for r in run(odd).collect()]
+        assert len(got) == len(want) == 40
+        for r in got:
+            assert all(r[f"{n}_in"] == f"{n}:{r['doc_id']}" for n in names)
+            assert {k: v for k, v in r.items() if k[:-3] not in names} == want[r["doc_id"]]
+    odd = few.select("doc_id", F.col("text").alias("kept"), F.lit(1).alias("kept_in"))
+    assert {r.doc_id: r.kept for r in judge(odd, "kept").collect()} == {r.doc_id: r.kept for r in judge(few.select("doc_id", "text")).collect()}
+
+
+def test_repeated_urls_are_judged_alike(spark):
+    df = spark.createDataFrame([(1, "http://example.com/de/x")] * 3 + [(2, None)] * 2, "page_id long, url string")
+    assert sorted((r.page_id, r.verdict) for r in judge_urls(df, URL_RULES).collect()) == [(1, "block")] * 3 + [(2, "allow")] * 2
+
+
 def test_repeated_words_are_counted_once(spark):
     text = "a b c d e f x a b c d e f y"  # two windows of five, each twice: 6 + 6 words
     row = judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
