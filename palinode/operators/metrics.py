@@ -121,7 +121,8 @@ def categorical_correct(predicted: DataFrame, gold: DataFrame, keys: Sequence[st
 def mc_correct(scored: DataFrame, spans: DataFrame, keys: Sequence[str] = ("task", "idx")) -> DataFrame:
     """(keys, pred_opt, correct) from per-token losses (keys, opt, pos, loss) and spans (keys, opt,
     span_start, span_end, gold). The loss at pos predicts pos+1, so the window is [start-1, end-1).
-    An empty window scores +inf; the first option wins ties."""
+    An empty window scores +inf; the first option wins ties. Both sides are shuffled: rows made by an explode look
+    no larger to Spark than the table they come from, and would be broadcast."""
     on = [*keys, "opt"]
     inside = (F.col("pos") >= F.col("span_start") - 1) & (F.col("pos") < F.col("span_end") - 1)
     joined = spans.join(scored, on, "left")
@@ -133,10 +134,10 @@ def mc_correct(scored: DataFrame, spans: DataFrame, keys: Sequence[str] = ("task
 
 def lm_correct(scored: DataFrame, spans: DataFrame, keys: Sequence[str] = ("task", "idx")) -> DataFrame:
     """(keys, correct): every predicted token over the span equals the token that follows. `scored` has
-    (keys, pos, tok, pred); pred at pos is for pos+1."""
+    (keys, pos, tok, pred); pred at pos is for pos+1. All sides are shuffled, as in `mc_correct`."""
     preds = scored.select(*keys, (F.col("pos") + 1).alias("pos"), "pred")
     toks = scored.select(*keys, "pos", "tok")
-    both = toks.join(preds, [*keys, "pos"], "left").join(spans, list(keys))
+    both = toks.join(preds.hint("merge"), [*keys, "pos"], "left").join(spans.hint("merge"), list(keys))
     inside = (F.col("pos") >= F.col("span_start")) & (F.col("pos") < F.col("span_end"))
     return both.groupBy(*keys).agg(
         F.coalesce(F.bool_and(F.when(inside, F.col("pred").eqNullSafe(F.col("tok")))), F.lit(True)).alias("correct"))

@@ -21,7 +21,7 @@ tok AS (SELECT task, idx, gold, o AS opt, p AS pos, {uniform('loss', 'idx', 'o',
 
 
 def _items(spark, d):
-    return table(spark, d, "part").select(F.col("p_brand").alias("task"), F.col("p_partkey").alias("idx"),
+    return table(spark, d, "part", "p_partkey").select(F.col("p_brand").alias("task"), F.col("p_partkey").alias("idx"),
                                           seed_pick(4, "gold", "p_partkey").cast("int").alias("gold"))
 
 
