@@ -125,7 +125,7 @@ def mc_correct(scored: DataFrame, spans: DataFrame, keys: Sequence[str] = ("task
     no larger to Spark than the table they come from, and would be broadcast."""
     on = [*keys, "opt"]
     inside = (F.col("pos") >= F.col("span_start") - 1) & (F.col("pos") < F.col("span_end") - 1)
-    joined = spans.join(scored, on, "left")
+    joined = spans.join(scored.hint("merge"), on, "left")
     per_opt = joined.groupBy(*on, "gold").agg(
         F.coalesce(F.avg(F.when(inside, F.col("loss"))), F.lit(float("inf"))).alias("mean_loss"))
     best = per_opt.groupBy(*keys, "gold").agg(F.min_by("opt", F.struct("mean_loss", "opt")).alias("pred_opt"))

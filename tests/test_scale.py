@@ -17,3 +17,15 @@ def test_lm_correct_broadcasts_no_token_rows(spark):
     out = metrics.lm_correct(scored, spans)
     assert "Broadcast" not in _plan(out)
     assert {r.idx: r.correct for r in out.collect()} == {0: True, 1: False, 2: True, 3: True, 4: True}
+
+
+def test_mc_correct_broadcasts_no_token_rows(spark):
+    scored = spark.range(48).select(F.lit("t").alias("task"), F.expr("id div 16").alias("idx"), F.expr("int(id div 8 % 2)").alias("opt"),
+                                    F.expr("int(id % 8)").alias("pos"), F.expr("double(id % 3)").alias("loss"))
+    spans = spark.range(6).select(F.lit("t").alias("task"), F.expr("id div 2").alias("idx"), F.expr("int(id % 2)").alias("opt"),
+                                  F.lit(3).alias("span_start"), F.lit(8).alias("span_end"), F.lit(1).alias("gold"))
+    out = metrics.mc_correct(scored, spans)
+    assert "Broadcast" not in _plan(out)
+    # window [2, 7): five losses of each option
+    mean = {(i, o): sum((16 * i + 8 * o + p) % 3 for p in range(2, 7)) / 5 for i in range(3) for o in range(2)}
+    assert {r.idx: r.pred_opt for r in out.collect()} == {i: min(range(2), key=lambda o: (mean[i, o], o)) for i in range(3)}
