@@ -29,10 +29,11 @@ def objective_weight(base: Column | float, step: Column, total: Column | int, ki
 
 def throughput_cols(step: Column, num_steps: Column, dt_sec: Column, batch_tokens: Column,
                     flops_per_token: Column, peak_flops: Column) -> dict[str, Column]:
-    flops_sec = flops_per_token * batch_tokens / dt_sec
+    """Rates of a step; a step that took no time has none (null)."""
+    flops_sec = F.try_divide(flops_per_token * batch_tokens, dt_sec)
     return {
         "pct_done": 100.0 * step / num_steps,
-        "tok_per_sec": F.floor(batch_tokens / dt_sec).cast("long"),
+        "tok_per_sec": F.floor(F.try_divide(batch_tokens, dt_sec)).cast("long"),
         "flops_per_sec": flops_sec,
         "mfu": 100.0 * flops_sec / peak_flops,
     }

@@ -1,9 +1,12 @@
 """How work grows: what is broadcast, how a step is dealt to tasks, tables that come as folders."""
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
+from palinode.functions.math import throughput_cols
 from palinode.operators import metrics
+from palinode.plans.catalogue import files
 
 
 def _plan(df):
@@ -29,3 +32,17 @@ def test_mc_correct_broadcasts_no_token_rows(spark):
     # window [2, 7): five losses of each option
     mean = {(i, o): sum((16 * i + 8 * o + p) % 3 for p in range(2, 7)) / 5 for i in range(3) for o in range(2)}
     assert {r.idx: r.pred_opt for r in out.collect()} == {i: min(range(2), key=lambda o: (mean[i, o], o)) for i in range(3)}
+
+
+def test_throughput_of_a_step_without_time_is_null(spark):
+    cols = throughput_cols(F.col("step"), F.lit(100), F.col("dt"), F.lit(1000), F.lit(6.0), F.lit(1e6))
+    rows = spark.createDataFrame([(0, 0.0), (1, 0.3)], "step int, dt double").select("step", *[c.alias(k) for k, c in cols.items()])
+    assert [(r.tok_per_sec, r.flops_per_sec, r.mfu) for r in rows.orderBy("step").collect()] == [
+        (None, None, None), (3333, pytest.approx(20000.0), pytest.approx(2.0))]
+
+
+def test_streamed_tables_may_be_folders_of_files(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs.repartition(11).write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = ({(r.lang, r.docs, r.chars) for r in files.stream_documents(spark, d).collect()} for d in (str(tmp_path), SMALL))
+    assert got == want and len(got) > 1
