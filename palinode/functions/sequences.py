@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,11 @@ IGNORE = -1
 LAB_IGNORE = -100
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once a row: inside a lambda an expression is computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def with_bos(ids: Column, bos: int) -> Column:
     return F.array_prepend(ids, bos)
 
@@ -96,13 +101,15 @@ def pad_right(ids: Column, n: Column | int, pad: int) -> Column:
 
 def common_prefix_len(seqs: Column) -> Column:
     """Length of the prefix shared by all arrays of an ARRAY<ARRAY<..>>."""
-    first = F.element_at(seqs, 1)
-    shortest = F.array_min(F.transform(seqs, lambda s: F.size(s)))
-    same = F.transform(
-        F.slice(first, F.lit(1), shortest),
-        lambda tok, i: F.forall(seqs, lambda s: F.get(s, i) == tok))
-    at = F.array_position(same, False)
-    return F.when(at > 0, at - 1).otherwise(shortest).cast("int")
+    def length(seqs: Column) -> Column:
+        first = F.get(seqs, F.lit(0))
+        shortest = F.array_min(F.transform(seqs, lambda s: F.size(s)))
+        same = F.transform(
+            F.slice(first, F.lit(1), shortest),
+            lambda tok, i: F.forall(seqs, lambda s: F.get(s, i) == tok))
+        return bind(F.array_position(same, False), lambda at: F.when(at > 0, at - 1).otherwise(shortest).cast("int"))
+
+    return bind(seqs, length)
 
 
 def common_suffix_len(seqs: Column) -> Column:
@@ -113,11 +120,9 @@ def answer_spans(seqs: Column, task_type: str) -> tuple[Column, Column]:
     """(starts, ends) per sequence of the scored part, 0-based and half open."""
     ends = F.transform(seqs, lambda s: F.size(s))
     if task_type == "multiple_choice":
-        prefix = common_prefix_len(seqs)
-        return F.transform(ends, lambda _: prefix), ends
+        return F.array_repeat(common_prefix_len(seqs), F.size(seqs)), ends
     if task_type == "schema":
-        suffix = common_suffix_len(seqs)
-        return F.transform(ends, lambda e: e - suffix), ends
+        return bind(common_suffix_len(seqs), lambda suffix: F.transform(ends, lambda e: e - suffix)), ends
     if task_type == "language_modeling":
         return F.array(F.size(F.get(seqs, F.lit(0)))), F.array(F.size(F.get(seqs, F.lit(1))))
     raise ValueError(f"unsupported task type: {task_type}")
@@ -135,18 +140,22 @@ def left_crop(ids: Column, start: Column, end: Column, max_len: int) -> tuple[Co
     return F.slice(ids, cut + 1, F.greatest(F.least(F.size(ids), F.lit(max_len)), F.lit(0))), start - cut, end - cut
 
 
-def corrupt(ids: Column, row_id: Column, prob: float, low: int, high: int, seed: int) -> tuple[Column, Column]:
-    """(corrupted, labels): each position is replaced with probability `prob` by an id in [low, high);
-    the label says whether it was chosen, even if the drawn id equals the old one."""
-    # The flags are built over one array with the replacement beside it, so both read the same draws.
-    def draw(i: Column) -> Column:
-        return seed_uniform(seed, row_id, i) < F.lit(prob)
-
+def corrupted(ids: Column, row_id: Column, prob: float, low: int, high: int, seed: int) -> Column:
+    """STRUCT<ids, labels>: each position is replaced with probability `prob` by an id in [low, high);
+    the label says whether it was chosen, even if the drawn id equals the old one. Every position is drawn once."""
     def fresh(i: Column) -> Column:
         return (F.pmod(seed_u32(f"{seed}r", row_id, i), F.lit(high - low)) + low).cast("int")
 
-    swapped = F.transform(ids, lambda x, i: F.when(draw(i), fresh(i)).otherwise(x))
-    return swapped, F.transform(ids, lambda x, i: draw(i).cast("int"))
+    drawn = F.transform(ids, lambda x, i: F.when(
+        seed_uniform(seed, row_id, i) < F.lit(prob), F.struct(fresh(i).alias("id"), F.lit(1).alias("label")))
+        .otherwise(F.struct(x.alias("id"), F.lit(0).alias("label"))))
+    return bind(drawn, lambda d: F.struct(d["id"].alias("ids"), d["label"].alias("labels")))
+
+
+def corrupt(ids: Column, row_id: Column, prob: float, low: int, high: int, seed: int) -> tuple[Column, Column]:
+    """(corrupted, labels) of `corrupted`; who reads both keeps that as a column, so that it is computed once."""
+    both = corrupted(ids, row_id, prob, low, high, seed)
+    return both["ids"], both["labels"]
 
 
 def random_crop(ids: Column, length: int, batch: Column, seed: int) -> Column:
@@ -183,7 +192,7 @@ def bridge(block: Column) -> Column:
 
 def ids_text(ids: Column) -> Column:
     """Comma-joined ids, the form results are compared in."""
-    return F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
+    return F.array_join(ids.cast("array<string>"), ",")
 
 
 def concat_all(parts: Sequence[Column]) -> Column:

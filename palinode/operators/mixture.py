@@ -93,10 +93,12 @@ def spans(df: DataFrame, task_type: str, keys: Sequence[str], prompt_col: str =
     starts, ends = answer_spans(F.col("seqs"), task_type)
     scored = F.col("seqs")
     if task_type == "language_modeling":
-        toks = toks.where(lm_prefix_ok(F.get("seqs", F.lit(0)), F.get("seqs", F.lit(1))))
         scored = F.slice("seqs", F.lit(2), F.lit(1))
-    rows = toks.select(*keys, F.posexplode(F.arrays_zip(
-        scored.alias("ids"), starts.alias("s"), ends.alias("e"))).alias("opt", "z"))
+    found = F.arrays_zip(scored.alias("ids"), starts.alias("s"), ends.alias("e"))
+    if task_type == "language_modeling":
+        # a filter would be pushed below the encoding and encode every prompt again for each of its terms
+        found = F.when(lm_prefix_ok(F.get("seqs", F.lit(0)), F.get("seqs", F.lit(1))), found)
+    rows = toks.select(*keys, F.posexplode(found).alias("opt", "z"))
     ids, start, end = F.col("z.ids"), F.col("z.s"), F.col("z.e")
     if max_len is not None:
         ids, start, end = left_crop(ids, start, end, max_len)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from palinode.functions.sequences import ids_text
+from palinode.functions.sequences import bind, ids_text
 
 # What a calculator expression may contain.
 ARITHMETIC = r"^[0-9*+\-/.() ]+$"
@@ -83,8 +83,8 @@ def sampled_mask(ids: Column, output_start: int, output_end: int) -> Column:
     opens = F.filter(F.sequence(F.lit(0), F.size(ids) - 1), lambda i: F.get(ids, i) == output_start)
     spans = F.transform(opens, lambda s: F.struct(
         s.alias("s"), F.array_position(F.slice(ids, s + 1, F.size(ids) - s), output_end).alias("n")))
-    return F.transform(ids, lambda _, i: F.when(F.exists(spans, lambda p: (i >= p["s"]) & (
-        (p["n"] == 0) | (i < p["s"] + p["n"]))), 0).otherwise(1))
+    return bind(spans, lambda found: F.transform(ids, lambda _, i: F.when(F.exists(found, lambda p: (i >= p["s"]) & (
+        (p["n"] == 0) | (i < p["s"] + p["n"]))), 0).otherwise(1)))
 
 
 def truncate_completion(ids: Column, prompt_len: Column, stops: tuple[int, ...]) -> Column:

@@ -178,7 +178,7 @@ def task_sequence(spark, d):
 
 
 def _mc_items(spark, d):
-    customer = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    customer = table(spark, d, "customer", "c_custkey").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     nation = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
     choices = F.array(*[F.lit(r) for r in ("zero", "one", "two", "three", "four")])
     return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
@@ -230,7 +230,7 @@ def mc_prompts(spark, d):
 
 
 def _schema_items(spark, d):
-    return table(spark, d, "part").select(
+    return table(spark, d, "part", "p_partkey").select(
         F.col("p_type").alias("task"), F.col("p_partkey").alias("item_id"),
         F.array(F.concat("p_name", F.lit(" from "), "p_brand"), F.concat(F.lit("old "), "p_name")).alias("context_options"),
         F.concat(F.lit("of size "), F.col("p_size").cast("string")).alias("continuation"),
@@ -251,7 +251,7 @@ def schema_prompts(spark, d):
 
 def _lm_items(spark, d):
     """Documents with at least two words: all but the last as context, the last as continuation."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", word_tokens(F.col("text")).alias("w")).where(F.size("w") > 1)
+    docs = table(spark, d, "documents", "doc_id").select("doc_id", "lang", word_tokens(F.col("text")).alias("w")).where(F.size("w") > 1)
     return docs.select(F.col("lang").alias("task"), F.col("doc_id").alias("item_id"),
                        F.concat(F.array_join(S.init(F.col("w")), " "), F.lit(" \n")).alias("context"),
                        F.element_at("w", -1).alias("continuation"))
