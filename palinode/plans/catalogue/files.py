@@ -24,9 +24,10 @@ SELECT CASE WHEN lang = (SELECT max(lang) FROM documents) THEN 'val' ELSE 'train
 def split_by_last_shard(spark, d):
     """One shard per language: the last by name validates."""
     path = scratch_dir(spark, "shards")
-    docs = table(spark, d, "documents").select("lang", "n_chars", "text")
-    by_lang = docs.repartitionByRange("lang").withColumn("shard", F.concat(F.lit("shard_"), "lang"))
-    by_lang.drop("lang").write.partitionBy("shard").parquet(path)
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", "text")
+    # a shard is a folder: a language is spread over tasks, each of which writes a file of it
+    by_lang = docs.repartitionByRange("lang", "doc_id").withColumn("shard", F.concat(F.lit("shard_"), "lang"))
+    by_lang.drop("doc_id", "lang").write.partitionBy("shard").parquet(path)
     names = spark.read.parquet(path).select(F.col("shard").alias("file"), "n_chars")
     last = names.agg(F.max("file")).first()[0]
     train, val = (corpus.split_by_shard(names, last, s).withColumn("split", F.lit(s)) for s in ("train", "val"))
@@ -75,7 +76,7 @@ def word_list_round_trip(spark, d):
     return tasks.read_words(spark, path).agg(F.count("*").alias("n"), F.sum(F.length("word")).alias("chars"))
 
 
-# ---- run logs: each user's events written as the log of a training run --------------------------------
+# ---- run logs: each user's events written as the log of a training run; many runs share a file, a line begins with its run
 
 def _write_logs(spark, d, path):
     ev = dense_index(table(spark, d, "events").select("event_id", "user_id", "value"), ["event_id"], "step", ["user_id"])
@@ -87,7 +88,13 @@ def _write_logs(spark, d, path):
         F.when(F.pmod("step", F.lit(7)) == 0, F.format_string("Step %05d | Validation bpb: %.6f\n", F.col("step"), F.col("value") / 100)).otherwise(""))
     lines = ev.select(F.col("user_id").alias("run"), "step", F.explode(F.split(F.rtrim(text, F.lit("\n")), "\n")).alias("value"))
     numbered = lines.repartitionByRange("run", "step").sortWithinPartitions("run", "step")
-    numbered.select("run", "value").write.partitionBy("run").text(path)
+    numbered.select(F.concat(F.coalesce(F.col("run").cast("string"), F.lit("")), F.lit("\t"), "value")).write.text(path)
+
+
+def _run_and_line(value):
+    """(run, line) of a written line; an event without a user belongs to the run null."""
+    run = F.substring_index(value, "\t", 1)
+    return F.when(run != "", run), F.substring(value, F.length(run) + 2, F.length(value))
 
 
 def _logs(spark, d):
@@ -95,7 +102,8 @@ def _logs(spark, d):
     _write_logs(spark, d, path)
     # a long run is spread over part files, numbered along its steps
     at = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return spark.read.text(path).select(F.col("run").cast("string").alias("run"), at.alias("line_no"), F.col("value").alias("line"))
+    run, line = _run_and_line(F.col("value"))
+    return spark.read.text(path).select(run.alias("run"), at.alias("line_no"), line.alias("line"))
 
 
 @query("""
@@ -183,13 +191,15 @@ def _token_docs(docs):
 
 def _streamed_rows(spark, d, files: int = 8):
     """Rows packed from a folder to which the documents come in `files` shards, one a micro-batch."""
-    path, docs = scratch_dir(spark, "shards"), table(spark, d, "documents")
+    path, sink, checkpoint = (scratch_dir(spark, x) for x in ("shards", "sp", "spc"))
+    docs = table(spark, d, "documents", "doc_id")
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     shard = F.least(F.lit(files - 1), F.floor((F.col("doc_id") - low) * files / (high - low + 1))).cast("int")
-    for i in range(files):
-        docs.where(shard == i).coalesce(1).write.mode("append").parquet(path)
-    packed = streams.pack_stream(_token_docs(streams.document_stream(spark, path, docs.schema)), 512, buffer=20, refill=8)
-    return streams.run_to_table(packed, scratch_dir(spark, "sp"), scratch_dir(spark, "spc"))
+    for i in range(files):  # a shard is written by many tasks; the stream goes on from its checkpoint
+        docs.where(shard == i).write.mode("append").parquet(path)
+        arrived = streams.document_stream(spark, path, docs.schema, files_per_trigger=2**31 - 1)
+        rows = streams.run_to_table(streams.pack_stream(_token_docs(arrived), 512, buffer=20, refill=8), sink, checkpoint)
+    return rows
 
 
 @query()
@@ -201,7 +211,7 @@ def stream_pack(spark, d):
 def stream_pack_equals_batch(spark, d):
     """Rows packed over eight micro-batches with carried state are the first ones of a batch over the whole table; what the
     batch packs from its last buffer is still in the state."""
-    batch = packing.pack_bestfit_crop(_token_docs(table(spark, d, "documents")), 512, "doc_id", buffer=20, refill=8)
+    batch = packing.pack_bestfit_crop(_token_docs(table(spark, d, "documents", "doc_id")), 512, "doc_id", buffer=20, refill=8)
     sides = [rows.select("stream_id", "row_id", F.md5(ids_text(F.col("tokens"))).alias(side))
              for rows, side in ((_streamed_rows(spark, d), "streamed"), (batch, "batch"))]
     last = sides[0].groupBy("stream_id").agg(F.max("row_id").alias("last"))
@@ -224,9 +234,11 @@ def stream_epochs(spark, d):
     docs = table(spark, d, "documents")
     (docs.repartitionById(5, F.pmod("doc_id", F.lit(5)).cast("int")).sortWithinPartitions("doc_id")
      .write.option("parquet.block.row.count.limit", 64).parquet(path))
+    # 32 steps a micro-batch; of a large corpus more, so that their number does not grow with it
+    steps = max(32, docs.count() * 2 // (64 * 3 * 24))
     columns = "doc_id long, text string, n_chars long"
     for trigger in ({"availableNow": True}, {"processingTime": "0 seconds"}):
-        rows = epoch_stream(spark, path, columns, world=3, epochs=2, steps_per_trigger=32)
+        rows = epoch_stream(spark, path, columns, world=3, epochs=2, steps_per_trigger=steps)
         run = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()
         if "processingTime" in trigger:
             run.processAllAvailable()
@@ -253,9 +265,9 @@ def stream_conversations(spark, d):
 def stream_logs(spark, d):
     path = scratch_dir(spark, "sl")
     _write_logs(spark, d, path)
-    schema = "value string, run string"
-    lines = spark.readStream.schema(schema).text(path).where(F.col("value").rlike(LOG_FILTER))
-    fields = [streams.log_field(F.col("value"), f).alias(f) for f in ("step", "loss")]
+    run, line = _run_and_line(F.col("value"))
+    lines = spark.readStream.text(path).select(run.alias("run"), line.alias("line")).where(F.col("line").rlike(LOG_FILTER))
+    fields = [streams.log_field(F.col("line"), f).alias(f) for f in ("step", "loss")]
     out = streams.run_to_table(lines.select("run", *fields), scratch_dir(spark, "slo"), scratch_dir(spark, "slc"))
     return out.where(F.col("step").isNotNull()).agg(F.count("*").alias("n_steps"), F.round(F.sum("loss"), 3).alias("loss"))
 

@@ -6,8 +6,10 @@ carries (epoch, file, row_group), so what was read last is a state to resume fro
 row_index) is the order in which a rank sees its documents.
 
 The stream's offset is the next step, by the shard's name, so a shard that comes in later moves no other. The driver lists
-names and reads the footers of the shards of the batch at hand, never a document. A task reads one row group, batch by
-batch, the wanted columns only. The batch reader plans one partition per shard and epoch, without footers.
+names and reads the footers of the shards of the batch at hand once, never a document. A task reads row groups of one shard
+that follow one another, batch by batch, the wanted columns only; a micro-batch is dealt to `tasksPerTrigger` tasks or a few
+more, one row group at least each, so that a footer is not read once per row group. The batch reader plans one partition per
+shard and epoch, without footers.
 
 Defined results: temporary files are no shards; the training split is all but the last shard by name, the validation split
 is the last; a folder without shards of the split is an error; a shard without rows has no steps, and a split of such shards
@@ -36,12 +38,12 @@ FORMAT = "epoch_documents"
 
 @dataclass
 class _Groups(InputPartition):
-    """Row groups of one shard in one epoch: one of them, or all from the step `base` on."""
+    """Row groups of one shard in one epoch: those from `low` on, up to `high` (not included) if given."""
 
     epoch: int
     file: str
-    group: int | None
-    base: int = 0
+    low: int = 0
+    high: int | None = None
 
 
 class _Shards:
@@ -51,10 +53,10 @@ class _Shards:
         self.schema = schema
         self.path = options["path"]
         self.world, self.epochs = int(options.get("world", 1)), int(options.get("epochs", 0))
-        self.per_batch = int(options.get("stepspertrigger", 64))
+        self.per_batch, self.tasks = int(options.get("stepspertrigger", 64)), int(options.get("taskspertrigger", 32))
         self.split = options.get("split", "train")
-        if self.world < 1 or self.per_batch < 1 or self.split not in ("train", "val"):
-            raise ValueError("world and stepsPerTrigger are positive, split is train or val")
+        if min(self.world, self.per_batch, self.tasks) < 1 or self.split not in ("train", "val"):
+            raise ValueError("world, stepsPerTrigger and tasksPerTrigger are positive, split is train or val")
         self.resume = (int(options["epoch"]), options["file"], int(options["rowgroup"])) if "file" in options else None
         self.counts: dict[str, int] = {}
 
@@ -74,12 +76,16 @@ class _Shards:
         system, root = self.place()
         return pq.ParquetFile(f"{root}/{file}", filesystem=system, pre_buffer=False)
 
-    def steps(self, file: str) -> int:
+    def groups(self, file: str) -> int:
+        """Row groups of a shard, none if it has no rows."""
         if file not in self.counts:
             with self.open(file) as f:
-                self.counts[file] = -(-f.num_row_groups // self.world) if f.metadata.num_rows else 0
+                self.counts[file] = f.num_row_groups if f.metadata.num_rows else 0
         return self.counts[file]
 
+    def steps(self, file: str) -> int:
+        return -(-self.groups(file) // self.world)
+
     def start(self) -> dict:
         """The first step, or the one after a rank's state (its other groups of that step are taken as read)."""
         if self.resume is None:
@@ -108,7 +114,7 @@ class _Shards:
             first = 0
             for group in range(f.num_row_groups):
                 n = f.metadata.row_group(group).num_rows
-                if group == part.group or part.group is None and group >= part.base * self.world:
+                if part.low <= group and (part.high is None or group < part.high):
                     at = first
                     for batch in f.iter_batches(1024, row_groups=[group], columns=columns):
                         k = batch.num_rows
@@ -143,17 +149,18 @@ class _EpochStream(DataSourceStreamReader):
         # also called with the last offsets of a checkpoint, after which the stream goes on
         self.seen = end
         stop = (end["epoch"], end["file"], end["base"])
-        out: list[_Groups] = []
+        runs: dict[tuple[int, str], list[int]] = {}  # (first, last + 1) row group of each shard and epoch
         if start == end:
-            return out
+            return []
         for epoch, file, base in self.shards.walk(start):
             if (epoch, file, base) >= stop:
                 break
-            with self.shards.open(file) as f:
-                groups = f.num_row_groups
             low = base * self.shards.world
-            out += [_Groups(epoch, file, g) for g in range(low, min(low + self.shards.world, groups))]
-        return out
+            run = runs.setdefault((epoch, file), [low, low])
+            run[1] = min(low + self.shards.world, self.shards.groups(file))
+        size = -(-sum(high - low for low, high in runs.values()) // self.shards.tasks)
+        return [_Groups(epoch, file, at, min(at + size, high))
+                for (epoch, file), (low, high) in runs.items() for at in range(low, high, size)]
 
     def read(self, partition: _Groups) -> Iterator[pa.RecordBatch]:
         return self.shards.read(partition)
@@ -171,15 +178,16 @@ class _EpochBatch(DataSourceReader):
         for epoch in range(at["epoch"], self.shards.epochs + 1):
             first = epoch == at["epoch"]
             for file in names[bisect_left(names, at["file"]) if first else 0:]:
-                out.append(_Groups(epoch, file, None, at["base"] if first and file == at["file"] else 0))
-        return out or [_Groups(0, names[0], -1)]
+                out.append(_Groups(epoch, file, at["base"] * self.shards.world if first and file == at["file"] else 0))
+        return out or [_Groups(0, names[0], 0, 0)]
 
     def read(self, partition: _Groups) -> Iterator[pa.RecordBatch]:
         return self.shards.read(partition)
 
 
 class EpochDocuments(DataSource):
-    """Options: path, world, epochs (0: without end), split, stepsPerTrigger, and a state (epoch, file, rowGroup)."""
+    """Options: path, world, epochs (0: without end), split, stepsPerTrigger, tasksPerTrigger, and a state (epoch, file,
+    rowGroup)."""
 
     @classmethod
     def name(cls) -> str:

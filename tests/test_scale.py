@@ -1,18 +1,30 @@
 """How work grows: what is broadcast, how a step is dealt to tasks, tables that come as folders."""
 
+import glob
+import time
+
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from palinode.functions import sequences as S
 from palinode.functions.math import throughput_cols
-from palinode.operators import metrics
+from palinode.operators import metrics, mixture, toolcalls
 from palinode.plans.catalogue import files
+from palinode.streaming import epochs
 
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture()
+def written(monkeypatch, tmp_path):
+    """Scratch folders of the file queries, by name."""
+    monkeypatch.setattr(files, "scratch_dir", lambda spark, name: f"{tmp_path}/{name}")
+    return tmp_path
+
+
 def test_lm_correct_broadcasts_no_token_rows(spark):
     scored = spark.range(40).select(F.lit("t").alias("task"), F.expr("id div 8").alias("idx"), F.expr("int(id % 8)").alias("pos"),
                                     F.expr("int(id)").alias("tok"), F.expr("int(id + 1 + int(id = 10))").alias("pred"))
@@ -46,3 +58,80 @@ def test_streamed_tables_may_be_folders_of_files(spark, tmp_path):
     docs.repartition(11).write.parquet(f"{tmp_path}/documents.parquet")
     got, want = ({(r.lang, r.docs, r.chars) for r in files.stream_documents(spark, d).collect()} for d in (str(tmp_path), SMALL))
     assert got == want and len(got) > 1
+
+
+def test_prompts_are_encoded_once(spark):
+    items = spark.range(3).select(F.lit("t").alias("task"), F.col("id").alias("item_id"), F.array(F.lit("a b"), F.concat(F.lit("a b c"), F.col("id"))).alias("prompts"))
+    out = mixture.spans(items, "language_modeling", ["task", "item_id"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    assert [(r.opt, r.span_start, r.span_end) for r in out.collect()] == [(0, 4, 7)] * 3
+
+
+def test_shared_lengths_are_computed_once_a_row(spark):
+    df = spark.createDataFrame([([[1, 2, 3], [1, 9, 8, 3]],), ([[4], [4]],)], "s array<array<int>>")
+    out = df.select(S.common_suffix_len(F.col("s")).alias("n"), S.answer_spans(F.col("s"), "multiple_choice")[0].alias("mc"),
+                    S.answer_spans(F.col("s"), "schema")[0].alias("schema"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "forall(transform(" not in plan and plan.count("forall(") == 3  # none over arrays reversed inside the lambda
+    assert [(r.n, r.mc, r.schema) for r in out.collect()] == [(1, [1, 1], [2, 3]), (1, [1, 1], [0, 0])]
+
+
+def test_sampled_mask_finds_its_spans_once(spark):
+    ids = [7, 1, 8, 8, 2] * 800
+    df = spark.createDataFrame([(ids,)], "ids array<int>").select(toolcalls.sampled_mask(F.col("ids"), 1, 2).alias("m"))
+    start = time.time()
+    assert df.first().m == [1, 0, 0, 0, 0] * 800 and time.time() - start < 10
+
+
+def test_corruption_is_drawn_once(spark):
+    row = spark.createDataFrame([(1, list(range(100, 200)))], "id int, ids array<int>")
+    pair = row.select("ids", S.corrupted(F.col("ids"), F.col("id"), 0.3, 6, 50, 3).alias("c"))
+    out = pair.select("ids", "c.ids", "c.labels")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 2  # whether, and by what
+    old, new, labels = out.first()
+    assert all((a != b) == bool(hit) for a, b, hit in zip(old, new, labels)) and 0 < sum(labels) < 100
+
+
+def _events(spark, path):
+    rows = [(i, i % 40 if i % 41 else None, "view", i / 4) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{path}/events.parquet")
+
+
+def test_run_logs_share_files(spark, tmp_path, written):
+    _events(spark, tmp_path)
+    got = {r.run: r.n_steps for r in files.run_log_steps(spark, str(tmp_path)).collect()}
+    want = {}
+    for i in range(400):
+        run = str(i % 40) if i % 41 else None
+        want[run] = want.get(run, 0) + 1
+    want[None] -= 1  # no user, no parameter line: the text of that first step is null
+    assert got == want and len(got) == 41
+    assert not glob.glob(f"{written}/logs/*/") and len(glob.glob(f"{written}/logs/part-*")) <= 8  # not a folder per run
+
+
+def test_a_language_is_written_by_several_tasks(spark, written):
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.split_by_last_shard(spark, SMALL).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert len(glob.glob(f"{written}/shards/*/part-*")) >= 8 > len(glob.glob(f"{written}/shards/shard*/"))
+
+
+def test_shards_of_the_packing_stream_are_written_by_many_tasks(spark, written):
+    assert files.stream_pack(spark, SMALL).count() > 0
+    assert len(glob.glob(f"{written}/shards/part-*")) > 8
+
+
+def test_a_batch_of_epochs_opens_each_footer_once(spark, tmp_path, monkeypatch):
+    for i in range(3):
+        spark.range(640).selectExpr("string(id) text").coalesce(1).write.option("parquet.block.row.count.limit", 4).parquet(f"{tmp_path}/w{i}")
+        (tmp_path / f"{i}.parquet").write_bytes(open(glob.glob(f"{tmp_path}/w{i}/part-*")[0], "rb").read())
+    opened = []
+    first = epochs._Shards.open
+    monkeypatch.setattr(epochs._Shards, "open", lambda self, file: opened.append(file) or first(self, file))
+    reader = epochs._EpochStream(epochs._Shards(None, {"path": str(tmp_path), "world": "3", "epochs": "2", "stepspertrigger": "200"}))
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert sorted(opened) == ["0.parquet", "1.parquet"] and len(parts) <= 40
+    assert sum(p.high - p.low for p in parts) == 160 * 3 + 38 * 3  # 54 + 54 + 54 + 38 steps
