@@ -2,14 +2,18 @@
 
 import glob
 import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 from palinode.functions import sequences as S
 from palinode.functions.math import throughput_cols
-from palinode.operators import metrics, mixture, toolcalls
+from palinode.functions.text import counting_lines
+from palinode.operators import bpe, metrics, mixture, toolcalls
 from palinode.plans.catalogue import files
 from palinode.streaming import epochs
 
@@ -135,3 +139,24 @@ def test_a_batch_of_epochs_opens_each_footer_once(spark, tmp_path, monkeypatch):
     parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
     assert sorted(opened) == ["0.parquet", "1.parquet"] and len(parts) <= 40
     assert sum(p.high - p.low for p in parts) == 160 * 3 + 38 * 3  # 54 + 54 + 54 + 38 steps
+
+
+def test_long_batches_are_encoded_in_pieces():
+    words = pa.array([f"w{i}" for i in range(50)]).take(pa.array(np.arange(2_000_000) % 50))
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(0, 2_000_001, 1000), pa.int32()), words)
+    tracemalloc.start()
+    ids = bpe._gather(rows, lambda t: [int(t[1:]), 7])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6 and ids.flatten().to_numpy().tolist() == [x for i in range(2_000_000) for x in (i % 50, 7)]
+    assert ids.value_lengths().unique().to_pylist() == [2000]
+    odd = pa.array([["a", "b"], None, [], ["c"]], pa.list_(pa.string()))
+    for size in (1, 2, 100):
+        assert bpe._gather(odd, lambda t: [ord(t)], size).to_pylist() == [[97, 98], [], [], [99]]
+    assert bpe._gather(odd.slice(0, 0), lambda t: [1]).to_pylist() == []
+
+
+def test_letters_of_a_word_are_split_once(spark):
+    out = spark.createDataFrame([("abca", "a")], "w string, l string").select(counting_lines(F.col("w"), F.col("l")).alias("x"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1
+    assert out.first().x == "1:a hit! count=1\n2:b\n3:c\n4:a hit! count=2\n"
