@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palinode.functions.sequences import bind
+
 # Answer marker, tool-call marker, fenced program, report time format.
 ANSWER_PATTERN = r"#### (\-?[0-9\.\,]+)"
 TOOL_CALL_PATTERN = r"(?s)<<[^>]+>>"
@@ -133,14 +135,15 @@ def count_letter(word: Column, letter: Column) -> Column:
 
 def counting_lines(word: Column, letter: Column) -> Column:
     """One line per letter, hits carrying the running count."""
-    chars = letters_of(word)
-    lines = F.transform(chars, lambda c, i: F.concat(
-        (i + 1).cast("string"), F.lit(":"), c,
-        F.when(c == letter, F.concat(
-            F.lit(" hit! count="),
-            F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == letter)).cast("string")))
-        .otherwise(F.lit("")), F.lit("\n")))
-    return F.array_join(lines, "")
+    def lines(chars: Column) -> Column:
+        return F.transform(chars, lambda c, i: F.concat(
+            (i + 1).cast("string"), F.lit(":"), c,
+            F.when(c == letter, F.concat(
+                F.lit(" hit! count="),
+                F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == letter)).cast("string")))
+            .otherwise(F.lit("")), F.lit("\n")))
+
+    return F.array_join(bind(letters_of(word), lines), "")
 
 
 def fill_template(template: Column, word: Column, letter: Column) -> Column:

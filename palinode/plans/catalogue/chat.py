@@ -407,7 +407,7 @@ wl AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest({sql_words()}) AS w
 
 
 def _ids(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"))
+    return table(spark, d, "orders", "o_orderkey").select(F.col("o_orderkey").alias("idx"))
 
 
 @query(f"""WITH {_SQL_LIST},
