@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from hashlib import md5
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palinode.functions.batches import parts, with_entries
 from palinode.functions.seeded import seed_u32, seed_uniform
 
 IGNORE = -1
@@ -190,10 +194,35 @@ def bridge(block: Column) -> Column:
         F.get(block, i).alias("left"), t.alias("target"), F.get(block, i + 2).alias("right")))
 
 
+def bridge_io(block: Column) -> tuple[Column, Column]:
+    """(inputs, labels) of `bridge`: left,right pairs one after the other, and the targets between them."""
+    n = F.greatest(F.size(block) - 2, F.lit(0))
+    pairs = F.zip_with(F.slice(block, F.lit(1), n), F.slice(block, F.lit(3), n), lambda left, right: F.array(left, right))
+    return F.flatten(pairs), F.slice(block, F.lit(2), n)
+
+
 def ids_text(ids: Column) -> Column:
     """Comma-joined ids, the form results are compared in."""
     return F.array_join(ids.cast("array<string>"), ",")
 
 
+def ids_digest(ids: Column) -> Column:
+    """md5 of `ids_text`, made for whole runs of rows at once."""
+    @F.arrow_udf("string")
+    def digests(rows: pa.Array) -> pa.Array:
+        out = []
+        for part in parts(rows):
+            entries = part.flatten()
+            if entries.null_count:  # left out of the text
+                texts = [None if r is None else ",".join(str(x) for x in r if x is not None).encode() for r in part.to_pylist()]
+            else:
+                joined = pc.binary_join(with_entries(part, entries.cast(pa.string())), ",")
+                texts = joined.cast(pa.binary()).to_pylist()
+            out += [None if t is None else md5(t).hexdigest() for t in texts]
+        return pa.array(out, pa.string())
+
+    return digests(ids)
+
+
 def concat_all(parts: Sequence[Column]) -> Column:
     return F.concat(*parts)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palinode.functions.seeded import hex_u32
+from palinode.functions.batches import parts, with_entries
 
 # The pre-token split pattern (digits in runs of one or two).
 SPLIT_PATTERN = (
@@ -55,9 +58,21 @@ def bytes_text(ids: Column) -> Column:
 
 
 def word_ids(words: Column, vocab_size: int, n_special: int = len(LAB_SPECIAL_TOKENS)) -> Column:
-    """Hashed word ids in [n_special, vocab_size): a vocabulary that needs no table."""
-    return F.transform(
-        words, lambda w: (F.pmod(hex_u32(F.md5(w)), F.lit(vocab_size - n_special)) + n_special).cast("int"))
+    """Hashed word ids in [n_special, vocab_size): a vocabulary that needs no table. The id is the first 32 bits of the
+    word's md5 modulo the ids there are; a word is hashed once for every run of rows."""
+    def word_id(word: bytes) -> int:
+        return int.from_bytes(md5(word).digest()[:4], "big") % (vocab_size - n_special) + n_special
+
+    @F.arrow_udf("array<int>")
+    def hashed(rows: pa.Array) -> pa.Array:
+        def ids(words: pa.Array) -> pa.Array:
+            coded = words.dictionary_encode()
+            return pa.array([word_id(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], pa.int32()).take(coded.indices)
+
+        done = [with_entries(part, ids(part.flatten())) for part in parts(rows)]
+        return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.int32()))
+
+    return hashed(words)
 
 
 def special_id(name: str, specials: dict[str, int] = BYTE_SPECIALS) -> int:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palinode.functions.batches import parts
 from palinode.functions.tokens import SPECIAL_TOKENS, pretokens
 from palinode.operators.bpe_training import train_merges
 
@@ -150,20 +151,9 @@ class PieceEncoder:
         return out
 
 
-def _parts(rows: pa.ListArray, size: int) -> Iterator[pa.ListArray]:
-    """Runs of rows with about `size` entries each, one row at least: a batch of long texts is worked off in pieces."""
-    total = np.cumsum([n or 0 for n in rows.value_lengths().to_pylist()])
-    at = 0
-    while at < len(rows):
-        done = int(total[at - 1]) if at else 0
-        stop = max(at + 1, int(np.searchsorted(total, done + size, "right")))
-        yield rows.slice(at, stop - at)
-        at = stop
-
-
 def _gather(tokens: pa.ListArray, encode_one, size: int = 1 << 18) -> pa.ListArray:
     """Ids of the entries of each row; what is held beside input and output is bounded by `size` entries."""
-    done = [_gather_part(part, encode_one) for part in _parts(tokens, size)]
+    done = [_gather_part(part, encode_one) for part in parts(tokens, size)]
     return pa.concat_arrays(done) if done else _gather_part(tokens, encode_one)
 
 
@@ -237,7 +227,7 @@ def decode(df: DataFrame, vocab: Vocabulary, ids: str = "ids", out: str = "text"
     def decode_ids(rows: pa.Array) -> pa.Array:
         table = shared.value
         return pa.array([None if r is None else b"".join(table[i] for i in r).decode("utf-8", "replace")
-                         for part in _parts(rows, 1 << 18) for r in part.to_pylist()], pa.string())
+                         for part in parts(rows, 1 << 18) for r in part.to_pylist()], pa.string())
 
     return df.withColumn(out, decode_ids(F.col(ids)))
 

@@ -10,9 +10,10 @@ from __future__ import annotations
 from bisect import bisect_right, insort
 from collections import deque
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,6 +189,14 @@ class _FirstFitDecreasing:
             yield row.close(self.pad)
 
 
+def _arrays(rows: pa.ListArray) -> Iterator[np.ndarray | None]:
+    """The rows as arrays of their own, so that a buffered document does not hold the batch it came in."""
+    values = rows.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum([n or 0 for n in rows.value_lengths().to_pylist()], dtype=np.int64).tolist()
+    for start, end, known in zip([0, *ends], ends, rows.is_valid().to_pylist()):
+        yield values[start:end].copy() if known else None
+
+
 def _run(docs: DataFrame, make, cap: int, stream: str, order: str | Sequence[str], ids: str, mask: str | None,
          chunk: int = 256) -> DataFrame:
     """Sort each stream into one task's input and feed it to a packer batch by batch. Tokens no row could
@@ -197,7 +206,7 @@ def _run(docs: DataFrame, make, cap: int, stream: str, order: str | Sequence[str
         F.col(stream).alias("stream_id"), ranks.alias("__order"), F.slice(ids, 1, cap).alias("ids"),
         F.size(ids).alias("size"), *([F.slice(mask, 1, cap).alias("mask")] if mask else []))
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, packer, row_id, out = None, None, 0, []
 
         def emit(rows):
@@ -206,20 +215,25 @@ def _run(docs: DataFrame, make, cap: int, stream: str, order: str | Sequence[str
                 out.append((current, row_id, *row))
                 row_id += 1
 
-        def flush() -> pd.DataFrame:
-            frame = pd.DataFrame(out, columns=["stream_id", "row_id", "tokens", "mask", "n_docs", "content_len",
-                                               "complete"])
+        def flush() -> pa.RecordBatch:
+            sids, row_ids, tokens, masks, *counts = zip(*out)
             out.clear()
-            return frame
+            ends = pa.array(np.append(0, np.cumsum([len(t) for t in tokens])), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (tokens, masks)]
+            kinds = (pa.int32(), pa.int32(), pa.bool_())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(sids, pa.int32()), pa.array(row_ids, pa.int64()), *lists, *map(pa.array, counts, kinds)],
+                ["stream_id", "row_id", "tokens", "mask", "n_docs", "content_len", "complete"])
 
         for batch in batches:
-            masks = batch["mask"] if mask else [None] * len(batch)
-            for sid, doc, size, m in zip(batch["stream_id"], batch["ids"], batch["size"], masks):
-                if sid != current:
+            docs = _arrays(batch.column("ids"))
+            masks = _arrays(batch.column("mask")) if mask else repeat(None)
+            for sid, size, doc, m in zip(batch.column("stream_id").to_pylist(), batch.column("size").to_pylist(), docs, masks):
+                if packer is None or sid != current:
                     if packer is not None:
                         emit(packer.finish())
                     current, packer, row_id = sid, make(), 0
-                emit(packer.add((doc, np.ones(len(doc), np.int32) if m is None else m, int(size))))
+                emit(packer.add((doc, np.ones(len(doc), np.int32) if m is None else m, size)))
                 if len(out) >= chunk:
                     yield flush()
         if packer is not None:
@@ -228,7 +242,7 @@ def _run(docs: DataFrame, make, cap: int, stream: str, order: str | Sequence[str
             yield flush()
 
     ordered = picked.repartition("stream_id").sortWithinPartitions("stream_id", "__order").drop("__order")
-    return ordered.mapInPandas(pack, _PACKED)
+    return ordered.mapInArrow(pack, _PACKED)
 
 
 def pack_bestfit_crop(docs: DataFrame, seq_len: int, order: str | Sequence[str], stream: str = "stream_id", ids: str = "ids",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palinode.functions.math import objective_weight
-from palinode.functions.sequences import bridge, corrupt, ids_text, k_step_targets, lm_io, mixed_direction_io
+from palinode.functions.sequences import bridge_io, corrupt, ids_digest, k_step_targets, lm_io, mixed_direction_io
 from palinode.functions.tokens import LAB_SPECIALS
 
 SCHEMA = ("name string, primary_direction int, reverse_weight double, bridge_weight double, mtp_weight double, "
@@ -160,8 +160,7 @@ def experiment_views(blocks: DataFrame, spec: dict, step: Column, total_steps: i
         if spec["reverse_weight"] > 0 and not primary_rev:
             add("reverse", *lm_io(block, True, rev if token else None), w_rev)
         if spec["bridge_weight"] > 0 and not token:
-            add("bridge", F.flatten(F.transform(bridge(block), lambda t: F.array(t["left"], t["right"]))),
-                F.transform(bridge(block), lambda t: t["target"]), F.lit(spec["bridge_weight"]))
+            add("bridge", *bridge_io(block), F.lit(spec["bridge_weight"]))
         if spec["mtp_weight"] > 0:
             seq = F.reverse(block) if primary_rev else block
             w = objective_weight(spec["mtp_weight"], step, total_steps, "mtp_ramp")
@@ -180,4 +179,4 @@ def experiment_views(blocks: DataFrame, spec: dict, step: Column, total_steps: i
 
 def view_digest(views: DataFrame) -> DataFrame:
     """Comparable form of views: id text digests instead of arrays."""
-    return views.withColumns({"inputs": F.md5(ids_text(F.col("inputs"))), "labels": F.md5(ids_text(F.col("labels")))})
+    return views.withColumns({"inputs": ids_digest(F.col("inputs")), "labels": ids_digest(F.col("labels"))})

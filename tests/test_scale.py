@@ -1,6 +1,7 @@
 """How work grows: what is broadcast, how a step is dealt to tasks, tables that come as folders."""
 
 import glob
+import hashlib
 import time
 import tracemalloc
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from palinode.functions import sequences as S
 from palinode.functions.math import throughput_cols
 from palinode.functions.text import counting_lines
+from palinode.functions.tokens import word_ids
 from palinode.operators import bpe, metrics, mixture, packing, toolcalls
 from palinode.plans.catalogue import files, tokens
 from palinode.streaming import epochs
@@ -166,7 +168,36 @@ def test_packing_documents_are_split_once_behind_spread(spark, tmp_path):
     rows = [(i, "one two three" if i % 5 else None) for i in range(40)]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     docs = tokens._pack_docs(spark, str(tmp_path))
-    packed = packing.pack_greedy_crop(docs, 8, "idx")
+    packed = packing.pack_greedy_crop(docs, 3, "idx")
     assert "regexp_extract_all" not in _plan(packed)  # else a filter on the ids splits the texts of a file in one task
-    report = packing.packing_report(docs, packed, 8).first()
+    report = packing.packing_report(docs, packed, 3).first()
     assert report.tokens_in == report.tokens_used == 32 * 4
+
+
+def test_word_ids_and_digests_of_runs_of_rows(spark):
+    rows = [(0, ["a", "bc", "a", "é"]), (1, None), (2, []), (3, ["bc"] * 3)]
+    made = spark.createDataFrame(rows, "k int, w array<string>").select("k", word_ids(F.col("w"), 4096).alias("ids"))
+    assert "md5(" not in _plan(made)  # hashed once a distinct word, not once a word
+    got = {r.k: (r.ids, r.d) for r in made.withColumn("d", S.ids_digest(F.col("ids"))).collect()}
+    for k, words in rows:
+        ids = None if words is None else [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 4090 + 6 for w in words]
+        assert got[k] == (ids, None if ids is None else hashlib.md5(",".join(map(str, ids)).encode()).hexdigest())
+    odd = spark.createDataFrame([([1, None, 3],)], "ids array<int>").select(S.ids_digest(F.col("ids")), F.md5(S.ids_text(F.col("ids"))))
+    assert odd.first()[0] == odd.first()[1]
+
+
+def test_bridge_pairs_equal_the_triples(spark):
+    rows = [([],), ([1],), ([1, 2],), ([1, 2, 3],), (list(range(9)),), (None,)]
+    t, (inputs, labels) = S.bridge(F.col("t")), S.bridge_io(F.col("t"))
+    out = spark.createDataFrame(rows, "t array<int>").select(
+        inputs.alias("i"), labels.alias("l"), F.flatten(F.transform(t, lambda x: F.array(x["left"], x["right"]))).alias("i0"),
+        F.transform(t, lambda x: x["target"]).alias("l0"))
+    assert all(r.i == r.i0 and r.l == r.l0 for r in out.collect())
+
+
+def test_packers_take_and_give_whole_batches(spark):
+    docs = spark.createDataFrame([(0, i, list(range(i % 7))) for i in range(90)], "stream_id int, idx long, ids array<int>")
+    packed = packing.pack_greedy_crop(docs, 8, "idx")
+    assert "MapInArrow" in _plan(packed)
+    flat = [t for r in packed.orderBy("row_id").collect() for t in r.tokens]
+    assert sum(packed.select(F.size("tokens")).toPandas().iloc[:, 0]) == len(flat) and flat[:9] == [0, 0, 1, 0, 1, 2, 0, 1, 2]
