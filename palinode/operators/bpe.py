@@ -212,8 +212,9 @@ def encode_list(df: DataFrame, vocab: Vocabulary, texts: str, out: str) -> DataF
 
 
 def encode_counts(counts: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Ids of each distinct pre-token of a count table."""
-    ids = _encoder(counts.sparkSession, vocab)(F.array("pretoken"))
+    """Ids of each distinct pre-token of a count table. The encoder counts as not deterministic, as a filter on the ids (an
+    explosion brings one) would else move in front of the counting and encode every occurrence."""
+    ids = _encoder(counts.sparkSession, vocab).asNondeterministic()(F.array("pretoken"))
     return counts.withColumn("ids", ids)
 
 

@@ -201,3 +201,12 @@ def test_packers_take_and_give_whole_batches(spark):
     assert "MapInArrow" in _plan(packed)
     flat = [t for r in packed.orderBy("row_id").collect() for t in r.tokens]
     assert sum(packed.select(F.size("tokens")).toPandas().iloc[:, 0]) == len(flat) and flat[:9] == [0, 0, 1, 0, 1, 2, 0, 1, 2]
+
+
+def test_distinct_pretokens_are_encoded_behind_the_counting(spark):
+    docs = spark.createDataFrame([(i, "to be or not to be") for i in range(50)] + [(50, None), (51, "")], "doc_id long, text string")
+    counts = bpe.encode_counts(bpe.pretoken_counts(docs), bpe.Vocabulary([]))
+    tokens = counts.select("freq", F.explode("ids").alias("tok"))
+    plan = _plan(tokens)
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("HashAggregate")
+    assert tokens.agg(F.sum("freq")).first()[0] == 50 * len("to be or not to be")
