@@ -19,13 +19,18 @@ from palinode.session import cut_lineage
 EDGE = ""  # marks both ends of a document; no token is empty
 
 
-def bigram_counts(docs: DataFrame, keys: Sequence[str] = (), text: str = "text", split=word_tokens) -> DataFrame:
-    """(keys, a, b, n) over EDGE, w1 .. wn, EDGE."""
+def bigrams(docs: DataFrame, keys: Sequence[str] = (), text: str = "text", split=word_tokens) -> DataFrame:
+    """(keys, a, b), a row per place, over EDGE, w1 .. wn, EDGE."""
     padded = F.concat(F.array(F.lit(EDGE)), F.col("__w"), F.array(F.lit(EDGE)))
     pairs = F.arrays_zip(F.concat(F.array(F.lit(EDGE)), F.col("__w")).alias("a"),
                          F.slice(padded, F.lit(2), F.size("__w") + 1).alias("b"))
     words = docs.select(*keys, split(F.col(text)).alias("__w")).where(F.size("__w") > 0)
-    return words.select(*keys, F.inline(pairs)).groupBy(*keys, "a", "b").agg(F.count("*").alias("n"))
+    return words.select(*keys, F.inline(pairs))
+
+
+def bigram_counts(docs: DataFrame, keys: Sequence[str] = (), text: str = "text", split=word_tokens) -> DataFrame:
+    """(keys, a, b, n) over EDGE, w1 .. wn, EDGE."""
+    return bigrams(docs, keys, text, split).groupBy(*keys, "a", "b").agg(F.count("*").alias("n"))
 
 
 def directed(bigrams: DataFrame, keep: Sequence[str] = ("n",)) -> DataFrame:
@@ -37,7 +42,7 @@ def directed(bigrams: DataFrame, keep: Sequence[str] = ("n",)) -> DataFrame:
 
 
 def model_tables(train: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(contexts, words, totals) from the training bigrams; totals is one struct."""
+    """(contexts, words, totals) from the training bigrams, a pair in any number of rows; totals is one struct."""
     contexts = directed(train).groupBy("direction", "ctx").agg(F.sum("n").alias("n_ctx"))
     words = train.where(F.col("b") != EDGE).groupBy(F.col("b").alias("tgt")).agg(F.sum("n").alias("n_tgt"))
     totals = words.agg(F.struct(F.sum("n_tgt").alias("n_all"), F.count("*").alias("n_types")))
@@ -48,10 +53,11 @@ def score_pairs(held_out: DataFrame, train: DataFrame, keys: Sequence[str] = (),
     """Held-out (keys, direction, ctx, tgt, n) with `loss` = -ln p and `n_bytes` of the target.
 
     p(t|c) = (n(c,t) + alpha * p0(t)) / (n(c) + alpha), p0(t) = (n(t) + 1) / (N + V + 1). The pair counts
-    are joined once, before pairs are turned into directions.
+    are joined once, before pairs are turned into directions. `train` may hold a pair in several rows (one per key): only
+    the pair counts need them summed by a shuffle of pairs, contexts and words are summed from the rows as they lie.
     """
     contexts, words, totals = model_tables(train)
-    seen = held_out.join(train.withColumnRenamed("n", "n_pair"), ["a", "b"], "left")
+    seen = held_out.join(train.groupBy("a", "b").agg(F.sum("n").alias("n_pair")), ["a", "b"], "left")
     joined = directed(seen, [*keys, "n", "n_pair"]).join(contexts, ["direction", "ctx"], "left").join(
         words, "tgt", "left").withColumn("__t", totals.scalar())
 
@@ -67,10 +73,13 @@ def score_pairs(held_out: DataFrame, train: DataFrame, keys: Sequence[str] = (),
 def bpb_by_direction(docs: DataFrame, keys: Sequence[str], is_val: Column, text: str = "text",
                      alpha: float = 10.0) -> DataFrame:
     """(keys, direction, nats, bytes, bpb): is text easier to predict forwards or backwards?"""
-    # the text is read and counted once; both splits come out of the written counts
-    counted = cut_lineage(bigram_counts(docs.withColumn("__val", is_val), [*keys, "__val"], text))
-    train = counted.where(~F.col("__val")).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    held_out = counted.where("__val").drop("__val")
+    # the text is read and counted once; a row holds the counts of both splits, so a pair that is in both is shuffled
+    # and written once
+    pairs = bigrams(docs.withColumn("__val", is_val), [*keys, "__val"], text)
+    counted = cut_lineage(pairs.groupBy(*keys, "a", "b").agg(
+        F.count_if("__val").alias("n"), F.count_if(~F.col("__val")).alias("n_train")))
+    train = counted.where("n_train > 0").select("a", "b", F.col("n_train").alias("n"))
+    held_out = counted.where("n > 0").drop("n_train")
     scored = score_pairs(held_out, train, keys, alpha)
     return bits_per_byte(scored, [*keys, "direction"], weight=F.col("n"))
 

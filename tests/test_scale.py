@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import re
 import time
 import tracemalloc
 
@@ -15,7 +16,7 @@ from palinode.functions import sequences as S
 from palinode.functions.math import throughput_cols
 from palinode.functions.text import counting_lines
 from palinode.functions.tokens import word_ids
-from palinode.operators import bpe, metrics, mixture, packing, toolcalls
+from palinode.operators import bpe, language_model, metrics, mixture, packing, toolcalls
 from palinode.plans.catalogue import files, tokens
 from palinode.streaming import epochs
 
@@ -210,3 +211,33 @@ def test_distinct_pretokens_are_encoded_behind_the_counting(spark):
     plan = _plan(tokens)
     assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("HashAggregate")
     assert tokens.agg(F.sum("freq")).first()[0] == 50 * len("to be or not to be")
+
+
+def test_pairs_of_both_splits_are_one_row_and_shuffled_once_more(spark, monkeypatch):
+    kept = []
+    cut = language_model.cut_lineage
+    monkeypatch.setattr(language_model, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    rows = [(i, "xy"[i % 2], t) for i, t in enumerate(["a b", "a b a", "b a b", "c", "a b", "b a", None, "a b c"])]
+    docs = spark.createDataFrame([*rows, (None, None, "a b")], "id long, lang string, text string")
+    out = language_model.bpb_by_direction(docs, ["lang"], F.col("id") >= 4)
+    plan = _plan(out)
+    got = {(r.lang, r.direction): (r.nats, r.bytes) for r in out.collect()}
+    assert kept[0].groupBy("lang", "a", "b").count().where("count > 1").isEmpty()  # before: a row for each split
+    assert len(set(re.findall(r"Exchange hashpartitioning\(a#\d+, b#\d+", plan))) <= 2  # before: also for contexts, words and totals
+    both = {True: {}, False: {}}
+    for i, lang, text in rows:
+        w = (text or "").split()
+        for a, b in zip(["", *w], [*w, ""]) if w else ():
+            for d, c, t in (("forward", a, b), ("reverse", b, a)):
+                key = (lang if i >= 4 else None, d, c, t)
+                if t:
+                    both[i >= 4][key] = both[i >= 4].get(key, 0) + 1
+    train = {k[1:]: n for k, n in both[False].items()}
+    words = {w: sum(n for (d, _, t), n in train.items() if d == "forward" and t == w) for w in {k[2] for k in train}}
+    want = {}
+    for (lang, d, c, t), n in both[True].items():
+        p0 = (words.get(t, 0) + 1) / (sum(words.values()) + len(words) + 1)
+        ctx = sum(m for (e, x, _), m in train.items() if (e, x) == (d, c))
+        nats, size = want.get((lang, d), (0, 0))
+        want[lang, d] = nats - n * np.log((train.get((d, c, t), 0) + 10 * p0) / (ctx + 10)), size + n * len(t)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
