@@ -38,6 +38,7 @@ from palinode.llm.segments import mix, range_hashes, slices, text_bytes, words
 SKETCH_BITS = 20
 _BLOCK = 4096
 _CELLS = 128
+_SLICE = 1 << 18  # bytes of text worked off at once: a worker's arrays take tens of times that
 
 
 def shingle_hashes(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -80,12 +81,12 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 sets = shingle_hashes(part.column("text"), n)
                 sizes = np.array([len(s) for s in sets], np.int32)
                 flat = np.concatenate(sets)
                 doc = np.repeat(np.arange(len(sets)), sizes)
-                sketch += np.bincount(_cell(flat), minlength=len(sketch))
+                np.add.at(sketch, _cell(flat), 1)
                 hist = np.zeros((len(sets), _CELLS), np.int32)
                 np.add.at(hist, (doc, (flat & np.uint64(_CELLS - 1)).astype(np.int64)), 1)
                 sums = np.concatenate([np.zeros((2, 1), np.uint64), np.cumsum(
@@ -127,7 +128,7 @@ def _prefixes(docs: DataFrame, levels, n: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 sets = shingle_hashes(part.column("text"), n)
                 sizes = np.array([len(s) for s in sets], np.int32)
                 heads = []
@@ -143,7 +144,7 @@ def _prefixes(docs: DataFrame, levels, n: int, num: int, den: int) -> DataFrame:
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), _lists(shingle_hashes(part.column("text"), n))], ["id", "grams"])
 

@@ -16,6 +16,7 @@ from palinode.functions import sequences as S
 from palinode.functions.math import throughput_cols
 from palinode.functions.text import counting_lines
 from palinode.functions.tokens import word_ids
+from palinode.llm import ngram_join, segments
 from palinode.operators import bpe, language_model, metrics, mixture, packing, toolcalls
 from palinode.plans.catalogue import files, tokens
 from palinode.streaming import epochs
@@ -241,3 +242,21 @@ def test_pairs_of_both_splits_are_one_row_and_shuffled_once_more(spark, monkeypa
         nats, size = want.get((lang, d), (0, 0))
         want[lang, d] = nats - n * np.log((train.get((d, c, t), 0) + 10 * p0) / (ctx + 10)), size + n * len(t)
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_shingles_of_a_batch_take_little_memory_at_once(monkeypatch):
+    monkeypatch.setattr(segments, "_powers", [])
+    texts = [" ".join(f"w{(i * j) % 9973}" for j in range(2000)) for i in range(1, 200)]  # about 1 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+
+    class Taken:
+        def mapInArrow(self, run, schema):
+            return run
+
+    tracemalloc.start()
+    assert sum(part.num_rows for part in ngram_join._sets(Taken(), 5)(iter([batch]))) == len(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6  # before: 39 MB
+    segments._pow_tables((1 << 20) + 1)
+    assert sum(t.nbytes for t in segments._powers) < 20e6
