@@ -6,7 +6,7 @@ row is closed up, and rows without a mergeable pair leave the matrix. Ranks are
 in that library a piece that is a token is that token, whatever the merges would give.
 
 Text is encoded where it lies (no shuffle). A worker keeps the ids of the chunks it has met (bounded, see
-`ChunkMemo`); texts are worked off in slices of about 1 MB, so memory follows the longest single text only.
+`ChunkMemo`); texts are worked off in slices of about 256 KB, so memory follows the longest single text only.
 
 Defined results: a null text is an empty text; an empty text has no ids and decodes to the empty string; a
 piece of over `LONG_PIECE` bytes takes a heap over a linked list instead of a matrix row (the same merges in
@@ -60,6 +60,16 @@ class PairTable:
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(31)) & self.mask
 
+    def of(self, left: int, right: int) -> int | None:
+        """Id of one merged pair; None where there is no such token."""
+        key = left << 32 | right
+        at = (key * 0x9E3779B97F4A7C15 >> 31) & int(self.mask)
+        while (seen := int(self.keys[at])) != key:
+            if seen == 2**64 - 1:
+                return None
+            at = (at + 1) & int(self.mask)
+        return int(self.vals[at])
+
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ids of the merged pairs; `_NONE` where there is no such token."""
         key = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
@@ -88,7 +98,7 @@ class ByteBpe:
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if a is not None and b is not None:
                     pairs[a, b] = rank
-        self.pair_rank, self.table = pairs, PairTable(pairs)
+        self.table = PairTable(pairs)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         size = max(self.ranks.values()) + 1
         self.token_len = np.zeros(size, np.int64)
@@ -135,10 +145,12 @@ class ByteBpe:
                 rank[every[ok], at[ok]] = self.table.merged(ids[every[ok], at[ok]], ids[every[ok], at[ok] + 1])
 
     def _merge_long(self, piece: bytes) -> np.ndarray:
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        n, pairs = len(ids), self.pair_rank
+        first = self.single[np.frombuffer(piece, np.uint8)]
+        ids = first.tolist()
+        n, pair = len(ids), self.table.of
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get((ids[i], ids[i + 1]))) is not None]
+        ranks = self.table.merged(first[:-1], first[1:]).tolist()
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(ranks) if r != _NONE]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -149,10 +161,10 @@ class ByteBpe:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (q := pairs.get((r, ids[k]))) is not None:
+                if (q := pair(r, ids[k])) is not None:
                     heapq.heappush(heap, (q, i, r, ids[k]))
             h = before[i]
-            if h >= 0 and (q := pairs.get((ids[h], r))) is not None:
+            if h >= 0 and (q := pair(ids[h], r)) is not None:
                 heapq.heappush(heap, (q, h, ids[h], r))
         return np.array([x for x in ids if x >= 0], np.int32)
 

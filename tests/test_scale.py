@@ -16,7 +16,7 @@ from palinode.functions import sequences as S
 from palinode.functions.math import throughput_cols
 from palinode.functions.text import counting_lines
 from palinode.functions.tokens import word_ids
-from palinode.llm import ngram_join, segments
+from palinode.llm import byte_bpe, ngram_join, segments
 from palinode.operators import bpe, language_model, metrics, mixture, packing, toolcalls
 from palinode.plans.catalogue import files, tokens
 from palinode.streaming import epochs
@@ -260,3 +260,32 @@ def test_shingles_of_a_batch_take_little_memory_at_once(monkeypatch):
     assert peak < 24e6  # before: 39 MB
     segments._pow_tables((1 << 20) + 1)
     assert sum(t.nbytes for t in segments._powers) < 20e6
+
+
+def test_a_worker_that_encodes_holds_little_memory():
+    words = [f"w{i * 7919 % 1000003}" for i in range(150_000)]
+    texts = [" " + " ".join(words[i:i + 1500]) for i in range(0, len(words), 1500)]
+    memo = segments.ChunkMemo(lambda raw: [np.array([len(x), x[-1]], np.int32) for x in raw])
+
+    def encoded():
+        for part in segments.slices(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), "text"):
+            data, offsets = segments.text_bytes(part.column("text"))
+            starts, ends, _ = segments.chunks(data, offsets)
+            yield memo.ids_of(data, starts, ends)
+
+    segments._pow_tables(1 << 19)
+    tracemalloc.start()
+    ids = np.concatenate([x for x, _ in encoded()])
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 40e6 and kept - ids.nbytes < 8e6
+    assert (ids.reshape(-1, 2) == [(len(w) + 1, ord(w[-1])) for w in words]).all()
+    assert (np.concatenate([x for x, _ in encoded()]) == ids).all()  # known by now
+
+
+def test_pairs_looked_up_one_by_one_are_those_looked_up_together():
+    pairs = {(a, b): 7 * a + b for a in range(50) for b in range(0, 90, 1 + a % 3)}
+    table = byte_bpe.PairTable(pairs)
+    asked = [(a, b) for a in range(52) for b in range(92)]
+    together = table.merged(*np.array(asked, np.int32).T).tolist()
+    assert [table.of(a, b) for a, b in asked] == [None if x == byte_bpe._NONE else x for x in together] == [pairs.get(p) for p in asked]
