@@ -281,7 +281,7 @@ def minhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     for side in "uv":
         others = others.join(parts.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
     others = others.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
-    links = links.union(_verified(stored(others, "minhash-others"), docs, classes, n, num, den))
+    links = parts.toDF("u", "v").union(_verified(stored(others, "minhash-others"), docs, classes, n, num, den))
 
     # pairs without the leader, across components: compared where they meet, so that only possible ones come out
     parts = stored(components(links), "minhash-parts")
@@ -308,7 +308,7 @@ def minhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
         (F.col("x.component") != F.col("y.component"))
         & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & possible)
     rest = stored(_pairs(across, "x.node", "y.node"), "minhash-rest")
-    links = links.union(_links(rest, sets, num, den))
+    links = parts.toDF("u", "v").union(_links(rest, sets, num, den))
 
     # least id of every component, then of ids that stand in several
     parts = components(links).withColumnRenamed("id", "node")

@@ -16,7 +16,7 @@ from palinode.functions import sequences as S
 from palinode.functions.math import throughput_cols
 from palinode.functions.text import counting_lines
 from palinode.functions.tokens import word_ids
-from palinode.llm import byte_bpe, ngram_join, segments
+from palinode.llm import byte_bpe, components, ngram_join, segments
 from palinode.operators import bpe, language_model, metrics, mixture, packing, toolcalls
 from palinode.plans.catalogue import files, tokens
 from palinode.streaming import epochs
@@ -289,3 +289,20 @@ def test_pairs_looked_up_one_by_one_are_those_looked_up_together():
     asked = [(a, b) for a in range(52) for b in range(92)]
     together = table.merged(*np.array(asked, np.int32).T).tolist()
     assert [table.of(a, b) for a, b in asked] == [None if x == byte_bpe._NONE else x for x in together] == [pairs.get(p) for p in asked]
+
+
+def test_components_found_before_take_no_further_round(spark, monkeypatch):
+    written, plain = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: written.append(name) or plain(df, name))
+    found = [(u, u // 10 * 10) for u in range(100)]  # as components gives them, roots with themselves
+
+    def of(edges):
+        written.clear()
+        rows = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
+        assert len({r.id for r in rows}) == len(rows)
+        return {r.id: r.component for r in rows}
+
+    assert of(found) == dict(found) and written == ["edges"]
+    assert of([]) == {} == of([(3, 3), (3, None)]) and written == ["edges"]
+    assert of(found + [(95, 47), (47, 95), (95, 47)]) == {u: 40 if u >= 90 else r for u, r in found}
+    assert of([(i, i + 1) for i in range(40)]) == dict.fromkeys(range(41), 0)  # a path takes the most rounds
