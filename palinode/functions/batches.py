@@ -1,4 +1,4 @@
-"""List columns of Arrow batches, worked off in pieces of bounded size."""
+"""List and text columns of Arrow batches, worked off in pieces of bounded size."""
 
 from __future__ import annotations
 
@@ -19,6 +19,16 @@ def parts(rows: pa.ListArray, size: int = 1 << 18) -> Iterator[pa.ListArray]:
         at = stop
 
 
+def byte_parts(texts: pa.StringArray, size: int) -> Iterator[pa.StringArray]:
+    """Runs of texts of about `size` bytes together, one text at least."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else ()
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 def with_entries(rows: pa.ListArray, entries: pa.Array) -> pa.ListArray:
     """The rows with other entries, as many and in the same places; a null row stays null."""
     ends = np.cumsum([n or 0 for n in rows.value_lengths().to_pylist()], dtype=np.int64)

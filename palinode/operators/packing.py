@@ -200,11 +200,12 @@ def _arrays(rows: pa.ListArray) -> Iterator[np.ndarray | None]:
 def _run(docs: DataFrame, make, cap: int, stream: str, order: str | Sequence[str], ids: str, mask: str | None,
          chunk: int = 256) -> DataFrame:
     """Sort each stream into one task's input and feed it to a packer batch by batch. Tokens no row could
-    take (past `cap`) stay behind before the shuffle."""
+    take (past `cap`) stay behind before the shuffle. Documents without ids are left out by the packing task: a filter on the
+    ids would have them computed twice."""
     ranks = F.struct(*([order] if isinstance(order, str) else order))
-    picked = docs.where(F.size(ids) > 0).select(
+    picked = docs.select(
         F.col(stream).alias("stream_id"), ranks.alias("__order"), F.slice(ids, 1, cap).alias("ids"),
-        F.size(ids).alias("size"), *([F.slice(mask, 1, cap).alias("mask")] if mask else []))
+        F.coalesce(F.size(ids), F.lit(0)).alias("size"), *([F.slice(mask, 1, cap).alias("mask")] if mask else []))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, packer, row_id, out = None, None, 0, []
@@ -229,6 +230,8 @@ def _run(docs: DataFrame, make, cap: int, stream: str, order: str | Sequence[str
             docs = _arrays(batch.column("ids"))
             masks = _arrays(batch.column("mask")) if mask else repeat(None)
             for sid, size, doc, m in zip(batch.column("stream_id").to_pylist(), batch.column("size").to_pylist(), docs, masks):
+                if size < 1:
+                    continue
                 if packer is None or sid != current:
                     if packer is not None:
                         emit(packer.finish())

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
-from palinode.functions.sequences import ids_text
+from palinode.functions.sequences import ids_digest, ids_text
 from palinode.functions.text import LOG_FILTER
-from palinode.functions.tokens import LAB_SPECIALS, word_ids, word_tokens
+from palinode.functions.tokens import LAB_SPECIALS, text_word_ids
 from palinode.operators import packing, report, selection, store
 from palinode.operators.ordered import dense_index
 from palinode.plans.catalogue.chat import SQL_CHECK
@@ -184,9 +186,18 @@ def stream_meters(spark, d):
     return out.select("user_id", F.round("min_bpb", 6).alias("min_bpb"), F.round("train_time", 4).alias("train_time"), F.round("mean_loss", 6).alias("mean_loss"), "n_steps")
 
 
+STREAMS = 4
+
+
 def _token_docs(docs):
-    ids = F.array_prepend(word_ids(word_tokens(F.col("text")), VOCAB), LAB_SPECIALS["<bos>"])
-    return docs.select("doc_id", ids.alias("ids"), F.pmod("doc_id", F.lit(4)).cast("int").alias("stream_id"))
+    ids = F.array_prepend(text_word_ids(F.col("text"), VOCAB), LAB_SPECIALS["<bos>"])
+    return docs.select("doc_id", ids.alias("ids"), F.pmod("doc_id", F.lit(STREAMS)).cast("int").alias("stream_id"))
+
+
+def _own_stores(spark, streams: int) -> int:
+    """The least number of state stores of which streams 0 to streams - 1 have one each."""
+    hashes = [r[0] for r in spark.range(streams).select(F.hash(F.col("id").cast("int"))).collect()]
+    return next(n for n in itertools.count(streams) if len({h % n for h in hashes}) == streams)
 
 
 def _streamed_rows(spark, d, files: int = 8):
@@ -194,17 +205,20 @@ def _streamed_rows(spark, d, files: int = 8):
     path, sink, checkpoint = (scratch_dir(spark, x) for x in ("shards", "sp", "spc"))
     docs = table(spark, d, "documents", "doc_id")
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    shard = F.least(F.lit(files - 1), F.floor((F.col("doc_id") - low) * files / (high - low + 1))).cast("int")
+    ends = [low + -(-i * (high - low + 1) // files) for i in range(files + 1)]
+    stores = _own_stores(spark, STREAMS)
     for i in range(files):  # a shard is written by many tasks; the stream goes on from its checkpoint
-        docs.where(shard == i).write.mode("append").parquet(path)
+        # row groups of other ids are not read; a shard has many, so that many tasks read it
+        shard = docs.where(F.col("doc_id").between(ends[i], ends[i + 1] - 1))
+        shard.write.mode("append").option("parquet.block.size", 2 << 20).parquet(path)
         arrived = streams.document_stream(spark, path, docs.schema, files_per_trigger=2**31 - 1)
-        rows = streams.run_to_table(streams.pack_stream(_token_docs(arrived), 512, buffer=20, refill=8), sink, checkpoint)
+        rows = streams.run_to_table(streams.pack_stream(_token_docs(arrived), 512, buffer=20, refill=8), sink, checkpoint, stores=stores)
     return rows
 
 
 @query()
 def stream_pack(spark, d):
-    return _streamed_rows(spark, d).select("stream_id", "row_id", F.md5(ids_text(F.col("tokens"))).alias("digest"))
+    return _streamed_rows(spark, d).select("stream_id", "row_id", ids_digest(F.col("tokens")).alias("digest"))
 
 
 @query("""SELECT DISTINCT (doc_id % 4)::INT AS stream_id, true AS streamed_rows, 0::BIGINT AS only_streamed, 0::BIGINT AS only_batch FROM documents""")
@@ -212,7 +226,7 @@ def stream_pack_equals_batch(spark, d):
     """Rows packed over eight micro-batches with carried state are the first ones of a batch over the whole table; what the
     batch packs from its last buffer is still in the state."""
     batch = packing.pack_bestfit_crop(_token_docs(table(spark, d, "documents", "doc_id")), 512, "doc_id", buffer=20, refill=8)
-    sides = [rows.select("stream_id", "row_id", F.md5(ids_text(F.col("tokens"))).alias(side))
+    sides = [rows.select("stream_id", "row_id", ids_digest(F.col("tokens")).alias(side))
              for rows, side in ((_streamed_rows(spark, d), "streamed"), (batch, "batch"))]
     last = sides[0].groupBy("stream_id").agg(F.max("row_id").alias("last"))
     both = sides[0].join(sides[1], ["stream_id", "row_id"], "full").join(last, "stream_id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mmap
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,62 +28,80 @@ def document_stream(spark: SparkSession, path: str, schema: str, files_per_trigg
 
 
 class _StatePacker(_BestFit):
-    """Best fit over documents that lie in the state store: the buffer holds (order, size), ids are fetched when placed."""
+    """Best fit over documents whose ids are elsewhere: the buffer holds (order, where, size), ids are fetched when placed."""
 
-    fetch: Callable[[tuple], list[int]]
+    fetch: Callable[[object], np.ndarray]
 
     def _take(self, at: int) -> tuple:
-        order, _, size = super()._take(at)
-        ids = np.asarray(self.fetch(order), np.int32)
+        _, where, size = super()._take(at)
+        ids = self.fetch(where)
         return ids, np.ones(len(ids), np.int32), size
 
 
+class _Arrived:
+    """Documents of a micro-batch as their frames come: ids go to an unnamed file, orders, sizes and places stay. Places of
+    documents that were buffered before are their ids themselves."""
+
+    def __init__(self) -> None:
+        self.file, self.ids = tempfile.TemporaryFile(), np.empty(0, np.int32)
+        self.orders, self.sizes, self.ends = [], [], [0]
+
+    def add(self, frame: pd.DataFrame) -> None:
+        known = frame[frame["size"] > 0]  # nothing is packed of a document without ids
+        if len(known):
+            self.file.write(np.concatenate(known["ids"].tolist()).astype(np.int32).data)
+            self.orders += known["doc"].tolist()
+            self.sizes += known["size"].tolist()
+            self.ends += (np.cumsum([len(x) for x in known["ids"]]) + self.ends[-1]).tolist()
+
+    def in_order(self) -> Iterator[tuple]:
+        self.file.flush()
+        if self.orders:
+            self.ids = np.frombuffer(mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ), np.int32)
+        for i in sorted(range(len(self.orders)), key=lambda i: (self.orders[i], self.sizes[i])):
+            yield self.orders[i], i, self.sizes[i]
+
+    def fetch(self, where) -> np.ndarray:
+        return self.ids[self.ends[where]:self.ends[where + 1]] if isinstance(where, int) else where
+
+
 class _PackingProcessor(StatefulProcessor):
-    """State of a stream: `waiting`, one entry per document that is buffered or has just come in; `buffered`, one entry per
-    buffered document in the order in which equal sizes leave (order and size only); `row`, the parts of the open row; `place`, the
-    next row number and how many buffered entries have not been admitted yet. A micro-batch goes to `waiting` frame by frame
-    and is read back in document order, so the worker holds order numbers and one row, never the batch's ids."""
+    """State of a stream: `held`, one entry per buffered document in the order in which equal sizes leave; `row`, the parts of the
+    open row; `place`, the next row number and how many buffered entries have not been admitted yet. The state is read and
+    written once a micro-batch. The documents that come in lie in a file of the task and are read back in document order, so
+    the worker holds order numbers, the buffer and one row, never the batch's ids."""
 
     def __init__(self, cap: int, buffer: int, refill: int, order: str, chunk: int = 256) -> None:
         self.cap, self.buffer, self.refill, self.order, self.chunk = cap, buffer, refill, order, chunk
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", f"doc {self.order}", "ids array<int>")
-        self.buffered = handle.getListState("buffered", f"doc {self.order}, size int")
+        self.held = handle.getListState("held", f"doc {self.order}, size int, ids array<int>")
         self.row = handle.getListState("row", "ids array<int>")
         self.place = handle.getValueState("place", "next_row long, arriving int")
 
-    def _fetch(self, order) -> list[int]:
-        ids = self.waiting.getValue((order,))[0]
-        self.waiting.removeKey((order,))
-        return ids
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        packer = _StatePacker(self.cap, self.buffer, self.refill, None)
-        packer.fetch = self._fetch
+        packer, arrived = _StatePacker(self.cap, self.buffer, self.refill, None), _Arrived()
+        packer.fetch = arrived.fetch
         next_row, arriving = self.place.get() if self.place.exists() else (0, 0)
-        held = [(doc, None, size) for doc, size in self.buffered.get()] if self.buffered.exists() else []
+        held = [(doc, np.asarray(ids, np.int32), size) for doc, size, ids in self.held.get()] if self.held.exists() else []
         packer.arriving = held[:len(held) - arriving]
         packer._admit()
         packer.arriving = held[len(held) - arriving:]
         for part, in self.row.get() if self.row.exists() else ():
             packer.row.put((np.asarray(part, np.int32), np.ones(len(part), np.int32), len(part)))
 
-        orders: list[tuple] = []
         for frame in rows:
-            for order, ids, size in zip(frame["doc"].tolist(), frame["ids"], frame["size"].tolist()):
-                self.waiting.updateValue((order,), (list(map(int, ids)),))
-                orders.append((order, size))
+            arrived.add(frame)
         out = []
-        for order, size in sorted(orders):
-            for tokens, _, n_docs, _, _ in packer.add((order, None, size)):
+        for doc in arrived.in_order():
+            for tokens, _, n_docs, _, _ in packer.add(doc):
                 out.append((key[0], next_row, tokens, n_docs))
                 next_row += 1
-                if len(out) >= self.chunk:
-                    yield pd.DataFrame(out, columns=["stream_id", "row_id", "tokens", "n_docs"])
-                    out = []
+            if len(out) >= self.chunk:
+                yield pd.DataFrame(out, columns=["stream_id", "row_id", "tokens", "n_docs"])
+                out = []
         admitted = [d for size in packer.lengths for d in packer.by_len[size]]
-        lists = ((self.buffered, [(order, size) for order, _, size in [*admitted, *packer.arriving]]),
+        lists = ((self.held, [(doc, size, arrived.fetch(where).tolist()) for doc, where, size in [*admitted, *packer.arriving]]),
                  (self.row, [(p[0].tolist(),) for p in packer.row.parts]))
         for state, values in lists:  # a list state holds one value at least
             if values:
@@ -104,9 +124,10 @@ def pack_stream(docs: DataFrame, seq_len: int, stream: str = "stream_id", order:
     with their true size, which loses nothing a row could use."""
     docs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     cap = seq_len + 1
-    picked = docs.where(F.size(ids) > 0).select(
+    # documents without ids are left out behind the select: a filter on the ids would have them computed twice
+    picked = docs.select(
         F.col(stream).cast("int").alias("stream_id"), F.col(order).alias("doc"), F.slice(ids, 1, cap).alias("ids"),
-        F.size(ids).alias("size"))
+        F.coalesce(F.size(ids), F.lit(0)).alias("size"))
     kind = picked.schema["doc"].dataType.simpleString()
     return picked.groupBy("stream_id").transformWithStateInPandas(
         _PackingProcessor(cap, buffer, refill, kind), _ROWS, "append", "none")
@@ -149,13 +170,21 @@ def append_valid_conversations(spark: SparkSession, source: str, sink: str, chec
             .option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def run_to_table(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", stores: int | None = None) -> DataFrame:
     """Process everything available and return the sink as a table. Complete-mode results replace the
-    sink at every trigger."""
+    sink at every trigger. `stores`: state stores of a stateful query, each of which every micro-batch opens and commits
+    in a task (default: the session's shuffle partitions); a checkpoint keeps the number it began with."""
+    conf = stream.sparkSession.conf
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", sink).start()
-    else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(sink)).start()
+    kept = conf.get("spark.sql.shuffle.partitions")
+    if stores:
+        conf.set("spark.sql.shuffle.partitions", stores)
+    try:  # a query takes the settings as they are when it starts
+        if mode == "append":
+            query = writer.format("parquet").option("path", sink).start()
+        else:
+            query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(sink)).start()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", kept)
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(sink)
