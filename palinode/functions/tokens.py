@@ -105,7 +105,7 @@ def _words(texts: pa.StringArray, classes: np.ndarray) -> tuple[pa.Array, np.nda
     ends = ends - ends[0]
     if not len(raw):
         return pa.array([], pa.binary()), np.zeros(len(ends), np.int32)
-    kind = classes[:256][raw]
+    kind = np.frombuffer(bytearray(raw).translate(classes[:256].tobytes()), np.uint8)
     head = np.flatnonzero(raw >= 0xC0)
     if len(head):
         first, follow = raw[head].astype(np.int32), [raw[np.minimum(head + k, len(raw) - 1)].astype(np.int32) & 0x3F for k in (1, 2, 3)]

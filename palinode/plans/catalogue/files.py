@@ -206,13 +206,14 @@ def _streamed_rows(spark, d, files: int = 8):
     docs = table(spark, d, "documents", "doc_id")
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     ends = [low + -(-i * (high - low + 1) // files) for i in range(files + 1)]
-    stores = _own_stores(spark, STREAMS)
+    # every micro-batch opens and commits every store; of a shard cut finely, no core is left with the last large piece
+    settings = {"spark.sql.shuffle.partitions": str(_own_stores(spark, STREAMS)), "spark.sql.files.maxPartitionBytes": "16m"}
     for i in range(files):  # a shard is written by many tasks; the stream goes on from its checkpoint
         # row groups of other ids are not read; a shard has many, so that many tasks read it
         shard = docs.where(F.col("doc_id").between(ends[i], ends[i + 1] - 1))
         shard.write.mode("append").option("parquet.block.size", 2 << 20).parquet(path)
         arrived = streams.document_stream(spark, path, docs.schema, files_per_trigger=2**31 - 1)
-        rows = streams.run_to_table(streams.pack_stream(_token_docs(arrived), 512, buffer=20, refill=8), sink, checkpoint, stores=stores)
+        rows = streams.run_to_table(streams.pack_stream(_token_docs(arrived), 512, buffer=20, refill=8), sink, checkpoint, settings=settings)
     return rows
 
 

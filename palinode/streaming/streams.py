@@ -119,8 +119,8 @@ class _PackingProcessor(StatefulProcessor):
 def pack_stream(docs: DataFrame, seq_len: int, stream: str = "stream_id", order: str = "doc_id", ids: str = "ids",
                 buffer: int = 1000, refill: int = 128) -> DataFrame:
     """Best-fit-crop rows over an unbounded token stream, as `pack_bestfit_crop` gives them where documents arrive in
-    order. `order` is unique in a stream. State per stream is the look-ahead buffer (less than buffer + refill documents) and the open
-    row, in a RocksDB state store, which is set for the session. Documents are kept cut to a row's length together
+    order. Documents of a micro-batch that share their order go by size. State per stream is the look-ahead buffer (less than
+    buffer + refill documents) and the open row, in a RocksDB state store, which is set for the session. Documents are kept cut to a row's length together
     with their true size, which loses nothing a row could use."""
     docs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     cap = seq_len + 1
@@ -170,21 +170,21 @@ def append_valid_conversations(spark: SparkSession, source: str, sink: str, chec
             .option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def run_to_table(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", stores: int | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", settings: dict[str, str] | None = None) -> DataFrame:
     """Process everything available and return the sink as a table. Complete-mode results replace the
-    sink at every trigger. `stores`: state stores of a stateful query, each of which every micro-batch opens and commits
-    in a task (default: the session's shuffle partitions); a checkpoint keeps the number it began with."""
+    sink at every trigger. `settings` hold for this query alone."""
     conf = stream.sparkSession.conf
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    kept = conf.get("spark.sql.shuffle.partitions")
-    if stores:
-        conf.set("spark.sql.shuffle.partitions", stores)
-    try:  # a query takes the settings as they are when it starts
+    kept = {k: conf.get(k) for k in settings or {}}
+    try:  # a query takes the session's settings as they are when it starts
+        for k, v in (settings or {}).items():
+            conf.set(k, v)
         if mode == "append":
             query = writer.format("parquet").option("path", sink).start()
         else:
             query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(sink)).start()
     finally:
-        conf.set("spark.sql.shuffle.partitions", kept)
+        for k, v in kept.items():
+            conf.set(k, v)
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(sink)
